@@ -413,7 +413,7 @@ def _pair_similarity(frames):
 def _keyframe_chain(spark, sf):
     df = written_table(V.frames(spark, sf).filter("laplacian_var >= 10").select(*KEYS, "frame_index", "brightness"), "frames")
     return K.keyframe_chain(
-        df, _pair_similarity(df), KEYS, min_interval=3, horizon=6, ssim_threshold=0.4, exposure_threshold=0.7, span=32
+        df, _pair_similarity(df), KEYS, min_interval=3, horizon=24, ssim_threshold=0.4, exposure_threshold=0.7, span=32
     )
 
 

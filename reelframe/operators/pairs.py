@@ -50,7 +50,7 @@ def band_pairs(
 
 
 def sign_descriptor(values: str | Column) -> Column:
-    """64-bit descriptor: bit i is set where element i is positive (as two 32-bit halves)."""
+    """64-bit descriptor: the first element is the highest bit, set where positive."""
     v = F.col(values) if isinstance(values, str) else values
     bits = F.transform(v, lambda x: F.when(x > 0, "1").otherwise("0"))
     text = F.array_join(bits, "")

@@ -24,6 +24,7 @@ from reelframe.plans.blocks import (
     total_first,
 )
 from reelframe.plans.percentiles import exact_percentiles
+from reelframe.session import written_table
 
 
 def median_step(df: DataFrame, keys: Sequence[str], *, step: str = "step_proxy", valid: str = "vo_valid") -> DataFrame:
@@ -177,6 +178,7 @@ def integrate_trajectory(
         "step_norm",
         index_block(order, span).alias("_block"),
     )
+    steps = written_table(steps, "steps")
     key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
     pose_ddl = ", ".join(f"{c} double" for c in _POSE)
     block_cols = [*keys, "_block", *_POSE]

@@ -1,7 +1,7 @@
 """Exact percentiles that never hold a large group in memory.
 
 The built-in ``percentile`` keeps every distinct value of a group in one task,
-so it serves only groups of a proven small size. For larger groups a mergeable
+so it serves only groups whose counted size is small. For larger groups a mergeable
 sketch brackets each wanted rank, rows below the bracket are only counted, and
 the exact order statistics come from the few distinct values inside it. If a
 bracket ever missed its rank the query fails instead of approximating.
@@ -36,6 +36,19 @@ def exact_percentiles(
     keys, columns, probs = list(keys), list(columns), [float(p) for p in probs]
     ids = [(c, i, p) for c in columns for i, p in enumerate(probs)]
     values = df.select(*keys, *[finite(F.col(c).cast("double")).alias(c) for c in columns])
+    wanted = F.array(*[F.lit(p) for p in probs])
+    largest = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= small:
+        return (
+            values.groupBy(*keys)
+            .agg(
+                *[F.count(c).alias(f"{c}_n") for c in columns],
+                *[F.percentile(c, wanted).alias(f"_{c}_s") for c in columns],
+            )
+            .select(
+                *keys, *[f"{c}_n" for c in columns], *[F.col(f"_{c}_s")[i].alias(f"{c}_p{i}") for c, i, _ in ids]
+            )
+        )
     margin = 4.0 / accuracy
     marks = sorted({min(max(p + s * margin, 0.0), 1.0) for p in probs for s in (-1, 1)})
     sketch = values.groupBy(*keys).agg(
@@ -62,13 +75,12 @@ def exact_percentiles(
     )
     bracket = written_table(bracket, "bracket")
     placed = attach(values, bracket.drop(*[f"{c}_n" for c in columns]), keys, F.struct(*columns))
-    wanted = F.array(*[F.lit(p) for p in probs])
-    first = placed.groupBy(*keys).agg(
+    first = written_table(placed.groupBy(*keys).agg(
         *[F.percentile(F.when(F.col("_small"), F.col(c)), wanted).alias(f"_{c}_s") for c in columns],
         *[F.count_if(~F.col("_small") & (F.col(c) < F.col(f"_{c}_lo{i}"))).alias(f"_{c}_b{i}") for c, i, _ in ids],
-    )
+    ), "below")
     large = _large_groups(placed.filter(~F.col("_small")), bracket.filter(~F.col("_small")), first, keys, ids)
-    return (
+    out = (
         bracket.select(*keys, *[f"{c}_n" for c in columns])
         .join(first, keys)
         .join(large, keys, "left")
@@ -78,6 +90,7 @@ def exact_percentiles(
             *[F.coalesce(F.col(f"_{c}_s")[i], F.col(f"_{c}_l{i}")).alias(f"{c}_p{i}") for c, i, _ in ids],
         )
     )
+    return written_table(out, "percentiles")
 
 
 def _large_groups(placed: DataFrame, bracket: DataFrame, below: DataFrame, keys: list[str], ids: list) -> DataFrame:
