@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from reelframe.catalogue import views as V
-from reelframe.catalogue.base import query
+from reelframe.catalogue.base import QUERIES, query
 from reelframe.catalogue.quality import gate_cte
 from reelframe.catalogue.sequences import _steps
 from reelframe.catalogue.views import with_views
@@ -586,7 +586,12 @@ def _stream_events(spark, sf):
     return J.run_available(J.stream_events(stream, threshold=45.0), out)
 
 
-@query("stream_trajectory", "video_id:l frame_index:l x:d y:d z:d", None)
+@query(
+    "stream_trajectory",
+    "video_id:l frame_index:l x:d y:d z:d",
+    f"""SELECT video_id, frame_index, tx - first_value(tx) OVER w AS x, ty - first_value(ty) OVER w AS y, tz - first_value(tz) OVER w AS z
+    FROM ({QUERIES["integrate_trajectory"].sql}) AS p WINDOW w AS (PARTITION BY video_id ORDER BY frame_index)""",
+)
 def _stream_trajectory(spark, sf):
     df = _steps(spark, sf)
     df = attach(df, median_step(df, KEYS), KEYS, F.col("frame_index"))
