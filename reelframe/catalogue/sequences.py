@@ -261,7 +261,7 @@ def _trajectory_consistency(spark, sf):
     ),
 )
 def _integrate_trajectory(spark, sf):
-    out = T.integrate_trajectory(_steps(spark, sf), KEYS, span=16)
+    out = T.integrate_trajectory(_steps(spark, sf), KEYS, span=48)
     return out.select(
         "video_id",
         "frame_index",
@@ -353,7 +353,7 @@ def _nms(spark, sf):
 )
 def _fill_max_interval(spark, sf):
     df = written_table(V.frames(spark, sf).select(*KEYS, "frame_index", "timestamp_s", "score"), "frames")
-    return K.fill_max_interval(df.filter("frame_index % 13 = 2"), df, KEYS, max_seconds=1.5 * DAY, span=32)
+    return K.fill_max_interval(df.filter("frame_index % 13 = 2"), df, KEYS, max_seconds=1.5 * DAY, span=48)
 
 
 @query(
@@ -381,7 +381,7 @@ def _limit_top_k(spark, sf):
     ),
 )
 def _min_interval_select(spark, sf):
-    return K.min_interval_select(V.frames(spark, sf).filter("laplacian_var >= 25"), KEYS, 4, span=16)
+    return K.min_interval_select(V.frames(spark, sf).filter("laplacian_var >= 25"), KEYS, 4, span=48)
 
 
 def _pair_similarity(frames):
@@ -413,7 +413,7 @@ def _pair_similarity(frames):
 def _keyframe_chain(spark, sf):
     df = written_table(V.frames(spark, sf).filter("laplacian_var >= 10").select(*KEYS, "frame_index", "brightness"), "frames")
     return K.keyframe_chain(
-        df, _pair_similarity(df), KEYS, min_interval=3, horizon=24, ssim_threshold=0.4, exposure_threshold=0.7, span=32
+        df, _pair_similarity(df), KEYS, min_interval=3, horizon=24, ssim_threshold=0.4, exposure_threshold=0.7, span=48
     )
 
 

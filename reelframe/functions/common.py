@@ -19,9 +19,8 @@ def clip(c: str | Column, low: float | Column, high: float | Column) -> Column:
 
 
 def is_finite(c: str | Column) -> Column:
-    """True for numbers that are neither null, NaN nor infinite."""
-    c = col(c)
-    return F.coalesce(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.lit(False))
+    """True for numbers that are neither null, NaN nor infinite (NaN sorts above infinity)."""
+    return F.coalesce(F.abs(col(c)) < F.lit(float("inf")), F.lit(False))
 
 
 def finite(c: str | Column) -> Column:

@@ -61,20 +61,22 @@ def quaternion_from_matrix(m: str | Column) -> Column:
     return F.transform(raw, lambda x: x / length)
 
 
+def _product(a: list[Column], b: list[Column]) -> list[Column]:
+    """Product of two row-major 3x3 matrices given as lists of entries."""
+    return [sum((a[r * 3 + k] * b[k * 3 + c] for k in (1, 2)), a[r * 3] * b[c]) for r in range(3) for c in range(3)]
+
+
 def matmul(a: Column, b: Column) -> Column:
-    return F.array(
-        *[sum((a[r * 3 + k] * b[k * 3 + c] for k in (1, 2)), a[r * 3] * b[c]) for r in range(3) for c in range(3)]
-    )
+    return F.array(*_product([a[i] for i in range(9)], [b[i] for i in range(9)]))
 
 
 def matrix_from_ypr(yaw: str | Column, pitch: str | Column, roll: str | Column) -> Column:
     """Rz(roll) Ry(yaw) Rx(pitch) from angles in degrees."""
     y, p, r = (F.radians(col(c)) for c in (yaw, pitch, roll))
-    one, zero = F.lit(1.0), F.lit(0.0)
-    ry = F.array(F.cos(y), zero, F.sin(y), zero, one, zero, -F.sin(y), zero, F.cos(y))
-    rx = F.array(one, zero, zero, zero, F.cos(p), -F.sin(p), zero, F.sin(p), F.cos(p))
-    rz = F.array(F.cos(r), -F.sin(r), zero, F.sin(r), F.cos(r), zero, zero, zero, one)
-    return matmul(rz, matmul(ry, rx))
+    cy, sy, cp, sp, cr, sr = F.cos(y), F.sin(y), F.cos(p), F.sin(p), F.cos(r), F.sin(r)
+    zero = F.lit(0.0)
+    turned = [cy, sy * sp, sy * cp, zero, cp, -sp, -sy, cy * sp, cy * cp]
+    return F.array(*_product([cr, -sr, zero, sr, cr, zero, zero, zero, F.lit(1.0)], turned))
 
 
 def rotation_degrees(m: str | Column) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.functions.common import clip, is_finite
+from reelframe.functions.common import clip
 from reelframe.functions.pose import view_direction
 from reelframe.plans.blocks import attach
 from reelframe.plans.percentiles import exact_percentiles
@@ -21,7 +21,7 @@ def _apply(m: Column, x: Column, y: Column) -> tuple[Column, Column, Column]:
 
 
 def _safe(c: Column) -> Column:
-    return F.when(is_finite(c), c).otherwise(INF)
+    return F.coalesce(F.nanvl(c, F.lit(INF)), F.lit(INF))
 
 
 def inverse(m: Column) -> Column:

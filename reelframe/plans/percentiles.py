@@ -31,8 +31,10 @@ def exact_percentiles(
     """One row per key: ``<column>_n`` and ``<column>_p<i>`` for the i-th probability.
 
     Percentiles interpolate linearly between order statistics and see finite
-    values only; they are null where a key has none.
+    values only; they are null where a key has none. Groups of up to ``accuracy`` rows
+    always count as small, so a bracket spans several ranks.
     """
+    small = max(small, accuracy)
     keys, columns, probs = list(keys), list(columns), [float(p) for p in probs]
     ids = [(c, i, p) for c in columns for i, p in enumerate(probs)]
     values = df.select(*keys, *[finite(F.col(c).cast("double")).alias(c) for c in columns])
