@@ -22,6 +22,7 @@ from reelframe.plans.blocks import (
     running_sum,
     total,
     total_first,
+    with_tasks,
 )
 from reelframe.plans.percentiles import exact_percentiles
 from reelframe.session import written_table
@@ -181,40 +182,48 @@ def integrate_trajectory(
     steps = written_table(steps, "steps")
     key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
     pose_ddl = ", ".join(f"{c} double" for c in _POSE)
-    block_cols = [*keys, "_block", *_POSE]
+    piece = [*keys, "_block"]
+    block_cols = [*piece, *_POSE]
 
     def reduce_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_at", ignore_index=True)
-        turn, at = _steps(pdf)
-        out = pdf[[*keys, "_block"]].tail(1).copy()
-        out[_POSE] = [[*turn[-1], *at[-1]]]
-        return out
+        out = []
+        for key, part in pdf.sort_values("_at").groupby(piece, sort=False):
+            turn, at = _steps(part)
+            out.append([*key, *turn[-1], *at[-1]])
+        return pd.DataFrame(out, columns=block_cols)
 
     def chain_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_block", ignore_index=True)
-        turn = _running_product(pdf[_POSE[:4]].to_numpy(float))
-        before = np.vstack([[[1.0, 0.0, 0.0, 0.0]], turn[:-1]])
-        moved = np.cumsum(_rotate(before, pdf[_POSE[4:]].to_numpy(float)), axis=0)
-        pdf[_POSE[:4]] = before
-        pdf[_POSE[4:]] = np.vstack([[[0.0, 0.0, 0.0]], moved[:-1]])
-        return pdf[block_cols]
+        out = []
+        for _, part in pdf.sort_values("_block").groupby(keys, sort=False):
+            turn = _running_product(part[_POSE[:4]].to_numpy(float))
+            before = np.vstack([[[1.0, 0.0, 0.0, 0.0]], turn[:-1]])
+            moved = np.cumsum(_rotate(before, part[_POSE[4:]].to_numpy(float)), axis=0)
+            part = part[piece].copy()
+            part[_POSE] = np.hstack([before, np.vstack([[[0.0, 0.0, 0.0]], moved[:-1]])])
+            out.append(part)
+        return pd.concat(out)[block_cols]
 
     def finish_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_at", ignore_index=True)
-        turn, at = _steps(pdf)
-        start = np.repeat(pdf[_POSE[:4]].head(1).to_numpy(float), len(pdf), axis=0)
-        world = _canonical(_unit_rows(_quat_mul(start, turn)))
-        place = pdf[_POSE[4:]].head(1).to_numpy(float) + _rotate(start, at)
+        pdf = pdf.sort_values([*piece, "_at"], ignore_index=True)
+        place, world = np.empty((len(pdf), 3)), np.empty((len(pdf), 4))
+        for rows in pdf.groupby(piece, sort=False).indices.values():
+            part = pdf.iloc[rows]
+            turn, at = _steps(part)
+            start = np.repeat(part[_POSE[:4]].head(1).to_numpy(float), len(part), axis=0)
+            world[rows] = _canonical(_unit_rows(_quat_mul(start, turn)))
+            place[rows] = part[_POSE[4:]].head(1).to_numpy(float) + _rotate(start, at)
         out = pdf[[*keys, "_at", "step_norm"]].copy()
         out["t_xyz"] = list(place)
         out["q_wxyz"] = list(world)
         return out[[*keys, "_at", "t_xyz", "q_wxyz", "step_norm"]]
 
-    blocks = steps.groupBy(*keys, "_block").applyInPandas(reduce_block, f"{key_ddl}, _block bigint, {pose_ddl}")
-    starts = blocks.groupBy(*keys).applyInPandas(chain_blocks, f"{key_ddl}, _block bigint, {pose_ddl}")
+    blocks = with_tasks(steps, piece).groupBy("_task").applyInPandas(reduce_block, f"{key_ddl}, _block bigint, {pose_ddl}")
+    blocks = written_table(blocks, "block-motions")
+    starts = with_tasks(blocks, keys).groupBy("_task").applyInPandas(chain_blocks, f"{key_ddl}, _block bigint, {pose_ddl}")
     poses = (
-        steps.join(starts, [*keys, "_block"])
-        .groupBy(*keys, "_block")
+        with_tasks(steps, piece)
+        .join(starts, piece)
+        .groupBy("_task")
         .applyInPandas(
             finish_block, f"{key_ddl}, _at bigint, t_xyz array<double>, q_wxyz array<double>, step_norm double"
         )

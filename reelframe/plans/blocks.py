@@ -259,6 +259,21 @@ def with_halo(
     return df.withColumn("_home", home).withColumn("_block", F.explode(F.array_compact(blocks)))
 
 
+TASK_ROWS = 1 << 18
+
+
+def with_tasks(df: DataFrame, unit: Sequence[str], rows: int = TASK_ROWS) -> DataFrame:
+    """Add ``_task``: units (such as key and block) hashed into groups of about ``rows`` rows.
+
+    A Python call per unit would cost more than the work on short videos, so a
+    call handles many of them. Units are never split, and each is bounded by its
+    block, which bounds the groups. Counts ``df`` first; pass a written table.
+    """
+    tasks = max(1, -(-df.count() // rows))
+    tasks = max(tasks, min(df.sparkSession.sparkContext.defaultParallelism, 64))
+    return df.withColumn("_task", F.pmod(F.xxhash64(*unit), F.lit(tasks)))
+
+
 def halo_window(keys: Sequence[str], index: str) -> Window:
     return Window.partitionBy(*keys, "_block").orderBy(index)
 

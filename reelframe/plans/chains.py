@@ -15,44 +15,52 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.plans.blocks import BLOCK_ROWS, index_block
+from reelframe.plans.blocks import BLOCK_ROWS, index_block, with_tasks
 from reelframe.session import written_table
 
 FOLD_ROWS = 1 << 20
 BLOCKS_PER_LEVEL = 1 << 10
 
 
-def _pointers(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-    """Rows by index and, per row, the position of its successor (-1 outside)."""
-    pdf = pdf.sort_values("idx", ignore_index=True)
+def _pointers(pdf: pd.DataFrame, unit: Sequence[str]) -> tuple[pd.DataFrame, np.ndarray]:
+    """Rows by unit and index and, per row, the position of its successor (-1 outside)."""
+    unit_no = pdf.groupby(list(unit), sort=False).ngroup().to_numpy(np.int64)
     idx = pdf["idx"].to_numpy(np.int64)
     nxt = pdf["next_idx"].fillna(-1).to_numpy(np.int64)
-    pos = np.searchsorted(idx, nxt)
-    inside = (nxt >= 0) & (pos < len(idx))
-    inside[inside] = idx[pos[inside]] == nxt[inside]
-    return pdf, np.where(inside, pos, -1)
-
-
-def _exits(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Where the chain from each start or entry leaves the block."""
-    pdf, succ = _pointers(pdf)
-    leave = pdf["next_idx"].fillna(-1).to_numpy(np.int64).copy()
-    for i in range(len(leave) - 1, -1, -1):
-        if succ[i] >= 0:
-            leave[i] = leave[succ[i]]
-    pdf["next_idx"] = np.where(leave >= 0, leave, -1)
-    keep = pdf["is_entry"] | (pdf["is_start"] & (leave >= 0))
-    return pdf[keep]
-
-
-def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All rows reached from the starts of this group."""
-    pdf, succ = _pointers(pdf)
+    width = max(idx.max(initial=0), nxt.max(initial=0)) + 2
+    code = unit_no * width + idx
+    order = np.argsort(code, kind="stable")
+    code, wanted = code[order], (unit_no * width + nxt)[order]
+    pos = np.searchsorted(code, wanted)
+    inside = (nxt[order] >= 0) & (pos < len(code))
+    inside[inside] = code[pos[inside]] == wanted[inside]
+    return pdf.iloc[order].reset_index(drop=True), np.where(inside, pos, -1)
+
+
+def _exits(pdf: pd.DataFrame, unit: Sequence[str]) -> pd.DataFrame:
+    """Where the chain from each start or entry leaves its unit; -1 where it ends inside."""
+    pdf, succ = _pointers(pdf, unit)
+    end = np.where(succ >= 0, succ, np.arange(len(succ)))
+    while True:
+        further = end[end]
+        if (further == end).all():
+            break
+        end = further
+    leave = pdf["next_idx"].fillna(-1).to_numpy(np.int64)[end]
+    pdf["next_idx"] = leave
+    return pdf[pdf["is_entry"] | (pdf["is_start"] & (leave >= 0))]
+
+
+def _walk(pdf: pd.DataFrame, unit: Sequence[str]) -> pd.DataFrame:
+    """All rows reached from the starts of their unit."""
+    pdf, succ = _pointers(pdf, unit)
     hit = np.zeros(len(pdf), dtype=bool)
-    for i in np.flatnonzero(pdf["is_start"].to_numpy(bool)):
-        while i >= 0 and not hit[i]:
-            hit[i] = True
-            i = succ[i]
+    front = np.flatnonzero(pdf["is_start"].to_numpy(bool))
+    while front.size:
+        hit[front] = True
+        front = succ[front]
+        front = np.unique(front[front >= 0])
+        front = front[~hit[front]]
     return pdf[hit]
 
 
@@ -76,10 +84,12 @@ def follow_chain(nodes: DataFrame, keys: Sequence[str], span: int = BLOCK_ROWS)
         "is_entry", F.coalesce("is_entry", F.lit(False))
     )
     cols = [*keys, "idx", "next_idx", "is_start", "is_entry"]
+    block = [*keys, "_block"]
     links = (
-        flagged.groupBy(*keys, "_block")
+        with_tasks(written_table(flagged, "chain-flagged"), block)
+        .groupBy("_task")
         .applyInPandas(
-            lambda pdf: _exits(pdf)[cols],
+            lambda pdf: _exits(pdf, block)[cols],
             f"{key_ddl}, idx bigint, next_idx bigint, is_start boolean, is_entry boolean",
         )
         .withColumn("next_idx", F.when(F.col("next_idx") >= 0, F.col("next_idx")))
@@ -88,18 +98,20 @@ def follow_chain(nodes: DataFrame, keys: Sequence[str], span: int = BLOCK_ROWS)
     widest = links.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     out_cols = [*keys, "idx"]
     if widest <= FOLD_ROWS:
-        reached = links.groupBy(*keys).applyInPandas(
-            lambda pdf: _walk(pdf)[out_cols], f"{key_ddl}, idx bigint"
+        reached = (
+            with_tasks(links, keys)
+            .groupBy("_task")
+            .applyInPandas(lambda pdf: _walk(pdf, keys)[out_cols], f"{key_ddl}, idx bigint")
         )
     else:
         reached = follow_chain(links, keys, span * BLOCKS_PER_LEVEL)
-    started = nodes.join(reached.withColumn("_hit", F.lit(True)), [*keys, "idx"], "left").withColumn(
+    started = with_tasks(nodes, block).join(reached.withColumn("_hit", F.lit(True)), [*keys, "idx"], "left").withColumn(
         "is_start", F.col("is_start") | F.col("_hit").isNotNull()
     )
     return (
         started.drop("_hit")
-        .groupBy(*keys, "_block")
-        .applyInPandas(lambda pdf: _walk(pdf)[out_cols], f"{key_ddl}, idx bigint")
+        .groupBy("_task")
+        .applyInPandas(lambda pdf: _walk(pdf, block)[out_cols], f"{key_ddl}, idx bigint")
     )
 
 
@@ -151,7 +163,7 @@ def greedy_suppress(df: DataFrame, keys: Sequence[str], window: float, block_sec
         F.col("score").cast("double"),
         F.lit(False).alias("kept"),
     )
-    shift = 0.0
+    unit, shift = [*keys, "_block"], 0.0
     while True:
         at = F.col("t") + F.lit(shift)
         home = F.floor(at / F.lit(length))
@@ -165,10 +177,13 @@ def greedy_suppress(df: DataFrame, keys: Sequence[str], window: float, block_sec
                 )
             ),
         )
-        active = written_table(
-            placed.groupBy(*keys, "_block").applyInPandas(lambda pdf: _suppress_block(pdf, window)[cols], ddl),
-            "suppress",
-        )
+        placed = written_table(placed, "suppress-placed")
+
+        def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+            parts = [_suppress_block(part, window) for _, part in pdf.groupby(unit, sort=False)]
+            return pd.concat(parts)[cols]
+
+        active = written_table(with_tasks(placed, unit).groupBy("_task").applyInPandas(decide, ddl), "suppress")
         if active.filter(~F.col("kept")).isEmpty():
             return active.select(*keys, "idx")
         shift = length / 2 if shift == 0.0 else 0.0
