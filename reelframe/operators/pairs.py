@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelframe.plans.blocks import along, index_block, previous
@@ -112,12 +112,11 @@ def descriptor_match(
 
     cols = ["frame_a", "frame_b", "ids_a", "bits_a", "ids_b", "bits_b"]
     best = joined.select(*cols).mapInPandas(compare, ddl)
-    d2 = F.when(F.col("d2") >= 0, F.col("d2"))
-    merged = best.groupBy("frame_a", "frame_b", "point_a").agg(
-        F.min(F.struct("d1", "point_b")).alias("m"),
-        F.sort_array(F.flatten(F.collect_list(F.array_compact(F.array(F.col("d1"), d2))))).alias("ds"),
-    )
-    second = F.get("ds", F.lit(1))
-    return merged.filter(second.isNotNull() & (F.col("m.d1") < ratio * second)).select(
-        "frame_a", "frame_b", "point_a", F.col("m.point_b").alias("point_b"), F.col("m.d1").alias("distance")
+    point = ["frame_a", "frame_b", "point_a"]
+    ranked = best.withColumn("m", F.min(F.struct("d1", "point_b")).over(Window.partitionBy(*point)))
+    other = F.when(F.col("point_b") != F.col("m.point_b"), F.col("d1"))
+    own = F.when(F.col("d2") >= 0, F.col("d2"))
+    merged = ranked.groupBy(*point).agg(F.first("m").alias("m"), F.least(F.min(other), F.min(own)).alias("second"))
+    return merged.filter(F.col("m.d1") < ratio * F.col("second")).select(
+        *point, F.col("m.point_b").alias("point_b"), F.col("m.d1").alias("distance")
     )

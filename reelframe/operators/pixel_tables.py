@@ -153,13 +153,25 @@ def blur_and_depth(
     )
 
 
-def reproject(pixels: DataFrame, lookup: DataFrame, keys: Sequence[str]) -> DataFrame:
+# A lookup row is about 50 bytes, so this many stay below 50 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def reproject(pixels: DataFrame, lookup: DataFrame, keys: Sequence[str], *, copies: int = 64) -> DataFrame:
     """Apply a lookup (view, y, x, sy, sx, w): weighted sum of source pixels.
 
-    Spark broadcasts the lookup when its size allows and shuffles it otherwise.
+    All frames share the few join keys (sy, sx). A lookup whose counted size is
+    small is broadcast; a larger one is copied per salt, so that no pixel position
+    gathers every frame in one task.
     """
     src = pixels.select(*keys, F.col("y").alias("sy"), F.col("x").alias("sx"), "v")
-    return src.join(lookup, ["sy", "sx"]).groupBy(*keys, "view", "y", "x").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    if lookup.count() <= BROADCAST_ROWS:
+        joined = src.join(F.broadcast(lookup), ["sy", "sx"])
+    else:
+        salted = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        src = src.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(copies)).cast("int"))
+        joined = src.join(salted, ["sy", "sx", "_salt"])
+    return joined.groupBy(*keys, "view", "y", "x").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
 
 def region_mask(height: int, width: int, kind: str, ratio: float | None = None) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -114,16 +114,33 @@ def _unit_rows(q: np.ndarray) -> np.ndarray:
     return np.where(n > 1e-12, q / np.where(n > 1e-12, n, 1.0), [1.0, 0.0, 0.0, 0.0])
 
 
-def _running_product(q: np.ndarray) -> np.ndarray:
-    """Inclusive products q0, q0 q1, ... by doubling; the product is associative."""
-    out, d = q.copy(), 1
-    while d < len(out):
-        out[d:] = _quat_mul(out[:-d], out[d:])
-        out = _unit_rows(out)
+def _piece_starts(pdf: pd.DataFrame, piece: Sequence[str]) -> np.ndarray:
+    """Row at which each row's piece begins; rows of a piece are adjacent."""
+    number = pdf.groupby(list(piece), sort=False).ngroup().to_numpy()
+    fresh = np.r_[True, number[1:] != number[:-1]]
+    return np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+
+
+def _scan(values: np.ndarray, starts: np.ndarray, combine: Callable) -> np.ndarray:
+    """Inclusive scan inside every piece by doubling; ``combine`` is associative."""
+    out, place, d = values.copy(), np.arange(len(values)) - starts, 1
+    while (rows := np.flatnonzero(place >= d)).size:
+        out[rows] = combine(out[rows - d], out[rows])
         d *= 2
     return out
 
 
+def _turns(q: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return _scan(q, starts, lambda a, b: _unit_rows(_quat_mul(a, b)))
+
+
+def _shifted(values: np.ndarray, starts: np.ndarray, first: Sequence[float]) -> np.ndarray:
+    """Value of the row before inside the piece, ``first`` on its first row."""
+    out = np.roll(values, 1, axis=0)
+    out[starts] = first
+    return out
+
+
 def _canonical(q: np.ndarray) -> np.ndarray:
     """Sign under which a matrix is usually turned into a quaternion: w > 0 for small
     rotations, otherwise the largest of x, y, z positive."""
@@ -136,14 +153,14 @@ def _canonical(q: np.ndarray) -> np.ndarray:
     return q * np.where(q[np.arange(len(q)), lead] < 0, -1.0, 1.0)[:, None]
 
 
-def _steps(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Per row the rotation up to it and the position after it, both from the block's start."""
+def _steps(pdf: pd.DataFrame, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row the rotation up to it and the position after it, both from the piece's start."""
     valid = pdf["vo_valid"].to_numpy(bool)
     q = _unit_rows(np.stack(pdf["q_rel"].to_numpy()).astype(float))
     q[~valid] = [1.0, 0.0, 0.0, 0.0]
-    turn = _running_product(q)
-    d = np.stack(pdf["t_step"].to_numpy()).astype(float)
-    return turn, np.cumsum(_rotate(turn, d), axis=0)
+    turn = _turns(q, starts)
+    moved = _rotate(turn, np.stack(pdf["t_step"].to_numpy()).astype(float))
+    return turn, _scan(moved, starts, np.add)
 
 
 _POSE = ["qw", "qx", "qy", "qz", "tx", "ty", "tz"]
@@ -186,35 +203,29 @@ def integrate_trajectory(
     block_cols = [*piece, *_POSE]
 
     def reduce_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for key, part in pdf.sort_values("_at").groupby(piece, sort=False):
-            turn, at = _steps(part)
-            out.append([*key, *turn[-1], *at[-1]])
-        return pd.DataFrame(out, columns=block_cols)
+        pdf = pdf.sort_values([*piece, "_at"], ignore_index=True)
+        starts = _piece_starts(pdf, piece)
+        turn, at = _steps(pdf, starts)
+        last = np.r_[starts[1:] != starts[:-1], True]
+        out = pdf.loc[last, piece].copy()
+        out[_POSE] = np.hstack([turn, at])[last]
+        return out[block_cols]
 
     def chain_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, part in pdf.sort_values("_block").groupby(keys, sort=False):
-            turn = _running_product(part[_POSE[:4]].to_numpy(float))
-            before = np.vstack([[[1.0, 0.0, 0.0, 0.0]], turn[:-1]])
-            moved = np.cumsum(_rotate(before, part[_POSE[4:]].to_numpy(float)), axis=0)
-            part = part[piece].copy()
-            part[_POSE] = np.hstack([before, np.vstack([[[0.0, 0.0, 0.0]], moved[:-1]])])
-            out.append(part)
-        return pd.concat(out)[block_cols]
+        pdf = pdf.sort_values(piece, ignore_index=True)
+        starts = _piece_starts(pdf, keys)
+        before = _shifted(_turns(pdf[_POSE[:4]].to_numpy(float), starts), starts, [1.0, 0.0, 0.0, 0.0])
+        moved = _scan(_rotate(before, pdf[_POSE[4:]].to_numpy(float)), starts, np.add)
+        pdf[_POSE] = np.hstack([before, _shifted(moved, starts, [0.0, 0.0, 0.0])])
+        return pdf[block_cols]
 
     def finish_block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([*piece, "_at"], ignore_index=True)
-        place, world = np.empty((len(pdf), 3)), np.empty((len(pdf), 4))
-        for rows in pdf.groupby(piece, sort=False).indices.values():
-            part = pdf.iloc[rows]
-            turn, at = _steps(part)
-            start = np.repeat(part[_POSE[:4]].head(1).to_numpy(float), len(part), axis=0)
-            world[rows] = _canonical(_unit_rows(_quat_mul(start, turn)))
-            place[rows] = part[_POSE[4:]].head(1).to_numpy(float) + _rotate(start, at)
+        turn, at = _steps(pdf, _piece_starts(pdf, piece))
+        start = pdf[_POSE[:4]].to_numpy(float)
         out = pdf[[*keys, "_at", "step_norm"]].copy()
-        out["t_xyz"] = list(place)
-        out["q_wxyz"] = list(world)
+        out["t_xyz"] = list(pdf[_POSE[4:]].to_numpy(float) + _rotate(start, at))
+        out["q_wxyz"] = list(_canonical(_unit_rows(_quat_mul(start, turn))))
         return out[[*keys, "_at", "t_xyz", "q_wxyz", "step_norm"]]
 
     blocks = with_tasks(steps, piece).groupBy("_task").applyInPandas(reduce_block, f"{key_ddl}, _block bigint, {pose_ddl}")

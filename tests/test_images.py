@@ -135,3 +135,31 @@ def test_inpaint_hook_keeps_frame_on_failure(spark):
 
     out = {r.frame_index: image(r) for r in masks.inpaint(df, mask, KEYS, hook).collect()}
     assert (out[0] == 0).all() and (out[1] == CHECKER).all()
+
+
+def test_large_lookup_takes_the_salted_join(spark, monkeypatch):
+    df = frames(spark, [np.random.default_rng(i).integers(0, 256, (8, 16)).astype(np.uint8) for i in range(3)])
+    px, lookup = pixels.explode_payload(df, KEYS), reproject.cubemap_lookup(spark, 16, 8, 4)
+    rows = lambda: sorted((r.frame_index, r.view, r.y, r.x, round(r.v, 9)) for r in pixel_tables.reproject(px, lookup, KEYS).collect())
+    small = rows()
+    monkeypatch.setattr(pixel_tables, "BROADCAST_ROWS", 0)
+    assert rows() == small
+
+
+def test_descriptor_match_over_chunks(spark):
+    from reelframe.operators.pairs import descriptor_match
+
+    rng = np.random.default_rng(5)
+    bits = rng.integers(0, 2**20, (2, 60))
+    bits[1, :20] = bits[0, :20] ^ 1
+    rows = [(f, i, int(bits[f, i])) for f in range(2) for i in range(60)]
+    df = spark.createDataFrame(rows, "frame long, point_id long, bits long")
+    pairs = spark.createDataFrame([(0, 1)], "frame_a long, frame_b long")
+    want = []
+    for i in range(60):
+        d = sorted((bin(int(bits[0, i] ^ b)).count("1"), j) for j, b in enumerate(bits[1]))
+        if d[0][0] < 0.7 * d[1][0]:
+            want.append((i, d[0][1], d[0][0]))
+    for chunk in (7, 1000):
+        out = descriptor_match(df, pairs, chunk=chunk)
+        assert sorted((r.point_a, r.point_b, r.distance) for r in out.collect()) == want
