@@ -171,7 +171,7 @@ def _feature_distribution(spark, sf):
     with_views(
         _POINT_SQL
         + """, r AS (SELECT frame, nx / l AS a, ny / l AS b, 1 / l AS c FROM (SELECT *, sqrt(nx * nx + ny * ny + 1) + 1e-6 AS l FROM (
-          SELECT frame, 2 * x / 640 - 1 AS nx, 2 * y / 480 - 1 AS ny FROM pts WHERE point_id < 400) q1) q2),
+          SELECT frame, 2 * x / 640 - 1 AS nx, 2 * y / 480 - 1 AS ny FROM pts WHERE point_id < 500) q1) q2),
         v AS (SELECT frame, count(*) AS points, covar_samp(a, a) AS aa, covar_samp(b, b) AS bb, covar_samp(c, c) AS cc,
           covar_samp(a, b) AS ab, covar_samp(a, c) AS ac, covar_samp(b, c) AS bc FROM r GROUP BY frame),
         s AS (SELECT *, (aa + bb + cc) / 3 AS q FROM v),
@@ -182,7 +182,7 @@ def _feature_distribution(spark, sf):
     ),
 )
 def _ray_dispersion(spark, sf):
-    return G.ray_dispersion(_points(spark, sf), ["frame"], 640, 480, limit=400)
+    return G.ray_dispersion(_points(spark, sf), ["frame"], 640, 480)
 
 
 _BOXES = "SELECT s_suppkey AS frame, n * 200.0 AS x1, n * 200.0 + s_acctbal / 100.0 + 10 AS x2, n * 100.0 AS y1, n * 100.0 + 150 AS y2 FROM supplier"

@@ -334,13 +334,13 @@ def _apply_region_mask(spark, sf):
     "mask_sets",
     "video_id:l frame_index:l n_both:l n_either:l",
     with_views(
-        """SELECT video_id, frame_index, count(*) FILTER (v > 100 AND (x + y) % 3 = 0) AS n_both,
-        count(*) FILTER (v > 100 OR (x + y) % 3 = 0) AS n_either FROM pixels_v GROUP BY ALL"""
+        """SELECT video_id, frame_index, count(*) FILTER (v > 100 AND x > y) AS n_both,
+        count(*) FILTER (v > 100 OR x > y) AS n_either FROM pixels_v GROUP BY ALL"""
     ),
 )
 def _mask_sets(spark, sf):
     px = V.pixels(spark, sf)
-    a, b = px.filter("v > 100"), px.filter("(x + y) % 3 = 0")
+    a, b = px.filter("v > 100"), px.filter("x > y")
     n = lambda df, c: df.groupBy(*FRAME).agg(F.count(F.lit(1)).alias(c))
     both, either = n(T.mask_intersect(a, b, FRAME), "n_both"), n(T.mask_union(a, b, FRAME), "n_either")
     return either.join(both, FRAME, "left").withColumn("n_both", F.coalesce("n_both", F.lit(0)))
@@ -382,14 +382,14 @@ def _motion_mask(spark, sf):
     with_views(
         """, box AS (SELECT video_id, frame_index, greatest(0, least(7, CAST(trunc(v / 40 - 1) AS INT))) AS x1,
           greatest(0, least(8, CAST(trunc(v / 40 + 2) AS INT))) AS x2, greatest(0, least(7, y)) AS y1, greatest(0, least(8, y + 2)) AS y2
-          FROM pixels_v WHERE x = 3 AND y % 3 = 0 AND v > 90)
+          FROM pixels_v WHERE x = 3 AND v > 90)
         SELECT p.video_id, p.frame_index, p.y, p.x, CASE WHEN EXISTS (SELECT 1 FROM box b WHERE b.video_id = p.video_id
           AND b.frame_index = p.frame_index AND p.x >= x1 AND p.x < x2 AND p.y >= y1 AND p.y < y2) THEN 0 ELSE 255 END AS mask FROM pixels_v p"""
     ),
 )
 def _detections_to_mask(spark, sf):
     px = V.pixels(spark, sf)
-    boxes = px.filter("x = 3 AND y % 3 = 0 AND v > 90").select(
+    boxes = px.filter("x = 3 AND v > 90").select(
         *FRAME,
         (F.col("v") / 40 - 1).alias("x1"),
         (F.col("v") / 40 + 2).alias("x2"),

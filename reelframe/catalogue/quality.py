@@ -217,10 +217,10 @@ def _vo_schedule(spark, sf):
     """SELECT s_suppkey AS supplier, CASE WHEN s_suppkey % 5 = 0 THEN 'vo_disabled_by_config'
       WHEN n_nationkey IS NULL THEN 'calibration_unavailable'
       WHEN s_suppkey % 2 = 0 AND s_suppkey % 3 = 0 THEN 'projection_mode_unsupported' ELSE 'enabled' END AS reason
-    FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) n ON s_nationkey = n_nationkey""",
+    FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 3) n ON s_nationkey = n_nationkey""",
 )
 def _vo_runtime_status(spark, sf):
-    calib = V.table(spark, sf, "nation").filter("n_nationkey < 20").select("n_nationkey")
+    calib = V.table(spark, sf, "nation").filter("n_regionkey <> 3").select("n_nationkey")
     s = V.table(spark, sf, "supplier").join(calib, F.col("s_nationkey") == F.col("n_nationkey"), "left")
     key = F.col("s_suppkey")
     return s.select(

@@ -12,6 +12,7 @@ from reelframe.catalogue.views import with_views
 from reelframe.functions import scores as S
 from reelframe.operators import keyframes as E
 from reelframe.session import written_table
+from reelframe.sources.frames import sample_frames
 
 PARAMS = E.SelectionParams(
     quality_threshold=0.5,
@@ -97,5 +98,5 @@ def _select_with_trajectory(spark, sf):
         F.array(*[F.expr(e).cast("double") for e in _T_DIR]).alias("t_dir"),
         F.col("inlier_ratio").alias("vo_confidence"),
     )
-    motion = df.filter("frame_index % 5 = 0").select(*KEYS, "frame_index", S.motion_risk("laplacian_var", "flow_mag", "ssim").alias("motion_risk"))
+    motion = sample_frames(df, step=5).select(*KEYS, "frame_index", S.motion_risk("laplacian_var", "flow_mag", "ssim").alias("motion_risk"))
     return E.stage3_keyframes(candidates, keyframes, steps, motion, KEYS, PARAMS)

@@ -339,7 +339,7 @@ def _nms(spark, sf):
     "fill_max_interval",
     "video_id:l frame_index:l",
     with_views(
-        """, kf AS (SELECT * FROM frames_v WHERE frame_index % 13 = 2),
+        """, kf AS (SELECT * FROM frames_v WHERE orb_keypoints >= 92),
         gaps AS (SELECT video_id, frame_index AS last, timestamp_s AS last_t, lead(frame_index) OVER w AS f1, lead(timestamp_s) OVER w AS t1
           FROM kf WINDOW w AS (PARTITION BY video_id ORDER BY frame_index)),
         fill AS (SELECT * FROM gaps UNION ALL SELECT video_id, pick.f, pick.t, f1, t1 FROM (
@@ -352,8 +352,8 @@ def _nms(spark, sf):
     ),
 )
 def _fill_max_interval(spark, sf):
-    df = written_table(V.frames(spark, sf).select(*KEYS, "frame_index", "timestamp_s", "score"), "frames")
-    return K.fill_max_interval(df.filter("frame_index % 13 = 2"), df, KEYS, max_seconds=1.5 * DAY, span=48)
+    df = written_table(V.frames(spark, sf).select(*KEYS, "frame_index", "timestamp_s", "score", "orb_keypoints"), "frames")
+    return K.fill_max_interval(df.filter("orb_keypoints >= 92"), df, KEYS, max_seconds=1.5 * DAY, span=48)
 
 
 @query(
@@ -493,7 +493,7 @@ def _nearest_sql(left: str, right: str, cols: str, on: str = "frame_index") -> s
     with_views(
         _nearest_sql(
             "SELECT * FROM frames_v WHERE event_type <> 'view'",
-            "SELECT * FROM frames_v WHERE frame_index % 5 = 1",
+            "SELECT * FROM frames_v WHERE event_type = 'view'",
             """SELECT p.video_id, p.frame_index, abs(p.frame_index - k) AS gap, r.flow_mag AS r_flow_mag
             FROM p LEFT JOIN r ON r.video_id = p.video_id AND r.frame_index = k""",
         )
@@ -501,7 +501,7 @@ def _nearest_sql(left: str, right: str, cols: str, on: str = "frame_index") -> s
 )
 def _nearest_join(spark, sf):
     df = written_table(V.frames(spark, sf).select(*KEYS, "frame_index", "flow_mag", "event_type"), "frames")
-    right = df.filter("frame_index % 5 = 1").select(*KEYS, "frame_index", "flow_mag")
+    right = df.filter("event_type = 'view'").select(*KEYS, "frame_index", "flow_mag")
     return N.nearest_join(df.filter("event_type <> 'view'"), right, KEYS, "frame_index", dense=True)
 
 
@@ -511,7 +511,7 @@ def _nearest_join(spark, sf):
     with_views(
         _nearest_sql(
             "SELECT * FROM frames_v",
-            "SELECT * FROM frames_v WHERE vo_attempted AND frame_index % 3 = 0",
+            "SELECT * FROM frames_v WHERE vo_attempted AND NOT vo_valid",
             """SELECT p.video_id, p.frame_index, coalesce(r.rotation_delta, p.rotation_delta) AS rotation_delta,
             coalesce(r.match_count, p.match_count) AS match_count
             FROM p LEFT JOIN r ON r.video_id = p.video_id AND r.frame_index = k""",
@@ -519,8 +519,8 @@ def _nearest_join(spark, sf):
     ),
 )
 def _inject_motion(spark, sf):
-    df = written_table(V.frames(spark, sf).select(*KEYS, "frame_index", "rotation_delta", "match_count", "vo_attempted"), "frames")
-    motion = df.filter("vo_attempted AND frame_index % 3 = 0").drop("vo_attempted")
+    df = written_table(V.frames(spark, sf).select(*KEYS, "frame_index", "rotation_delta", "match_count", "vo_attempted", "vo_valid"), "frames")
+    motion = df.filter("vo_attempted AND NOT vo_valid").drop("vo_attempted", "vo_valid")
     return N.inject_motion(df, motion, KEYS)
 
 

@@ -162,3 +162,18 @@ def test_timestamps_fall_back_to_thirty(spark):
     videos = spark.createDataFrame([(1, 15.0), (2, None)], "video_id long, fps double")
     out = {r.video_id: r.timestamp_s for r in frames.timestamps(df, videos, ["video_id"]).collect()}
     assert out == {1: 2.0, 2: 1.0}
+
+
+def test_slice_of_frames(spark):
+    df = spark.range(20).withColumnRenamed("id", "frame_index")
+    out = frames.sample_frames(df, start=2, end=15, step=4)
+    assert sorted(r.frame_index for r in out.collect()) == [2, 6, 10, 14]
+
+
+def test_top_k_is_trimmed_before_the_shuffle(spark):
+    from reelframe.operators.selection import limit_top_k
+
+    df = spark.range(100).select((F.col("id") % 3).alias("video_id"), F.col("id").alias("frame_index"), F.rand(1).alias("score"))
+    out = limit_top_k(df, ["video_id"], 2)
+    assert out.count() == 6
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
