@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelframe.session import ship_package
+
 DIGITS = 6
 # Moves decimal ties such as 0.1234565 off the rounding border on both sides.
 NUDGE = 1.7e-9
@@ -21,6 +23,7 @@ class Query:
     sql: str | None
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
         return self.build(spark, sf_dir).select(*[_spark_column(n, t) for n, t in self.columns])
 
     def check_sql(self) -> str | None:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def build_session(cpus: str | int = "*", app: str = "reelframe") -> SparkSession:
@@ -26,6 +29,20 @@ def build_session(cpus: str | int = "*", app: str = "reelframe") -> SparkSession
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application.
+
+    Functions that run inside tasks import it, whatever folder the driver started in.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="spark-package-")) / package.name
+    spark.sparkContext.addPyFile(shutil.make_archive(str(target), "zip", package.parent, package.name))
+    _SHIPPED.add(app)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one only in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
