@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reelframe.llm import mixing, quality_rules
+from reelframe.llm import mixing, ngram_join, quality_rules, toxicity
 from reelframe.llm.registry import QUERIES, query, table  # noqa: F401
 
 # Words of a text as DuckDB lists, and the counts of the quality rules.
@@ -78,3 +78,17 @@ def op4(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.mix(docs, keep=("doc_id",))
     return mixed.select("m_row.doc_id", *(F.col(f"m_{c}").alias(c) for c in ("size", "source_size", "target", "taken")))
+
+
+@query("op3_ngram_join")
+def op3(spark, sf_dir):
+    return ngram_join.linked_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+@query("op5_toxicity")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "sentences"
+    )

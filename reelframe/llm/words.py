@@ -37,13 +37,15 @@ def _byte_values(lower: bool) -> np.ndarray:
     return mix((codes + _U(1)) * _U(_ODD))
 
 
-@lru_cache(maxsize=1)
-def _separators() -> np.ndarray:
+def _blank_bytes() -> np.ndarray:
     table = np.zeros(256, bool)
     table[[0x20, *range(0x09, 0x0E)]] = True
     return table
 
 
+BLANK_BYTES = _blank_bytes()
+
+
 @lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     base = 0xD6E8FEB86659FD93
@@ -56,9 +58,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def word_spans(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, breaks: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end (exclusive) of each word; no word crosses a break, where the next row starts."""
-    inside = ~_separators()[data]
+    inside = ~separators[data]
     new = np.zeros(len(data) + 1, bool)
     new[breaks] = True
     first = inside.copy()
@@ -90,10 +92,9 @@ def column_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
 
 
-def pieces(offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+def pieces(offsets: np.ndarray, data: np.ndarray, sep: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
     """(first row, end row, byte ranges): many small rows in one range, or one long row in several."""
     row, n = 0, len(offsets) - 1
-    sep = _separators()
     while row < n:
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PIECE, "right")) - 1)
         a, z = int(offsets[row]), int(offsets[end])
@@ -115,20 +116,32 @@ def pieces(offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, int, li
         row = end
 
 
-def row_word_hashes(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, hashes of its words in order) for every row, empty rows included."""
+def row_spans(
+    texts: pa.Array, lower: bool = False, separators: np.ndarray = BLANK_BYTES
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, its bytes, its words' hashes in order, where they start) for every row, empty rows included.
+
+    ``separators`` marks the bytes that no word holds; bytes of 128 and more must not be among them.
+    """
     offsets, data = column_bytes(texts)
-    for first, end, ranges in pieces(offsets, data):
+    for first, end, ranges in pieces(offsets, data, separators):
         hashes, starts = [], []
+        rows = offsets[first : end + 1]
         for a, z in ranges:
-            rows = offsets[first : end + 1]
-            s, e = word_spans(data[a:z], rows[(rows >= a) & (rows <= z)] - a)
+            s, e = word_spans(data[a:z], rows[(rows >= a) & (rows <= z)] - a, separators)
             hashes.append(span_hashes(data[a:z], s, e, lower))
             starts.append(s + a)
         h, s = np.concatenate(hashes), np.concatenate(starts)
-        cuts = np.searchsorted(s, offsets[first : end + 1])
+        cuts = np.searchsorted(s, rows)
         for r in range(first, end):
-            yield r, h[cuts[r - first] : cuts[r - first + 1]]
+            i, j = cuts[r - first], cuts[r - first + 1]
+            yield r, data[offsets[r] : offsets[r + 1]], h[i:j], s[i:j] - offsets[r]
+
+
+def row_word_hashes(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, hashes of its words in order) for every row, empty rows included."""
+    for row, _, hashes, _ in row_spans(texts, lower):
+        yield row, hashes
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
