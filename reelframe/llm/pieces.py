@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.llm.words import mix
+from reelframe.llm.words import mix, row_slices
 
 SPACE = "▁"
 UNKNOWN_PENALTY = np.float32(10.0)
@@ -250,7 +250,7 @@ def _encode(batches: Iterator[pa.RecordBatch], pieces, text: str, keep_ids: bool
     encoder, decoder = Encoder(pieces.value), Decoder(pieces.value)
     for batch in batches:
         column = batch.column(text)
-        for a, z in _slices(column):
+        for a, z in row_slices(column):
             texts = column.slice(a, z - a).to_pylist()
             ids = encoder.encode(texts)
             own = batch.slice(a, z - a)
@@ -263,18 +263,6 @@ def _encode(batches: Iterator[pa.RecordBatch], pieces, text: str, keep_ids: bool
             yield pa.RecordBatch.from_pydict(out)
 
 
-def _slices(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Row ranges of about so many bytes."""
-    sizes = np.array([len(x) if x is not None else 0 for x in (v.as_buffer() for v in column.fill_null("").cast(pa.binary()))], np.int64)
-    a = 0
-    ends = np.cumsum(sizes)
-    while a < len(sizes):
-        base = ends[a] - sizes[a]
-        z = max(a + 1, int(np.searchsorted(ends, base + most, "right")))
-        yield a, z
-        a = z
-
-
 def encode(docs: DataFrame, path: str, text: str = "text", id_column: str = "doc_id", keep_ids: bool = True) -> DataFrame:
     """The id column, n_pieces, the crc32 of the ids (little-endian 32-bit), whether they decode to the text, and the ids."""
     pieces = docs.sparkSession.sparkContext.broadcast(load(path))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from reelframe.llm import mixing, ngram_join, quality_rules, toxicity
+from reelframe.llm import mixing, ngram_join, pieces, quality_rules, separators, token_files, toxicity
 from reelframe.llm.registry import QUERIES, query, table  # noqa: F401
 
 # Words of a text as DuckDB lists, and the counts of the quality rules.
@@ -92,3 +93,25 @@ def op5(spark, sf_dir):
     return toxicity.score(docs, model).select(
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "sentences"
     )
+
+
+@query("op2_token_counts", "SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_tokens FROM documents")
+def op2(spark, sf_dir):
+    folder = token_files.new_folder(spark, "flat-tokens")
+    separators.write_flat_files(table(spark, sf_dir, "documents"), folder)
+    files = spark.read.parquet(folder)
+    return separators.named(separators.count_tokens(files), files).where("complete").select("doc_id", "n_tokens")
+
+
+@query("op6_sentencepiece")
+def op6(spark, sf_dir):
+    return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)
+
+
+@query("op10_token_files")
+def op10(spark, sf_dir):
+    folder = token_files.new_folder(spark, "token-files")
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    token_files.write_token_files(table(spark, sf_dir, "documents"), definition, folder, vocabulary=50257, end_id=0)
+    return token_files.read_documents(spark, folder)

@@ -35,12 +35,17 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class Settings:
-    """``per_class``, ``max_pairs``: bounds of the training sample. ``min_texts``: a word must stand in so many."""
+    """``per_class``, ``max_pairs``: bounds of the training sample.
+
+    ``min_sentences``, ``min_z``: a word is used if so many different sentences of toxic texts hold it and
+    its share among them is larger than among the other sentences by so many standard errors.
+    """
 
     per_class: int = 6000
     max_pairs: int = 6_000_000
-    min_texts: int = 4
-    rounds: int = 120
+    min_sentences: int = 4
+    min_z: float = 5.0
+    rounds: int = 200
     rate: float = 0.15
     ridge: float = 1e-5
     start: float = -6.0
@@ -92,19 +97,35 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
+def _telling(feature: np.ndarray, instance: np.ndarray, toxic: np.ndarray, s: Settings) -> np.ndarray:
+    """Which words to use. Equal sentences count once, so copies of one text don't make its words telling."""
+    width = 1 << FEATURE_BITS
+    content = np.zeros(len(toxic), np.uint64)
+    np.add.at(content, instance, W.mix(feature.astype(np.uint64) + _U(1)))
+    content = content * _U(2) + toxic
+    _, once, same = np.unique(content, return_index=True, return_inverse=True)
+    first_of = np.zeros(len(toxic), bool)
+    first_of[once] = True
+    kept = first_of[instance]
+    a = np.bincount(feature[kept & toxic[instance]], minlength=width)
+    b = np.bincount(feature[kept & ~toxic[instance]], minlength=width)
+    n1, n0 = max(1, int((first_of & toxic).sum())), max(1, int((first_of & ~toxic).sum()))
+    rate = (a + b) / (n1 + n0)
+    z = (a / n1 - b / n0) / np.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0) + 1e-12)
+    return (a >= s.min_sentences) & (z >= s.min_z)
+
+
 def fit(labels: np.ndarray, pairs: list[np.ndarray], positive_share: float, s: Settings) -> tuple[float, np.ndarray]:
     """Bias and weights by full-batch Adam on the log loss of the noisy-or."""
     width = 1 << FEATURE_BITS
     doc_of = np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
     flat = np.concatenate(pairs) if len(pairs) else np.zeros(0, np.int64)
     feature, sentence = flat & (width - 1), flat >> FEATURE_BITS
-    seen = np.unique((doc_of.astype(np.int64) << FEATURE_BITS) | feature)
-    common = np.bincount(seen & (width - 1), minlength=width) >= s.min_texts
-    # Sentences keep an instance even when all their words are rare.
+    # Sentences keep an instance even when none of their words is used.
     key = (doc_of.astype(np.int64) << 40) | sentence
     _, first, instance = np.unique(key, return_index=True, return_inverse=True)
     owner = doc_of[first]
-    used = common[feature]
+    used = _telling(feature, instance, labels.astype(bool)[owner], s)[feature]
     columns, compact = np.unique(feature[used], return_inverse=True)
     rows = instance[used]
     y = labels.astype(bool)

@@ -153,3 +153,13 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     for j in range(k):
         g = mix(g * _U(_ODD) + words[j : len(words) - k + 1 + j])
     return g
+
+
+def row_slices(texts: pa.Array, most: int = PIECE) -> Iterator[tuple[int, int]]:
+    """Row ranges of about so many bytes; a longer row stands alone."""
+    offsets, _ = column_bytes(texts)
+    a, n = 0, len(offsets) - 1
+    while a < n:
+        z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
+        yield a, z
+        a = z
