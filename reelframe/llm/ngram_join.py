@@ -3,15 +3,16 @@
 1. A sketch counts all n-grams of all texts in 2^20 hashed cells (one array a task, summed in segments).
    It orders n-grams from rare to frequent. The order decides only the speed; any order gives the same
    links.
-2. Per text: set size, a 128-bit fingerprint of the set, its rarest n-grams (the prefix) and the number
-   of n-grams per hash range. Texts with equal sets form a class, and the class's smallest id stands for it.
+2. Per text: set size, a 128-bit fingerprint of the set, its rarest n-grams (the prefix) and the parities
+   of 512 hash ranges. Texts with equal sets form a class, and the class's smallest id stands for it.
 3. Classes that share a prefix n-gram are candidates. The length filter, the positional filter and a
-   suffix filter (a lower bound of the difference from the counts per hash range) drop what can't reach
-   the threshold. What is left is verified on the whole sets of both texts, once per pair.
+   suffix filter drop what can't reach the threshold: an n-gram in one set only flips one parity, so
+   the number of differing parities is a lower bound of the difference of two sets. What is left is
+   verified on the whole sets of both texts, once per pair.
 4. In each list of classes with a common prefix n-gram, first only pairs with one hub (chosen by a seeded
    hash) are verified. Members that now share a component need no further test, since components are what
-   is asked for. Further rounds take other hubs while they save work; then all pairs that still join two
-   components are verified. So a group of many near copies costs about one test a member, and no pair of
+   is asked for. Further rounds take other hubs while each halves the open pairs; then all pairs that still
+   join two components are verified. So a group of many near copies costs about one test a member, and no pair of
    different components goes untested.
 
 Words are the runs of ``[^\\x20\\x09-\\x0D]`` after lower-casing A-Z. A text with fewer than n words is one
@@ -35,7 +36,7 @@ from reelframe.session import written_table
 
 CELL_BITS = 20
 SEGMENT_BITS = 12
-RANGES = 16
+PARITIES = [f"p{i}" for i in range(8)]
 MAX_HUB_ROUNDS = 8
 _U = np.uint64
 
@@ -104,7 +105,7 @@ def _describe(batches: Iterator[pa.RecordBatch], n: int, percent: int, levels) -
     table = np.frombuffer(levels.value, np.uint8)
     for batch in batches:
         ids = batch.column("doc_id")
-        rows, sizes, f1, f2, prefixes, ranges = [], [], [], [], [], []
+        rows, sizes, f1, f2, prefixes, marks = [], [], [], [], [], []
         for row, g in _text_sets(batch, n):
             rows.append(row)
             sizes.append(len(g))
@@ -116,12 +117,13 @@ def _describe(batches: Iterator[pa.RecordBatch], n: int, percent: int, levels) -
             if k < len(keys):
                 keys = np.partition(keys, k - 1)[:k]
             prefixes.append(np.sort(keys).view(np.int64))
-            ranges.append(np.bincount((g & _U(RANGES - 1)).astype(np.int64), minlength=RANGES).astype(np.int32))
+            odd = np.bincount((g & _U(64 * len(PARITIES) - 1)).astype(np.int64), minlength=64 * len(PARITIES)) & 1
+            marks.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             if len(rows) >= 2000:
-                yield _described(ids, rows, sizes, f1, f2, prefixes, ranges)
-                rows, sizes, f1, f2, prefixes, ranges = [], [], [], [], [], []
+                yield _described(ids, rows, sizes, f1, f2, prefixes, marks)
+                rows, sizes, f1, f2, prefixes, marks = [], [], [], [], [], []
         if rows:
-            yield _described(ids, rows, sizes, f1, f2, prefixes, ranges)
+            yield _described(ids, rows, sizes, f1, f2, prefixes, marks)
 
 
 def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -129,7 +131,8 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays), kind))
 
 
-def _described(ids, rows, sizes, f1, f2, prefixes, ranges) -> pa.RecordBatch:
+def _described(ids, rows, sizes, f1, f2, prefixes, marks) -> pa.RecordBatch:
+    table = np.stack(marks)
     return pa.RecordBatch.from_pydict(
         {
             "doc_id": ids.take(pa.array(rows)),
@@ -137,8 +140,8 @@ def _described(ids, rows, sizes, f1, f2, prefixes, ranges) -> pa.RecordBatch:
             "f1": pa.array(np.array(f1, np.uint64).view(np.int64)),
             "f2": pa.array(np.array(f2, np.uint64).view(np.int64)),
             "prefix": _lists(prefixes, pa.int64()),
-            "ranges": _lists(ranges, pa.int32()),
         }
+        | {c: pa.array(np.ascontiguousarray(table[:, i])) for i, c in enumerate(PARITIES)}
     )
 
 
@@ -204,7 +207,7 @@ def linked_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFra
     described = written_table(
         docs.mapInArrow(
             partial(_describe, n=n, percent=percent, levels=levels),
-            "doc_id long, size long, f1 long, f2 long, prefix array<long>, ranges array<int>",
+            "doc_id long, size long, f1 long, f2 long, prefix array<long>, " + ", ".join(f"{c} long" for c in PARITIES),
         ),
         "ngram-sets",
     )
@@ -216,7 +219,7 @@ def linked_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFra
     stands = (
         named.join(classes.select(F.col("class_id").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"])
         .groupBy("doc_id", "f1", "f2")
-        .agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("ranges").alias("ranges"))
+        .agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), *(F.first(c).alias(c) for c in PARITIES))
     )
     stands = written_table(stands, "ngram-stands")
     entries = stands.select("doc_id", "size", F.posexplode("prefix").alias("pos", "gram"))
@@ -228,29 +231,35 @@ def linked_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFra
     links = written_table(members.join(homes, "doc_id").where("a <> class_id").select("a", F.col("class_id").alias("b")), "ngram-links")
     cast = docs.where("doc_id IS NOT NULL")
     tested = written_table(links.select("a", "b").limit(0), "ngram-tested")
+    # An id that repeats with other texts has no single set to judge by: ``texts`` > 1 turns the filter off.
+    facts = stands.groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts"), F.first("size").alias("size"), *(F.first(c).alias(c) for c in PARITIES))
     roots = None
-    open_lists, size_before = lists.withColumn("root", F.col("doc_id")), None
+    open_lists, before = lists.withColumn("root", F.col("doc_id")), None
     for round_ in range(MAX_HUB_ROUNDS + 1):
         if roots is not None:
-            open_lists = lists.join(roots, F.col("doc_id") == F.col("node"), "left").select(
+            rooted = lists.join(roots, F.col("doc_id") == F.col("node"), "left").select(
                 "gram", "doc_id", "size", "pos", F.coalesce("component", "doc_id").alias("root")
             )
-            mixed = open_lists.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-            open_lists = written_table(open_lists.join(mixed.select("gram"), "gram"), "ngram-open")
-        counts = open_lists.groupBy("gram").agg(F.count(F.lit(1)).cast("double").alias("m"))
-        rows, pairs = counts.agg(F.coalesce(F.sum("m"), F.lit(0.0)), F.coalesce(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.lit(0.0))).first()
+            mixed = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+            open_lists = written_table(rooted.join(mixed.select("gram"), "gram").join(facts.drop("size"), "doc_id"), "ngram-open")
+        members_of = open_lists.groupBy("gram").agg(F.count(F.lit(1)).cast("double").alias("m"))
+        rows, pairs = members_of.agg(F.coalesce(F.sum("m"), F.lit(0.0)), F.coalesce(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.lit(0.0))).first()
         if not rows:
             break
-        last = pairs <= 4 * rows or round_ == MAX_HUB_ROUNDS or (size_before is not None and pairs > 0.8 * size_before and round_ > 2)
-        size_before = pairs
+        last = round_ == MAX_HUB_ROUNDS or pairs <= 2 * rows or (before is not None and pairs > before / 2)
+        before = pairs
+        if last and roots is None:
+            open_lists = open_lists.join(facts.drop("size"), "doc_id")
         candidates = _all_pairs(open_lists, percent) if last else _hub_pairs(open_lists, percent, round_)
-        candidates = _suffix_filtered(candidates, stands, percent).join(tested, ["a", "b"], "left_anti")
+        if not last:
+            candidates = _suffix_filtered(candidates, facts, percent)
+        candidates = candidates.join(tested, ["a", "b"], "left_anti")
         found = written_table(verified(written_table(candidates, "ngram-candidates"), cast, n, percent), "ngram-verified")
-        tested = written_table(tested.unionByName(found.select("a", "b")), "ngram-tested")
         links = written_table(links.unionByName(found.where("linked").select("a", "b")), "ngram-links")
         roots = written_table(components(links), "ngram-roots")
         if last:
             break
+        tested = written_table(tested.unionByName(found.select("a", "b")), "ngram-tested")
     if roots is None:
         roots = written_table(components(links), "ngram-roots")
     homes = members.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
@@ -275,22 +284,32 @@ def _hub_pairs(lists: DataFrame, percent: int, seed: int) -> DataFrame:
     return _ordered(joined.where(fits).select("x", F.col("doc_id").alias("y")))
 
 
+def _near_enough(nx: Column, ny: Column, x: list[Column], y: list[Column], tx: Column, ty: Column, percent: int) -> Column:
+    """Suffix filter: the differing parities against the largest difference that the threshold allows."""
+    apart = F.lit(0)
+    for u, v in zip(x, y, strict=True):
+        apart = apart + F.bit_count(u.bitwiseXOR(v))
+    return (tx > 1) | (ty > 1) | (apart <= nx + ny - 2 * _alpha(nx, ny, percent))
+
+
 def _all_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """Every pair of a list that joins two components and could be similar."""
-    other = lists.select("gram", F.col("doc_id").alias("x"), F.col("size").alias("nx"), F.col("pos").alias("px"), F.col("root").alias("rx"))
+    other = lists.select(
+        "gram", F.col("doc_id").alias("x"), F.col("size").alias("nx"), F.col("pos").alias("px"), F.col("root").alias("rx"), F.col("texts").alias("tx"), *(F.col(c).alias(f"x{c}") for c in PARITIES)
+    )
     fits = (F.col("root") < F.col("rx")) & _could_reach(F.col("nx"), F.col("px"), F.col("size"), F.col("pos"), percent)
-    return _ordered(lists.join(other, "gram").where(fits).select("x", F.col("doc_id").alias("y")))
-
-
-def _suffix_filtered(pairs: DataFrame, stands: DataFrame, percent: int) -> DataFrame:
-    """Drop pairs whose sets differ too much by their counts per hash range."""
-    # An id that repeats with other texts has no single set to judge by.
-    facts = stands.groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts"), F.first("size").alias("size"), F.first("ranges").alias("ranges"))
-    x = facts.select(F.col("doc_id").alias("a"), F.col("texts").alias("ta"), F.col("size").alias("na"), F.col("ranges").alias("ra"))
-    y = facts.select(F.col("doc_id").alias("b"), F.col("texts").alias("tb"), F.col("size").alias("nb"), F.col("ranges").alias("rb"))
-    apart = F.aggregate(F.zip_with("ra", "rb", lambda u, v: F.abs(u - v)), F.lit(0), lambda s, v: s + v)
-    near = apart <= F.col("na") + F.col("nb") - 2 * _alpha(F.col("na"), F.col("nb"), percent)
-    return pairs.join(x, "a").join(y, "b").where((F.col("ta") > 1) | (F.col("tb") > 1) | near).select("a", "b")
+    near = _near_enough(F.col("nx"), F.col("size"), [F.col(f"x{c}") for c in PARITIES], [F.col(c) for c in PARITIES], F.col("tx"), F.col("texts"), percent)
+    mine = lists.alias("mine")
+    other = other.withColumnRenamed("gram", "x_gram")
+    return _ordered(mine.join(other, (F.col("gram") == F.col("x_gram")) & fits & near).select("x", F.col("doc_id").alias("y")))
+
+
+def _suffix_filtered(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Drop pairs whose sets must differ too much by their parities."""
+    x = facts.select(F.col("doc_id").alias("a"), F.col("texts").alias("ta"), F.col("size").alias("na"), *(F.col(c).alias(f"a{c}") for c in PARITIES))
+    y = facts.select(F.col("doc_id").alias("b"), F.col("texts").alias("tb"), F.col("size").alias("nb"), *(F.col(c).alias(f"b{c}") for c in PARITIES))
+    near = _near_enough(F.col("na"), F.col("nb"), [F.col(f"a{c}") for c in PARITIES], [F.col(f"b{c}") for c in PARITIES], F.col("ta"), F.col("tb"), percent)
+    return pairs.join(x, "a").join(y, "b").where(near).select("a", "b")
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
