@@ -16,8 +16,9 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelframe.llm.words import row_slices
+from reelframe.llm.words import BLANK_BYTES, PIECE, column_bytes, pieces, row_slices, span_hashes
 from reelframe.session import scratch_root, written_table
 
-CACHE_UNITS = 500_000
+GENERATION = 400_000
 BLOCK = "file int, block int, first long, n_tokens long, bits int, payload binary, doc_ids array<long>, doc_offsets array<long>"
 
 
@@ -56,59 +57,141 @@ def unpack(payload: bytes, bits: int, start: int, count: int) -> np.ndarray:
     return spread @ (np.uint32(1) << np.arange(bits, dtype=np.uint32))
 
 
+def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    letters, digits, marks = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+    letters[[*range(65, 91), *range(97, 123)]] = True
+    digits[48:58] = True
+    marks[33:127] = True
+    return letters, digits, marks & ~letters & ~digits
+
+
+LETTERS, DIGITS, MARKS = _classes()
+BLANK = np.isin(np.arange(256), [*range(9, 14), *range(28, 32), 32])
+#: First bytes of white space beyond ASCII; rows with one are looked at as text.
+WIDE_BLANK = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+
+
 class TokenEncoder:
     """Ids of texts by a tokenizer with the usual byte-level split; equal units are encoded once.
 
-    The split never joins what stands on both sides of a single space or line break, nor a letter or digit
-    and the full stop or comma after it. Texts are cut there, and the ids of the units are put together.
-    Texts with runs of white space or with marks of special tokens are encoded whole.
+    The split of the tokenizer never joins what stands on both sides of a single space or line break, nor
+    an ASCII letter or digit and the mark after it, nor such a letter and a digit. Texts are cut there in
+    their bytes, units are told apart by 64-bit hashes, and the library encodes each unit that this worker
+    hasn't met lately. Texts with runs of white space or with marks of special tokens go to the library as
+    they are, long ones in parts cut at single spaces.
     """
 
-    RUNS = re.compile(r"\s\s|\x00|<\|")
+    RUNS = re.compile(r"\s\s|<\|")
+    SINGLE_SPACE = re.compile(r"(?<=[^\s|<]) (?=[^\s|<])")
 
     def __init__(self, definition: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.cache: dict[str, bytes] = {}
+        # Units met lately, and those of the time before; at most two generations are held.
+        self.cache: dict[int, bytes] = {}
+        self.older: dict[int, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _whole(self, text: str) -> np.ndarray:
+        parts, a = [], 0
+        while len(text) - a > PIECE:
+            cut = self.SINGLE_SPACE.search(text, a + PIECE)
+            if not cut:
+                break
+            parts.append(text[a : cut.start()])
+            a = cut.start()
+        return np.frombuffer(b"".join(b for t in [*parts, text[a:]] for b in self._plain([t])), np.uint32)
+
+    def _odd_rows(self, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Rows that can't be cut in their bytes."""
+        blank = BLANK[data]
+        hits = np.flatnonzero(blank[1:] & blank[:-1])
+        marks = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))
+        odd = np.zeros(len(rows) - 1, bool)
+        of = np.searchsorted(rows, np.concatenate([hits, marks]), "right") - 1
+        odd[of] = True
+        for r in np.unique(np.searchsorted(rows, np.flatnonzero(WIDE_BLANK[data]), "right") - 1):
+            odd[r] = odd[r] or bool(self.RUNS.search(data[rows[r] : rows[r + 1]].tobytes().decode()))
+        return odd
 
     @staticmethod
-    def _parts(unit: str) -> list[str]:
-        out = []
-        if unit[0] == "\n" and len(unit) > 1:
-            out.append("\n")
-            unit = unit[1:]
-        if len(unit) > 1 and unit[-1] in ".," and unit[-2].isalnum() and ord(unit[-2]) < 0x250:
-            return [*out, unit[:-1], unit[-1]]
-        return [*out, unit]
-
-    def _learn(self, units: set[str]) -> None:
-        parts = {u: self._parts(u) for u in units}
-        fresh = list({p for ps in parts.values() for p in ps}.difference(self.cache))
-        self.cache.update(zip(fresh, self._plain(fresh), strict=True))
-        self.cache.update({u: b"".join(self.cache[p] for p in ps) for u, ps in parts.items() if len(ps) > 1})
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [None if not t or self.RUNS.search(t) else [u for u in t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if u] for t in texts]
-        units = set().union(*(s for s in split if s))
-        missing = units.difference(self.cache)
-        if len(missing) + len(self.cache) > CACHE_UNITS:
-            self.cache.clear()
-            missing = units
-        if missing:
-            self._learn(missing)
-        whole = iter(self._plain([t for t, s in zip(texts, split, strict=True) if t and s is None]))
-        take = self.cache.__getitem__
-        raw = [b"" if not t else next(whole) if s is None else b"".join(map(take, s)) for t, s in zip(texts, split, strict=True)]
-        return [np.frombuffer(r, "<u4") for r in raw]
+    def _starts(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Where units start: at rows, spaces, line breaks and after them, and where the kind of character changes."""
+        cut = np.zeros(len(data) + 1, bool)
+        letter, digit, mark, line = LETTERS[data], DIGITS[data], MARKS[data], data == 10
+        cut[:-1] = line | (data == 32)
+        cut[1:] |= line
+        cut[1:-1] |= (letter | digit)[:-1] & mark[1:] | letter[:-1] & digit[1:] | digit[:-1] & letter[1:]
+        # Two-byte letters of Western European languages, before a mark.
+        wide = (data[:-2] == 0xC3) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7) & mark[2:]
+        cut[2:-1] |= wide
+        cut[rows[:-1]] = True
+        return np.flatnonzero(cut[:-1])
+
+    def _pooled(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units in order, number of ids of each unit)."""
+        keys, first, inverse = np.unique(span_hashes(data, starts, ends, False), return_index=True, return_inverse=True)
+        if len(self.cache) > GENERATION:
+            self.older, self.cache = self.cache, {}
+        known, older, keys = self.cache, self.older, keys.tolist()
+        ids = [known.get(k) for k in keys]
+        fresh = []
+        for i in [i for i, x in enumerate(ids) if x is None]:
+            ids[i] = known[keys[i]] = older.get(keys[i])
+            if ids[i] is None:
+                fresh.append(i)
+        texts = [data[a:z].tobytes().decode() for a, z in zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist(), strict=True)] if fresh else []
+        for i, raw in zip(fresh, self._plain(texts), strict=True):
+            ids[i] = known[keys[i]] = raw
+        pool = np.frombuffer(b"".join(ids), np.uint32)
+        size = np.array([len(x) for x in ids], np.int64) // 4
+        at = (np.cumsum(size) - size)[inverse]
+        size = size[inverse]
+        upto = np.cumsum(size)
+        return pool[np.repeat(at - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)], size
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of every row; null counts as empty."""
+        offsets, data = column_bytes(texts)
+        out: list[np.ndarray] = []
+        for first, end, ranges in pieces(offsets, data, BLANK_BYTES):
+            rows = offsets[first : end + 1] - offsets[first]
+            chunk = data[offsets[first] : offsets[end]]
+            odd = self._odd_rows(chunk, rows)
+            if odd.all():
+                out += [self._whole(chunk[a:z].tobytes().decode()) for a, z in zip(rows, rows[1:])]
+                continue
+            each = []
+            for a, z in ranges:  # a range of a long row ends after a blank, which belongs to the next unit if it is a space
+                a, z = (x - offsets[first] for x in (a, z))
+                a -= int(a > 0 and chunk[a - 1] == 32)
+                z -= int(z < len(chunk) and chunk[z - 1] == 32)
+                own = np.clip(rows, a, z) - a
+                starts = self._starts(chunk[a:z], own)
+                ends = np.append(starts[1:], z - a)
+                keep = ~odd[np.searchsorted(rows, starts + a, "right") - 1]
+                ids, size = self._pooled(chunk[a:z], starts[keep], ends[keep])
+                each.append((ids, size, starts[keep] + a))
+            ids = np.concatenate([x[0] for x in each])
+            upto = np.concatenate([[0], np.cumsum(np.concatenate([x[1] for x in each]))])
+            cuts = upto[np.searchsorted(np.concatenate([x[2] for x in each]), rows)]
+            for r in range(end - first):
+                out.append(self._whole(chunk[rows[r] : rows[r + 1]].tobytes().decode()) if odd[r] else ids[cuts[r] : cuts[r + 1]])
+        return out
+
+
+@lru_cache(maxsize=1)
+def shared_encoder(definition: str) -> TokenEncoder:
+    """One encoder a worker process, so that tasks of a worker share what it has met."""
+    return TokenEncoder(definition)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], definition, bits: int, end_id: int, block_tokens: int) -> Iterator[pa.RecordBatch]:
-    encoder, file = TokenEncoder(definition.value), TaskContext.get().partitionId()
+    encoder, file = shared_encoder(definition.value), TaskContext.get().partitionId()
     block, first = 0, 0
     ids, names, offsets, size = [], [], [], 0
     end = np.array([end_id], np.uint32)
@@ -129,8 +212,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], definition, bits: int, end_id: in
 
     for batch in batches:
         for a, z in row_slices(batch.column("text")):
-            texts = batch.column("text").slice(a, z - a).to_pylist()
-            for name, own in zip(batch.column("doc_id").slice(a, z - a).to_pylist(), encoder.encode(texts), strict=True):
+            each = encoder.encode(batch.column("text").slice(a, z - a))
+            for name, own in zip(batch.column("doc_id").slice(a, z - a).to_pylist(), each, strict=True):
                 names.append(name)
                 offsets.append(size)
                 ids += [own, end]
