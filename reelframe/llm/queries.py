@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from reelframe.llm import mixing, ngram_join, pieces, quality_rules, separators, token_files, toxicity
+from reelframe.llm import mixing, ngram_join, nndescent, pieces, quality_rules, separators, token_files, toxicity
 from reelframe.llm.registry import QUERIES, query, table  # noqa: F401
 
 # Words of a text as DuckDB lists, and the counts of the quality rules.
@@ -115,3 +115,9 @@ def op10(spark, sf_dir):
         definition = f.read()
     token_files.write_token_files(table(spark, sf_dir, "documents"), definition, folder, vocabulary=50257, end_id=0)
     return token_files.read_documents(spark, folder)
+
+
+@query("op7_nndescent")
+def op7(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return nndescent.nearest(vectors, vectors.where("vec_id % 100 = 0").select(F.col("vec_id").cast("long").alias("query_id")))
