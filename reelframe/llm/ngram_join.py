@@ -183,15 +183,14 @@ class _CachedSets:
         return self.last[1]
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b, linked) for candidate pairs of ids, on the whole texts.
+def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b, linked) for candidate pairs of ids, on the whole texts of ``texts`` (id, text).
 
-    Only texts of candidates move: once to their pairs as ``b``, once more to the other side. Hot hubs
+    Only these texts move: once to their pairs as ``b``, once more to the other side. Hot hubs
     are sides ``a`` of joins that Spark can split.
     """
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
-    at_b = pairs.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
-    both = at_b.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
+    at_b = pairs.hint("merge").join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
+    both = at_b.hint("merge").join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
     found = both.select("a", "b", "text_a", "text_b").mapInArrow(partial(_verify, n=n, percent=percent), "a long, b long, linked boolean")
     return found.groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
@@ -229,7 +228,9 @@ def linked_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFra
     # An id that repeats with other texts is in several classes and links them.
     homes = members.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).where("a <> z")
     links = written_table(members.join(homes, "doc_id").where("a <> class_id").select("a", F.col("class_id").alias("b")), "ngram-links")
-    cast = docs.where("doc_id IS NOT NULL")
+    # Texts that may have to be verified. These joins shuffle at any size: neither side is bounded.
+    listed = written_table(lists.select(F.col("doc_id").alias("id")).distinct(), "ngram-listed")
+    texts = written_table(docs.withColumnRenamed("doc_id", "id").join(listed.hint("merge"), "id"), "ngram-texts")
     tested = written_table(links.select("a", "b").limit(0), "ngram-tested")
     # An id that repeats with other texts has no single set to judge by: ``texts`` > 1 turns the filter off.
     facts = stands.groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts"), F.first("size").alias("size"), *(F.first(c).alias(c) for c in PARITIES))
@@ -254,7 +255,7 @@ def linked_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFra
         if not last:
             candidates = _suffix_filtered(candidates, facts, percent)
         candidates = candidates.join(tested, ["a", "b"], "left_anti")
-        found = written_table(verified(written_table(candidates, "ngram-candidates"), cast, n, percent), "ngram-verified")
+        found = written_table(verified(written_table(candidates, "ngram-candidates"), texts, n, percent), "ngram-verified")
         links = written_table(links.unionByName(found.where("linked").select("a", "b")), "ngram-links")
         roots = written_table(components(links), "ngram-roots")
         if last:
@@ -316,4 +317,4 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its group; rows without id stay."""
     grouped = linked_components(docs, n, percent)
     drop = written_table(grouped.where("component_id <> doc_id").select(F.col("doc_id").alias("ngram_drop")).distinct(), "ngram-drop")
-    return docs.join(drop, docs["doc_id"] == drop["ngram_drop"], "left_anti")
+    return docs.join(drop.hint("merge"), docs["doc_id"] == drop["ngram_drop"], "left_anti")
