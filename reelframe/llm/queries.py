@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from reelframe.llm import mixing, ngram_join, nndescent, pieces, quality_rules, separators, token_files, toxicity
+from reelframe.llm import licenses, mixing, ngram_join, nndescent, pieces, quality_rules, separators, token_files, toxicity
 from reelframe.llm.registry import QUERIES, query, table  # noqa: F401
 
 # Words of a text as DuckDB lists, and the counts of the quality rules.
@@ -121,3 +121,23 @@ def op10(spark, sf_dir):
 def op7(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return nndescent.nearest(vectors, vectors.where("vec_id % 100 = 0").select(F.col("vec_id").cast("long").alias("query_id")))
+
+
+LICENSE_SQL = """
+WITH t AS (SELECT * FROM (VALUES {notices}) AS v(notice, wording)),
+tw AS (SELECT notice, regexp_extract_all(lower(wording), '[\\p{{L}}\\p{{N}}]+') AS w FROM t),
+ts AS (SELECT DISTINCT notice, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT notice, w, unnest(range(1, len(w) - 1)) AS i FROM tw)),
+tn AS (SELECT notice, count(*) AS n, CASE WHEN count(*) <= 9 THEN 8 WHEN count(*) <= 17 THEN 16 WHEN count(*) <= 33 THEN 32 ELSE 64 END AS stride
+       FROM ts GROUP BY notice),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+ds AS (SELECT rid, doc_id, i - 1 AS p, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+hit AS (SELECT doc_id, notice, n, stride, s, p // stride - k AS win FROM ds JOIN ts USING (s) JOIN tn USING (notice), (SELECT unnest([0, 1]) AS k)),
+share AS (SELECT doc_id, notice, win * stride AS start, count(DISTINCT s) / n::DOUBLE AS share FROM hit WHERE win >= 0
+          GROUP BY doc_id, notice, n, stride, win)
+SELECT doc_id, notice, max(share) AS contained, min(start)::BIGINT AS first_word FROM share WHERE share >= 0.8 GROUP BY doc_id, notice
+""".format(notices=", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.NOTICES.items()))
+
+
+@query("op8_license_scan", LICENSE_SQL)
+def op8(spark, sf_dir):
+    return licenses.find_notices(table(spark, sf_dir, "documents"))
