@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from reelframe.llm import licenses, mixing, ngram_join, nndescent, pieces, quality_rules, separators, token_files, toxicity
+from reelframe.llm import licenses, lm_scores, mixing, ngram_join, nndescent, pieces, quality_rules, separators, token_files, toxicity
 from reelframe.llm.registry import QUERIES, query, table  # noqa: F401
 
 # Words of a text as DuckDB lists, and the counts of the quality rules.
@@ -141,3 +141,23 @@ SELECT doc_id, notice, max(share) AS contained, min(start)::BIGINT AS first_word
 @query("op8_license_scan", LICENSE_SQL)
 def op8(spark, sf_dir):
     return licenses.find_notices(table(spark, sf_dir, "documents"))
+
+
+LM_SQL = rf"""
+WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+p AS (SELECT doc_id, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+c1 AS (SELECT b, count(*) AS c FROM p GROUP BY b),
+c2 AS (SELECT a, b, count(*) AS c FROM p WHERE a IS NOT NULL GROUP BY a, b HAVING count(*) >= 2),
+t AS (SELECT count(*) AS total FROM p),
+s AS (SELECT p.doc_id, CASE WHEN c2.c IS NOT NULL THEN c2.c / f.c::DOUBLE
+                            ELSE (CASE WHEN p.a IS NULL THEN 1.0 ELSE 0.4 END)::DOUBLE * g.c / total END AS chance
+      FROM p JOIN c1 g ON g.b = p.b LEFT JOIN c1 f ON f.b = p.a LEFT JOIN c2 ON c2.a = p.a AND c2.b = p.b, t)
+SELECT d.doc_id, count(chance)::BIGINT AS n_words, round(coalesce(sum(ln(chance)), 0.0), 4) + 0.0 AS score
+FROM (SELECT DISTINCT doc_id FROM d) d LEFT JOIN s ON s.doc_id IS NOT DISTINCT FROM d.doc_id GROUP BY d.doc_id
+"""
+
+
+@query("op1_lm_scores", LM_SQL)
+def op1(spark, sf_dir):
+    scored = lm_scores.score(table(spark, sf_dir, "documents"))
+    return scored.withColumn("score", F.round("score", 4) + F.lit(0.0))
