@@ -109,7 +109,7 @@ def _base_failed(rules: Rules, p: str) -> Column:
 
 
 def _measures(p: str) -> dict[str, Column]:
-    n = F.col(f"{p}n_words").cast("double")
+    n = F.greatest(F.col(f"{p}n_words"), F.lit(1)).cast("double")
     return {
         "symbol_rate": F.col(f"{p}n_symbols") / n,
         "word_length": F.col(f"{p}word_chars") / n,
