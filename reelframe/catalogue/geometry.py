@@ -171,18 +171,20 @@ def _feature_distribution(spark, sf):
     with_views(
         _POINT_SQL
         + """, r AS (SELECT frame, nx / l AS a, ny / l AS b, 1 / l AS c FROM (SELECT *, sqrt(nx * nx + ny * ny + 1) + 1e-6 AS l FROM (
-          SELECT frame, 2 * x / 640 - 1 AS nx, 2 * y / 480 - 1 AS ny FROM pts WHERE point_id < 500) q1) q2),
+          SELECT frame, 2 * x / 640 - 1 AS nx, 2 * y / 480 - 1 AS ny FROM pts) q1) q2),
         v AS (SELECT frame, count(*) AS points, covar_samp(a, a) AS aa, covar_samp(b, b) AS bb, covar_samp(c, c) AS cc,
           covar_samp(a, b) AS ab, covar_samp(a, c) AS ac, covar_samp(b, c) AS bc FROM r GROUP BY frame),
         s AS (SELECT *, (aa + bb + cc) / 3 AS q FROM v),
         t AS (SELECT *, sqrt(((aa-q)**2 + (bb-q)**2 + (cc-q)**2 + 2 * (ab*ab + ac*ac + bc*bc)) / 6) AS p FROM s),
         w AS (SELECT *, acos(least(greatest(((aa-q)*((bb-q)*(cc-q) - bc*bc) - ab*(ab*(cc-q) - bc*ac) + ac*(ab*bc - (bb-q)*ac)) / (2 * p**3), -1), 1)) / 3 AS f FROM t)
-        SELECT frame, points, CASE WHEN points < 4 OR q + 2 * p * cos(f) < 1e-6 THEN 0
-          ELSE least(greatest((q + 2 * p * cos(f + 2 * pi() / 3)) / (q + 2 * p * cos(f)), 0), 1) END AS dispersion FROM w"""
+        SELECT frame, points, round(CASE WHEN points < 4 OR q + 2 * p * cos(f) < 1e-6 THEN 0
+          ELSE least(greatest((q + 2 * p * cos(f + 2 * pi() / 3)) / (q + 2 * p * cos(f)), 0), 1) END, 4) AS dispersion FROM w"""
     ),
 )
 def _ray_dispersion(spark, sf):
-    return G.ray_dispersion(_points(spark, sf), ["frame"], 640, 480)
+    # The angle of the eigenvalues costs some digits of the covariances.
+    out = G.ray_dispersion(_points(spark, sf), ["frame"], 640, 480)
+    return out.withColumn("dispersion", F.round("dispersion", 4))
 
 
 _BOXES = "SELECT s_suppkey AS frame, n * 200.0 AS x1, n * 200.0 + s_acctbal / 100.0 + 10 AS x2, n * 100.0 AS y1, n * 100.0 + 150 AS y2 FROM supplier"

@@ -61,11 +61,12 @@ def _frames_by_index(spark, sf):
     return Fr.frames_by_index(V.rows(spark, sf), wanted, ["frame_index"])
 
 
-_PAIR_SQL = """, l AS (SELECT *, frame_index // 2 AS f, frame_index % 2 AS lens FROM scan_v),
-  p AS (SELECT a.video_id, a.f AS frame_index, a.laplacian_var AS a_laplacian_var, b.laplacian_var AS b_laplacian_var,
-    a.exposure AS a_exposure, b.exposure AS b_exposure, a.ssim AS a_quality, b.ssim AS b_quality,
-    a.orb_keypoints / 1000.0 AS a_blur, b.orb_keypoints / 1000.0 AS b_blur
-    FROM l a JOIN l b ON a.video_id = b.video_id AND a.f = b.f WHERE a.lens = 0 AND b.lens = 1)"""
+_PAIR_SQL = """, p AS (SELECT video_id, frame_index // 2 AS frame_index,
+    max(laplacian_var) FILTER (frame_index % 2 = 0) AS a_laplacian_var, max(laplacian_var) FILTER (frame_index % 2 = 1) AS b_laplacian_var,
+    max(exposure) FILTER (frame_index % 2 = 0) AS a_exposure, max(exposure) FILTER (frame_index % 2 = 1) AS b_exposure,
+    max(ssim) FILTER (frame_index % 2 = 0) AS a_quality, max(ssim) FILTER (frame_index % 2 = 1) AS b_quality,
+    max(orb_keypoints) FILTER (frame_index % 2 = 0) / 1000.0 AS a_blur, max(orb_keypoints) FILTER (frame_index % 2 = 1) / 1000.0 AS b_blur
+    FROM scan_v GROUP BY video_id, frame_index // 2 HAVING count(*) = 2)"""
 
 
 def _pairs(spark, sf):

@@ -668,8 +668,12 @@ def _consecutive_pairs(spark, sf):
     "band_pairs",
     "video_id:l ref_index:l frame_index:l change:d",
     with_views(
-        """SELECT a.video_id, a.frame_index AS ref_index, b.frame_index, abs(a.flow_mag - b.flow_mag) AS change
-        FROM scan_v a JOIN scan_v b ON a.video_id = b.video_id AND b.frame_index - a.frame_index BETWEEN 2 AND 6"""
+        ", l AS (SELECT video_id, frame_index, flow_mag, "
+        + ", ".join(f"lead(flow_mag, {k}) OVER w AS f{k}, lead(frame_index, {k}) OVER w AS i{k}" for k in range(2, 7))
+        + " FROM scan_v WINDOW w AS (PARTITION BY video_id ORDER BY frame_index)) "
+        + " UNION ALL ".join(
+            f"SELECT video_id, frame_index AS ref_index, i{k} AS frame_index, abs(flow_mag - f{k}) AS change FROM l WHERE i{k} IS NOT NULL" for k in range(2, 7)
+        )
     ),
 )
 def _band_pairs(spark, sf):

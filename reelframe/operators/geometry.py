@@ -127,13 +127,9 @@ def feature_uniformity(points: DataFrame, keys: Sequence[str], width: int, heigh
 
 
 def ray_dispersion(
-    points: DataFrame, keys: Sequence[str], width: int, height: int, *, index: str = "point_id", limit: int = 500, equirect: bool = False
+    points: DataFrame, keys: Sequence[str], width: int, height: int, *, equirect: bool = False
 ) -> DataFrame:
-    """Smallest over largest eigenvalue of the covariance of viewing rays.
-
-    Uses the first ``limit`` points of a frame; ``index`` numbers them from 0.
-    """
-    p = points.filter(F.col(index) < limit)
+    """Smallest over largest eigenvalue of the covariance of all viewing rays of a frame."""
     if equirect:
         lon = F.col("x") / width * 2 * math.pi - math.pi
         lat = F.col("y") / height * math.pi - math.pi / 2
@@ -142,7 +138,7 @@ def ray_dispersion(
         nx, ny = 2 * F.col("x") / width - 1, 2 * F.col("y") / height - 1
         length = F.sqrt(nx * nx + ny * ny + 1.0) + 1e-6
         ray = [nx / length, ny / length, 1.0 / length]
-    p = p.select(*keys, *[r.alias(f"r{i}") for i, r in enumerate(ray)])
+    p = points.select(*keys, *[r.alias(f"r{i}") for i, r in enumerate(ray)])
     cov = {(i, j): F.covar_samp(f"r{i}", f"r{j}").alias(f"c{i}{j}") for i in range(3) for j in range(i, 3)}
     c = p.groupBy(*keys).agg(F.count(F.lit(1)).alias("points"), *cov.values())
     a, b, d = (F.col(f"c{i}{i}") for i in range(3))

@@ -13,6 +13,7 @@ from reelframe.plans.blocks import (
     BLOCK_ROWS,
     along,
     assign_index,
+    join_same,
     last_known,
     next_known,
     next_known_after,
@@ -67,12 +68,18 @@ def fill_max_interval(
     )
     nodes = written_table(nodes, "nodes")
     end = F.when(F.col("is_start"), F.struct("idx", "t"))
-    open_gap = along(nodes, keys, ["idx"], {"end": next_known_after(end)}, span=span)
-    open_gap = open_gap.withColumn("target", F.col("t") + max_seconds).filter(
-        F.col("end").isNotNull() & (F.col("end.t") - F.col("t") > max_seconds)
+    ended = along(nodes, keys, ["idx"], {"end": next_known_after(end)}, span=span).withColumn("gap_end", F.col("end.idx"))
+    ended = written_table(ended.filter(F.col("end").isNotNull()), "gaps")
+    open_gap = ended.withColumn("target", F.col("t") + max_seconds).filter(F.col("end.t") - F.col("t") > max_seconds)
+    # Candidates of one gap at one time: the higher score wins, then the earlier frame.
+    winner = F.min(F.struct(-F.col("score"), F.col("idx")))
+    rest = (
+        ended.filter(~F.col("is_start"))
+        .groupBy(*keys, "gap_end", F.col("t").alias("ct"))
+        .agg(winner.alias("w"))
+        .select(*keys, "gap_end", "ct", F.col("w.idx").alias("cidx"), (-F.col("w.col1")).alias("cscore"))
     )
-    rest = nodes.filter(~F.col("is_start")).select(*keys, F.col("t").alias("ct"), F.col("idx").alias("cidx"), F.col("score").alias("cscore"))
-    near = neighbours(open_gap, rest, keys, "target", "ct")
+    near = neighbours(open_gap, rest, [*keys, "gap_end"], "target", "ct")
     usable = lambda c: F.when((F.col(f"{c}.cidx") > F.col("idx")) & (F.col(f"{c}.cidx") < F.col("end.idx")), F.col(c))
     near = near.withColumn("back", usable("back")).withColumn("ahead", usable("ahead"))
     rank = lambda c: F.when(
@@ -80,7 +87,7 @@ def fill_max_interval(
         F.struct(F.abs(F.col(f"{c}.ct") - F.col("target")), -F.col(f"{c}.cscore"), F.col(f"{c}.cidx").alias("pick")),
     )
     chosen = near.select(*keys, "idx", F.least(rank("back"), rank("ahead"))["pick"].alias("next_idx"))
-    chain = nodes.select(*keys, "idx", "is_start").join(chosen, [*keys, "idx"], "left")
+    chain = join_same(nodes.select(*keys, "idx", "is_start"), chosen, [*keys, "idx"], "left")
     kept = follow_chain(chain, keys, span).withColumnRenamed("idx", index)
     inserted = candidates.join(kept, [*keys, index], "left_semi").join(
         keyframes.select(*keys, index), [*keys, index], "left_anti"

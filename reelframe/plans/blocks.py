@@ -21,6 +21,15 @@ from reelframe.session import written_table
 BLOCK_ROWS = 1 << 16
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which null keys match, as they do when rows are grouped.
+
+    Fields of equal structs may both be null, so the join hashes and sorts one struct column.
+    """
+    right = right.withColumn("_same", F.struct(*keys)).drop(*keys)
+    return left.withColumn("_same", F.struct(*keys)).join(right, "_same", how).drop("_same")
+
+
 def index_block(index: str | Column, span: int = BLOCK_ROWS) -> Column:
     """Block of a dense, unique integer index: at most ``span`` rows per block."""
     return F.floor(col(index) / F.lit(span)).cast("bigint")
@@ -53,7 +62,7 @@ def assign_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], out:
         *keys, "_block", (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift")
     )
     return (
-        placed.join(parts, [*keys, "_block"])
+        join_same(placed, parts, [*keys, "_block"])
         .withColumn(out, F.col("_pos") + F.col("_shift"))
         .drop("_pos", "_block", "_shift")
     )
@@ -231,7 +240,7 @@ def along(
         block,
         *[_carried(s, F.col(f"_s_{name}"), keys, block).alias(f"_c_{name}") for name, s in specs.items()],
     )
-    out = df.join(carried, [*keys, block], "left")
+    out = join_same(df, carried, [*keys, block], "left")
     keep = [c for c in df.columns if c not in specs and not (made and c == block)]
     return out.select(
         *keep,
@@ -293,4 +302,4 @@ def attach(
     salt = "_salt"
     small = per_key.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     big = df.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(copies)).cast("int"))
-    return big.join(small, [*keys, salt], how).drop(salt)
+    return join_same(big, small, [*keys, salt], how).drop(salt)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelframe.functions.common import finite
-from reelframe.plans.blocks import BLOCK_ROWS, attach
+from reelframe.plans.blocks import BLOCK_ROWS, attach, join_same
 from reelframe.session import written_table
 
 
@@ -76,16 +76,17 @@ def exact_percentiles(
         *[edge(c, p, +1).alias(f"_{c}_hi{i}") for c, i, p in ids],
     )
     bracket = written_table(bracket, "bracket")
-    placed = attach(values, bracket.drop(*[f"{c}_n" for c in columns]), keys, F.struct(*columns))
+    # Rows are spread by their number: equal values would all share one salt.
+    spread = values.withColumn("_spread", F.monotonically_increasing_id())
+    placed = attach(spread, bracket.drop(*[f"{c}_n" for c in columns]), keys, F.col("_spread")).drop("_spread")
     first = written_table(placed.groupBy(*keys).agg(
         *[F.percentile(F.when(F.col("_small"), F.col(c)), wanted).alias(f"_{c}_s") for c in columns],
         *[F.count_if(~F.col("_small") & (F.col(c) < F.col(f"_{c}_lo{i}"))).alias(f"_{c}_b{i}") for c, i, _ in ids],
     ), "below")
     large = _large_groups(placed.filter(~F.col("_small")), bracket.filter(~F.col("_small")), first, keys, ids)
+    counts = bracket.select(*keys, *[f"{c}_n" for c in columns])
     out = (
-        bracket.select(*keys, *[f"{c}_n" for c in columns])
-        .join(first, keys)
-        .join(large, keys, "left")
+        join_same(join_same(counts, first, keys), large, keys, "left")
         .select(
             *keys,
             *[f"{c}_n" for c in columns],
@@ -121,9 +122,10 @@ def _large_groups(placed: DataFrame, bracket: DataFrame, below: DataFrame, keys:
             ]
         )
     )
-    wanted = bracket.join(below, keys).select(*keys, ranks.alias("t")).select(*keys, "t.what", "t.below", "t.h")
+    wanted = join_same(bracket, below, keys).select(*keys, ranks.alias("t")).select(*keys, "t.what", "t.below", "t.h")
     upto = Window.partitionBy(*keys, "what").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.withColumn("cum", F.sum("rows").over(upto)).join(wanted, [*keys, "what"])
+    ranked = inside.withColumn("cum", F.sum("rows").over(upto))
+    ranked = join_same(ranked, wanted, [*keys, "what"])
     cum = F.col("cum") + F.col("below")
     found = ranked.groupBy(*keys, "what").agg(
         F.first("h").alias("h"),

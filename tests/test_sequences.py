@@ -331,3 +331,41 @@ def test_gate_edge_cases(spark):
     assert (empty.exposure_low, empty.exposure_high) == (0.0, 1.0)
     strict = quality_gate(flat, threshold=0.9).filter("is_pass").count()
     assert strict <= quality_gate(flat, threshold=0.1).filter("is_pass").count()
+
+
+def _fill(spark, candidates):
+    from reelframe.operators.selection import fill_max_interval
+
+    schema = "video_id long, frame_index long, timestamp_s double, score double"
+    keyframes = spark.createDataFrame([(1, 0, 0.0, 1.0), (1, 9, 9.0, 1.0)], schema)
+    rows = spark.createDataFrame([(1, i, t, s) for i, t, s in candidates], schema)
+    out = fill_max_interval(keyframes, rows, ["video_id"], max_seconds=3.0, span=4)
+    return sorted(r.frame_index for r in out.collect() if r.frame_index not in (0, 9))
+
+
+def test_fill_takes_the_better_of_equal_times(spark):
+    assert _fill(spark, [(1, 3.0, 0.2), (2, 3.0, 0.9)]) == [2]
+    assert _fill(spark, [(2, 3.0, 0.9), (1, 3.0, 0.2)]) == [2]
+    assert _fill(spark, [(1, 3.0, 0.9), (2, 3.0, 0.2)]) == [1]
+    assert _fill(spark, [(1, 3.0, 0.5), (2, 3.0, 0.5)]) == [1]
+
+
+def test_rows_without_key_are_a_sequence_of_their_own(spark):
+    from pyspark.sql import functions as F
+
+    from reelframe.plans.blocks import along, assign_index, running_sum
+    from reelframe.plans.percentiles import exact_percentiles
+
+    rows = [(None if i % 4 == 0 else i % 4, i // 4, float(i)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k int, i long, v double")
+    for span in (16, 1 << 16):
+        out = along(df, ["k"], ["i"], {"s": running_sum("v")}, span=span)
+        assert out.where("k IS NULL").agg(F.max("s")).first()[0] == sum(v for k, _, v in rows if k is None)
+        assert out.count() == 4000
+    numbered = assign_index(df.drop("i"), ["k"], ["v"])
+    assert sorted(r.frame_index for r in numbered.where("k IS NULL").collect()) == list(range(1000))
+    few = exact_percentiles(df, ["k"], ["v"], [0.1, 0.5], small=100_000)
+    many = exact_percentiles(df, ["k"], ["v"], [0.1, 0.5], small=100, accuracy=100)
+    key = lambda r: (r[0] is not None, r[0] or 0)
+    assert sorted(map(tuple, few.collect()), key=key) == sorted(map(tuple, many.collect()), key=key)
+    assert few.count() == 4
