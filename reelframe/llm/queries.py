@@ -81,7 +81,23 @@ def op4(spark, sf_dir):
     return mixed.select("m_row.doc_id", *(F.col(f"m_{c}").alias(c) for c in ("size", "source_size", "target", "taken")))
 
 
-@query("op3_ngram_join")
+NEAR_SQL = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT rid, doc_id, w[i:i + least(3, len(w)) - 1] AS s
+      FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared, any_value(na.n) AS nx, any_value(nb.n) AS ny
+      FROM g a JOIN g b ON a.s = b.s AND a.rid <> b.rid JOIN n na ON na.rid = a.rid JOIN n nb ON nb.rid = b.rid
+      GROUP BY a.rid, b.rid, a.doc_id, b.doc_id),
+l AS (SELECT DISTINCT x, y FROM p WHERE 100 * shared >= 90 * (nx + ny - shared)),
+r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m.low, d.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (rid) LEFT JOIN (SELECT x, min(y) AS low FROM r GROUP BY x) m ON m.x = d.doc_id
+"""
+
+
+@query("op3_ngram_join", NEAR_SQL)
 def op3(spark, sf_dir):
     return ngram_join.linked_components(table(spark, sf_dir, "documents"), n=3, percent=90)
 
@@ -117,7 +133,17 @@ def op10(spark, sf_dir):
     return token_files.read_documents(spark, folder)
 
 
-@query("op7_nndescent")
+NEAREST_SQL = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+d AS (SELECT q.vec_id AS query_id, c.vec_id,
+             sqrt(list_reduce(list_transform(list_zip(q.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda a, b: a + b)) AS score
+      FROM v q, v c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank FROM d) WHERE rank <= 10
+"""
+
+
+@query("op7_nndescent", NEAREST_SQL)
 def op7(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return nndescent.nearest(vectors, vectors.where("vec_id % 100 = 0").select(F.col("vec_id").cast("long").alias("query_id")))
