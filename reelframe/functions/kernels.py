@@ -93,27 +93,32 @@ def resize_nearest(a: np.ndarray, height: int, width: int) -> np.ndarray:
     return a[y][:, x]
 
 
+def _inside(values: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Values in the region; all of them where the region is empty."""
+    return values[mask] if mask.any() else values.ravel()
+
+
 def raw_metrics(gray: np.ndarray, mode: str, ratio: float, tenengrad_scale: float = 1.0) -> dict[str, float]:
-    """Region metrics of one frame: sharpness, gradient energy, clipping, contrast."""
-    h, w = gray.shape
-    mask = roi_mask(h, w, mode, ratio)
-    pick = lambda a, m: a[m] if m.any() else a.ravel()
-    vals = pick(gray.astype(float), mask)
-    scale = min(max(tenengrad_scale, 0.1), 1.0)
-    small, small_mask = gray, mask
-    if scale < 0.999:
-        nh, nw = max(1, round(h * scale)), max(1, round(w * scale))
-        small, small_mask = resize_area(gray, nh, nw), resize_nearest(mask, nh, nw)
-    gx, gy = sobel(small)
-    black, white, contrast = np.mean(vals <= 16), np.mean(vals >= 245), np.std(vals)
-    exposure = 0.7 * min(contrast / 64.0, 1.0) + 0.3 * (1.0 - min(black + white, 1.0))
+    """Region metrics of one frame; clipping and contrast come from the histogram of grey levels."""
+    mask = roi_mask(*gray.shape, mode, ratio)
+    levels = np.arange(256)
+    share = np.bincount(_inside(gray, mask), minlength=256) / max(1, mask.sum() or gray.size)
+    mean = share @ levels
+    contrast = float(np.sqrt(share @ (levels - mean) ** 2))
+    black, white = float(share[:17].sum()), float(share[245:].sum())
+    spread, unclipped = min(contrast / 64.0, 1.0), 1.0 - min(black + white, 1.0)
+    zoom = float(np.clip(tenengrad_scale, 0.1, 1.0))
+    shape = [max(1, round(n * zoom)) for n in gray.shape]
+    small = zoom < 0.999
+    slopes = sobel(resize_area(gray, *shape) if small else gray)
+    energy = sum(np.square(g) for g in slopes)
     return {
-        "laplacian_var": float(np.var(pick(laplacian(gray), mask))),
-        "tenengrad": float(np.mean(pick(gx * gx + gy * gy, small_mask))),
-        "exposure_roi": float(min(max(exposure, 0.0), 1.0)),
-        "black_clip": float(black),
-        "white_clip": float(white),
-        "contrast": float(contrast),
+        "laplacian_var": float(np.var(_inside(laplacian(gray), mask))),
+        "tenengrad": float(np.mean(_inside(energy, resize_nearest(mask, *shape) if small else mask))),
+        "exposure_roi": float(np.clip(0.7 * spread + 0.3 * unclipped, 0.0, 1.0)),
+        "black_clip": black,
+        "white_clip": white,
+        "contrast": contrast,
         "roi_pixel_count": float(mask.sum()),
     }
 
@@ -135,25 +140,25 @@ def angle_concentration(gx: np.ndarray, gy: np.ndarray, bins: int = 18) -> float
     return float(min(max(1.0 + float(np.sum(p * np.log2(p))) / math.log2(bins), 0.0), 1.0))
 
 
+def _frequency_bands(shape: tuple[int, int]) -> np.ndarray:
+    """Band of each coefficient of a transform: 0 low, 1 middle, 2 high."""
+    radius = np.hypot(*np.meshgrid(*(np.fft.fftfreq(n, 1.0 / n) for n in shape), indexing="ij"))
+    return np.digitize(radius, np.array([0.15, 0.40]) * min(shape))
+
+
 def spectrum_blur(gray: np.ndarray) -> float:
-    """Lack of high against middle frequencies, averaged over the four quadrants."""
-    h, w = gray.shape
-    if h < 8 or w < 8:
-        return 0.0
-    scores = []
-    for ys in (slice(0, h // 2), slice(h // 2, h)):
-        for xs in (slice(0, w // 2), slice(w // 2, w)):
-            part = gray[ys, xs].astype(float)
-            if min(part.shape) < 8:
-                continue
-            power = np.log1p(np.abs(np.fft.fftshift(np.fft.fft2(part))))
-            y, x = np.ogrid[: part.shape[0], : part.shape[1]]
-            r = np.hypot(y - part.shape[0] // 2, x - part.shape[1] // 2)
-            inner, outer = 0.15 * min(part.shape), 0.40 * min(part.shape)
-            high, mid = power[r >= outer], power[(r >= inner) & (r < outer)]
-            if high.size and mid.size:
-                scores.append(min(max(1.0 - high.mean() / max(mid.mean(), 1e-6), 0.0), 1.0))
-    return float(np.mean(scores)) if scores else 0.0
+    """Lack of high against middle frequencies, averaged over the quadrants of 8 x 8 pixels or more."""
+    quarters = [q for half in np.split(gray.astype(float), [gray.shape[0] // 2]) for q in np.split(half, [gray.shape[1] // 2], axis=1)]
+    lacks = []
+    for shape in {q.shape for q in quarters if min(q.shape) >= 8}:
+        same = np.stack([q for q in quarters if q.shape == shape])
+        energy = np.log1p(np.abs(np.fft.fft2(same))).reshape(len(same), -1)
+        member = np.eye(3)[_frequency_bands(shape).ravel()]
+        if (member.sum(axis=0)[1:] == 0).any():
+            continue
+        middle, high = (energy @ (member / np.maximum(member.sum(axis=0), 1))).T[1:]
+        lacks.append(np.clip(1.0 - high / np.maximum(middle, 1e-6), 0.0, 1.0))
+    return float(np.concatenate(lacks).mean()) if lacks else 0.0
 
 
 def motion_blur(gray: np.ndarray, gx: np.ndarray, gy: np.ndarray, method: str = "legacy") -> float:
@@ -276,14 +281,14 @@ def open_close(mask: np.ndarray, element: np.ndarray) -> np.ndarray:
     return erode(dilate(opened, element), element)
 
 
-def moving_region(frames: list[np.ndarray], threshold: float = 30.0) -> np.ndarray:
-    """Pixels that differ from a slowly adapting background in any frame."""
-    if len(frames) < 2:
-        return np.zeros(frames[0].shape[:2], bool)
-    background = to_gray(frames[0]).astype(float)
-    moved = np.zeros(background.shape, bool)
-    for f in frames[1:]:
-        g = to_gray(f).astype(float)
-        moved |= np.abs(g - background) > threshold
-        background = 0.7 * background + 0.3 * g
-    return open_close(moved, ellipse(5))
+def moving_region(frames: list[np.ndarray], threshold: float = 30.0, pace: float = 0.3) -> np.ndarray:
+    """Pixels that differ from a slowly adapting background in any frame.
+
+    The background before frame i is a weighted sum of the frames before it: the first one weighs
+    (1 - pace)^(i - 1), any later frame j pace * (1 - pace)^(i - 1 - j).
+    """
+    grays = np.stack([to_gray(f).astype(float) for f in frames])
+    i, j = np.arange(1, len(frames))[:, None], np.arange(len(frames))
+    weights = np.where(j < i, (1.0 - pace) ** (i - 1.0 - j) * np.where(j > 0, pace, 1.0), 0.0)
+    differs = np.abs(grays[1:] - np.tensordot(weights, grays, 1)) > threshold
+    return open_close(differs.any(axis=0), ellipse(5)) if len(frames) > 1 else np.zeros(grays.shape[1:], bool)

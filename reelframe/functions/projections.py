@@ -68,22 +68,15 @@ def fisheye_equirect(
 
 
 @lru_cache(maxsize=32)
-def cube_to_equirect(size: int, out_width: int, out_height: int) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per face the position inside it and whether it covers the output pixel.
-
-    Pixels that several faces cover take their mean.
-    """
+def cube_lookup(size: int, out_width: int, out_height: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the face, x, y inside it) per output pixel: the face whose axis its ray follows most."""
     theta, phi = np.meshgrid(np.linspace(-math.pi, math.pi, out_width), np.linspace(math.pi / 2, -math.pi / 2, out_height))
-    d = np.stack([np.cos(phi) * np.cos(theta), np.sin(phi), np.cos(phi) * np.sin(theta)], axis=-1)
-    out = {}
-    for face, basis in CUBE_FACES.items():
-        local = d @ np.array(basis, float)
-        ahead = local[..., 2] + 1e-8
-        x = (local[..., 0] / ahead + 1.0) / 2.0 * (size - 1)
-        y = (1.0 - local[..., 1] / ahead) / 2.0 * (size - 1)
-        inside = (local[..., 2] > 0) & (x >= 0) & (x < size - 1) & (y >= 0) & (y < size - 1)
-        out[face] = x, y, inside
-    return out
+    ray = np.stack([np.cos(phi) * np.cos(theta), np.sin(phi), np.cos(phi) * np.sin(theta)], axis=-1)
+    right, up, ahead = np.moveaxis(np.einsum("hwi,fij->fhwj", ray, np.array(list(CUBE_FACES.values()), float)), -1, 0)
+    face = np.argmax(ahead, axis=0)
+    own = lambda a: np.take_along_axis(a, face[None], 0)[0]
+    x, y = (0.5 * (size - 1) * (1.0 + s * own(a) / own(ahead)) for s, a in ((1, right), (-1, up)))
+    return face, np.clip(x, 0, size - 1), np.clip(y, 0, size - 1)
 
 
 # Angles of the five views cut from one fisheye lens.

@@ -57,16 +57,14 @@ def equirect_from_cubemap(faces: DataFrame, keys: Sequence[str], out_width: int
     out_h = out_width // 2
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        total, weight = None, np.zeros((out_h, out_width))
-        for row in pdf.itertuples(index=False):
-            img = N.decode(row.data, row.height, row.width, row.channels).astype(float)
-            x, y, inside = R.cube_to_equirect(img.shape[0], out_width, out_h)[row.view]
-            part = R.sample(img, np.where(inside, x, 0.0), np.where(inside, y, 0.0))
-            part = part * (inside[..., None] if img.ndim == 3 else inside)
-            total = part if total is None else total + part
-            weight += inside
-        weight = np.maximum(weight, 1e-8)
-        out = np.clip(total / (weight[..., None] if total.ndim == 3 else weight), 0, 255).astype(np.uint8)
+        images = {r.view: N.decode(r.data, r.height, r.width, r.channels).astype(float) for r in pdf.itertuples(index=False)}
+        some = next(iter(images.values()))
+        out = np.zeros((out_h, out_width) + some.shape[2:], np.uint8)
+        faces_of, x, y = R.cube_lookup(some.shape[0], out_width, out_h)
+        for number, name in enumerate(R.CUBE_FACES):
+            mine = faces_of == number
+            if name in images and mine.any():
+                out[mine] = np.clip(R.sample(images[name], x[mine], y[mine]), 0, 255).astype(np.uint8)
         row = {k: [pdf[k].iloc[0]] for k in keys}
         return pd.DataFrame(
             {**row, "data": [out.tobytes()], "height": [out_h], "width": [out_width], "channels": [1 if out.ndim == 2 else out.shape[2]]}
@@ -113,25 +111,30 @@ def fisheye_to_equirect(
     return _image_rows(frames, keys, lambda img: [("equirect", unroll_fisheye(img, k, out_width, out_height))])
 
 
+def _seams(width: int) -> np.ndarray:
+    """Columns where two lenses meet: both ends and the middle."""
+    return np.array([0, width // 2, width - 1])
+
+
 def front_weights(width: int) -> np.ndarray:
-    """Weight of the front lens per output column, with ramps at the seams."""
-    weight = np.where(np.linspace(0.0, 1.0, width) <= 0.5, 1.0, 0.0)
-    blend = max(8, width // 40)
-    for centre in (0, width // 2, width - 1):
-        lo, hi = max(0, centre - blend), min(width, centre + blend)
-        ramp = np.linspace(1.0, 0.0, hi - lo)
-        merge = np.minimum if centre == width // 2 else np.maximum
-        weight[lo:hi] = merge(weight[lo:hi], ramp)
-    return weight
+    """Weight of the front lens per output column.
+
+    It falls linearly from 1 to 0 over a stretch around each seam. In the front half the middle's fall is an
+    upper bound of it, in the rear half the falls at the ends are lower bounds.
+    """
+    column, reach = np.arange(width), max(8, width // 40)
+    begin, end = np.clip(_seams(width) - reach, 0, width), np.clip(_seams(width) + reach, 0, width)
+    at = (column[:, None] - begin) / np.maximum(end - begin - 1, 1)
+    left, middle, right = np.where((column[:, None] >= begin) & (column[:, None] < end), 1.0 - at, np.nan).T
+    front = (2 * column <= width - 1).astype(float)
+    return np.fmax(np.fmin(np.fmax(front, left), middle), right)
 
 
 def seam_band(width: int) -> np.ndarray:
     """Columns near the seams between two lenses."""
     half = max(4, width // 80)
-    cols = np.zeros(width, bool)
-    for centre in (0, width // 2, width - 1):
-        cols[max(0, centre - half) : min(width, centre + half)] = True
-    return cols
+    offset = np.arange(width)[:, None] - _seams(width)
+    return ((offset >= -half) & (offset < half)).any(axis=1)
 
 
 def _pair_rows(pairs: DataFrame, keys: Sequence[str], merge: Callable[[np.ndarray, np.ndarray], np.ndarray], view: str) -> DataFrame:

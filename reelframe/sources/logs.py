@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from reelframe.plans.blocks import along, assign_index, attach, running_count
 
-# Shape of a dump line and the tags of an inertial sample.
-DUMP_LINE = r"^\[Protobuf\]\s+(.+?)\s+:\s+(.*)$"
+# Head of a dump line and the tags of an inertial sample.
+DUMP_HEAD = "[Protobuf]"
 STAMP = "TimeStamp"
 ACCEL = ("AccelerometerX", "AccelerometerY", "AccelerometerZ")
 GYRO = ("AngularVelocityX", "AngularVelocityY", "AngularVelocityZ")
@@ -32,10 +32,12 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _tagged(lines: DataFrame) -> DataFrame:
-    tag = F.trim(F.regexp_extract("text", DUMP_LINE, 1))
-    value = F.trim(F.regexp_extract("text", DUMP_LINE, 2)).try_cast("double")
+    # A tag and its value stand after the head, parted by the first colon between blanks.
+    parts = F.split(F.substr("text", F.lit(len(DUMP_HEAD) + 1)), r"\s:\s", 2)
+    tag, value = F.trim(F.get(parts, F.lit(0))), F.trim(F.get(parts, F.lit(1))).try_cast("double")
     return (
-        lines.select("source", "line_no", tag.alias("tag"), value.alias("value"))
+        lines.filter(F.startswith("text", F.lit(DUMP_HEAD)))
+        .select("source", "line_no", tag.alias("tag"), value.alias("value"))
         .filter(F.col("tag").isin(STAMP, *ACCEL, *GYRO) & F.col("value").isNotNull())
     )
 

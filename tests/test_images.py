@@ -90,9 +90,25 @@ def test_views_equal_pixel_table_form(spark):
 
 
 def test_cube_faces_cover_the_sphere():
-    parts = R.cube_to_equirect(64, 64, 32)
-    covered = sum(inside for _, _, inside in parts.values())
-    assert set(parts) == set(R.CUBE_FACES) and covered.max() >= 1
+    face, x, y = R.cube_lookup(64, 64, 32)
+    assert set(np.unique(face)) == set(range(len(R.CUBE_FACES)))
+    assert min(x.min(), y.min()) >= 0 and max(x.max(), y.max()) <= 63
+
+
+def test_background_is_the_running_mean_of_the_frames():
+    rng = np.random.default_rng(8)
+    images = [rng.integers(0, 256, (24, 30), np.uint8) for _ in range(6)]
+    moved, mean = np.zeros((24, 30), bool), images[0].astype(float)
+    for image_ in images[1:]:
+        moved |= np.abs(image_ - mean) > 60
+        mean = 0.7 * mean + 0.3 * image_
+    assert (N.moving_region(images, 60.0) == N.open_close(moved, N.ellipse(5))).all()
+
+
+def test_weights_of_the_front_lens():
+    w = reproject.front_weights(400)
+    assert w[0] == 1 and w[150] == 1 and w[250] == 0 and w[-1] == 0 and w[389] == 1
+    assert w[190] == 1 and 0.4 < w[199] < 0.6 and w[200] == 0
 
 
 def test_faces_back_to_one_frame(spark):
