@@ -15,7 +15,7 @@ _SHIPPED: set[str] = set()
 
 def build_session(cpus: str | int = "*", app: str = "reelframe") -> SparkSession:
     """Local session for tests and the bench; a cluster brings its own."""
-    return (
+    session = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
@@ -27,6 +27,8 @@ def build_session(cpus: str | int = "*", app: str = "reelframe") -> SparkSession
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship_package(session)  # workers may start in any folder
+    return session
 
 
 def ship_package(spark: SparkSession) -> None:
