@@ -38,6 +38,7 @@ CELL_BITS = 20
 SEGMENT_BITS = 12
 PARITIES = [f"p{i}" for i in range(8)]
 MAX_HUB_ROUNDS = 8
+FILTER_BITS = 23
 _U = np.uint64
 
 
@@ -183,12 +184,47 @@ class _CachedSets:
         return self.last[1]
 
 
-def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b, linked) for candidate pairs of ids, on the whole texts of ``texts`` (id, text).
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    for batch in batches:
+        bits[_filter_cells(np.asarray(batch.column(0)))] = True
+    yield pa.RecordBatch.from_pydict({"bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+
+def _filter_cells(ids: np.ndarray) -> np.ndarray:
+    return (W.mix(ids.astype(np.int64).view(np.uint64)) >> _U(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _maybe(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
+    table = np.unpackbits(np.frombuffer(bits.value, np.uint8)).view(bool)
+    for batch in batches:
+        ids = batch.column("doc_id")
+        named = ids.is_valid().to_numpy(zero_copy_only=False)
+        named[named] = table[_filter_cells(np.asarray(ids.drop_null()))]
+        yield batch.filter(pa.array(named))
+
+
+def _texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, text) of the documents in ``pairs`` and few others.
+
+    A bitmap of 2^FILTER_BITS hashed ids (1 MB for any input, 16 of them come to the driver) keeps most other
+    texts out of the shuffle; the joins that follow are exact.
+    """
+    ids = pairs.select("a").union(pairs.select("b"))
+    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for row in ids.repartition(16).mapInArrow(_marked, "bits binary").toLocalIterator():
+        bits |= np.frombuffer(row.bits, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+    return docs.select("doc_id", "text").mapInArrow(partial(_maybe, bits=shared), "doc_id long, text string").withColumnRenamed("doc_id", "id")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b, linked) for candidate pairs of ids, on the whole texts of ``docs`` (doc_id, text).
 
-    Only these texts move: once to their pairs as ``b``, once more to the other side. Hot hubs
+    Only texts of candidates move: once to their pairs as ``b``, once more to the other side. Hot hubs
     are sides ``a`` of joins that Spark can split.
     """
+    texts = _texts_of(pairs, docs)
     at_b = pairs.hint("merge").join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
     both = at_b.hint("merge").join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
     found = both.select("a", "b", "text_a", "text_b").mapInArrow(partial(_verify, n=n, percent=percent), "a long, b long, linked boolean")
@@ -228,9 +264,6 @@ def linked_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFra
     # An id that repeats with other texts is in several classes and links them.
     homes = members.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).where("a <> z")
     links = written_table(members.join(homes, "doc_id").where("a <> class_id").select("a", F.col("class_id").alias("b")), "ngram-links")
-    # Texts that may have to be verified. These joins shuffle at any size: neither side is bounded.
-    listed = written_table(lists.select(F.col("doc_id").alias("id")).distinct(), "ngram-listed")
-    texts = written_table(docs.withColumnRenamed("doc_id", "id").join(listed.hint("merge"), "id"), "ngram-texts")
     tested = written_table(links.select("a", "b").limit(0), "ngram-tested")
     # An id that repeats with other texts has no single set to judge by: ``texts`` > 1 turns the filter off.
     facts = stands.groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts"), F.first("size").alias("size"), *(F.first(c).alias(c) for c in PARITIES))
@@ -255,7 +288,7 @@ def linked_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFra
         if not last:
             candidates = _suffix_filtered(candidates, facts, percent)
         candidates = candidates.join(tested, ["a", "b"], "left_anti")
-        found = written_table(verified(written_table(candidates, "ngram-candidates"), texts, n, percent), "ngram-verified")
+        found = written_table(verified(written_table(candidates, "ngram-candidates"), docs, n, percent), "ngram-verified")
         links = written_table(links.unionByName(found.where("linked").select("a", "b")), "ngram-links")
         roots = written_table(components(links), "ngram-roots")
         if last:
