@@ -7,6 +7,12 @@ with fewer than ``min_group`` texts are replaced by the merged sketch of their l
 sketch of all. A text is kept if every measure lies inside its group's fences, which are the median plus
 or minus ``width`` times the spread on the clean side, where the spread has a floor per measure.
 
+:class:`Rules` are those of the SQL of ``op9_quality_rules``. Their floors exceed the spread of most groups, so
+they act as the group's median plus a fixed amount, and two of their fences (repeated lines per word, repeated
+words) lie beyond what a text that passes the fixed rules can reach. :class:`QuartileRules`, which
+:func:`keep_good` uses, set the fences from the outer quartile and its distance to the median, count repeated
+lines as a share of lines, and have floors that leave every measure able to reject.
+
 Null text has no words and fails. Null language and null source are groups of their own. Repeated rows
 count as often as they stand there. Extra columns pass through untouched, whatever their names.
 """
@@ -38,6 +44,18 @@ class Rules:
     floors: dict[str, float] = field(
         default_factory=lambda: {"symbol_rate": 0.05, "word_length": 0.5, "dup_line_rate": 0.15, "repeat_rate": 0.15}
     )
+    quartiles: bool = False
+
+
+@dataclass(frozen=True)
+class QuartileRules(Rules):
+    """Fences at the outer quartile plus or minus ``width`` times its distance to the median."""
+
+    width: float = 12.0
+    floors: dict[str, float] = field(
+        default_factory=lambda: {"symbol_rate": 0.01, "word_length": 0.05, "dup_line_share": 0.03, "repeat_rate": 0.02}
+    )
+    quartiles: bool = True
 
 
 def _call(name: str, *cols) -> Column:
@@ -55,7 +73,7 @@ def _fires_with(sorted_keys: Column, words: Column, bits: Column, x: Column, oth
 
 
 def with_features(docs: DataFrame, text: str, prefix: str = "") -> DataFrame:
-    """Add the five counts of :data:`FEATURES`, each named with ``prefix``.
+    """Add the five counts of :data:`FEATURES` and ``n_lines``, each named with ``prefix``.
 
     Windows are packed as hash and position into one integer and sorted, so equal windows are
     neighbours; the work per text is that of one sort.
@@ -91,6 +109,7 @@ def with_features(docs: DataFrame, text: str, prefix: str = "") -> DataFrame:
         .withColumns(
             {
                 f"{p}n_words": F.size(w).cast("bigint"),
+                f"{p}n_lines": F.size(f"{p}_lines").cast("bigint"),
                 f"{p}n_dup_lines": (F.size(f"{p}_lines") - F.size(F.array_distinct(f"{p}_lines"))).cast("bigint"),
                 f"{p}_bits": F.ceil(F.log2(F.size(w) + 1)).cast("int"),
             }
@@ -108,23 +127,25 @@ def _base_failed(rules: Rules, p: str) -> Column:
     )
 
 
-def _measures(p: str) -> dict[str, Column]:
+def _measures(rules: Rules, p: str) -> dict[str, Column]:
     n = F.greatest(F.col(f"{p}n_words"), F.lit(1)).cast("double")
-    return {
+    known = {
         "symbol_rate": F.col(f"{p}n_symbols") / n,
         "word_length": F.col(f"{p}word_chars") / n,
         "dup_line_rate": F.col(f"{p}n_dup_lines") / n,
+        "dup_line_share": F.col(f"{p}n_dup_lines") / F.greatest(F.col(f"{p}n_lines"), F.lit(1)).cast("double"),
         "repeat_rate": F.col(f"{p}n_repeat_words") / n,
     }
+    return {m: known[m] for m in rules.floors}
 
 
 def group_thresholds(measured: DataFrame, rules: Rules, p: str) -> DataFrame:
     """One row per (lang, source): the fences of its measures. ``measured`` holds texts that pass the base."""
-    names = list(_measures(p))
+    names = list(_measures(rules, p))
     sketches = written_table(
         measured.groupBy(f"{p}lang", f"{p}source").agg(
             F.count(F.lit(1)).alias(f"{p}n"),
-            *(F.kll_sketch_agg_double(v, rules.k).alias(f"{p}{m}") for m, v in _measures(p).items()),
+            *(F.kll_sketch_agg_double(v, rules.k).alias(f"{p}{m}") for m, v in _measures(rules, p).items()),
         ),
         "quality-sketches",
     )
@@ -153,9 +174,10 @@ def group_thresholds(measured: DataFrame, rules: Rules, p: str) -> DataFrame:
     for m in names:
         low, mid, high = (F.kll_sketch_get_quantile_double(f"{p}s.{p}{m}", F.lit(q)) for q in (0.25, 0.5, 0.75))
         floor = F.lit(rules.floors[m])
-        fences.append((mid + rules.width * F.greatest(mid - low, floor)).alias(f"{p}max_{m}"))
+        top, above, bottom, below = (high, high - mid, low, mid - low) if rules.quartiles else (mid, mid - low, mid, high - mid)
+        fences.append((top + rules.width * F.greatest(above, floor)).alias(f"{p}max_{m}"))
         if m == "word_length":
-            fences.append((mid - rules.width * F.greatest(high - mid, floor)).alias(f"{p}min_{m}"))
+            fences.append((bottom - rules.width * F.greatest(below, floor)).alias(f"{p}min_{m}"))
     return one.select(F.col(f"{p}lang").alias(f"{p}t_lang"), F.col(f"{p}source").alias(f"{p}t_source"), *fences)
 
 
@@ -169,13 +191,13 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     rules = rules or Rules()
     counted = written_table(
         with_features(_wrapped(docs, text, lang, source, p, keep), f"{p}text", p)
-        .drop(f"{p}text")
+        .drop(f"{p}text", *(() if rules.quartiles else (f"{p}n_lines",)))
         .withColumn(f"{p}base_failed", _base_failed(rules, p)),
         "quality-counts",
     )
     fences = written_table(group_thresholds(counted.where(~F.col(f"{p}base_failed")), rules, p), "quality-thresholds")
     inside = F.lit(True)
-    for m, v in _measures(p).items():
+    for m, v in _measures(rules, p).items():
         inside = inside & (v <= F.col(f"{p}max_{m}"))
         if m == "word_length":
             inside = inside & (v >= F.col(f"{p}min_{m}"))
@@ -195,5 +217,5 @@ def _wrapped(docs: DataFrame, text: str, lang: str, source: str, p: str, keep: t
 
 
 def keep_good(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns."""
-    return judge(docs, rules=rules).where("q_kept").select("q_row.*")
+    """The rows of ``docs`` that pass, with their own columns; by :class:`QuartileRules` if none are given."""
+    return judge(docs, rules=rules or QuartileRules()).where("q_kept").select("q_row.*")

@@ -71,6 +71,26 @@ def test_quality_rejects_what_differs_from_its_group(spark):
     assert quality_rules.keep_good(docs.limit(0)).collect() == []
 
 
+def test_every_quality_measure_rejects_and_clean_texts_stay(spark):
+    rng = random.Random(2)
+    word = lambda n=5: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    line = lambda: " ".join(word(rng.randrange(3, 8)) for _ in range(10))
+    lines = lambda n: [line() for _ in range(n)]
+    rows = [(i, "\n".join(lines(rng.randrange(6, 60))), "en", "a") for i in range(400)]
+    rows += [(1000 + i, "\n".join(x := lines(8)) + "\n" + x[0], "en", "a") for i in range(3)]  # one repeated line is clean
+    odd = {
+        "symbol_rate": " ".join(word() + "#" * (i % 4 == 0) for i in range(80)),
+        "word_length": " ".join(word(8) for _ in range(80)),
+        "short words": " ".join(word(2) for _ in range(80)),
+        "dup_line_share": "\n".join(["a b"] * 20 + lines(20)),
+        "repeat_rate": " ".join((x := line().split()) * 3 + [word() for _ in range(50)]),
+    }
+    bad = [(2000 + i, t, "en", "a") for i, t in enumerate(odd.values())]
+    kept = {r.doc_id for r in quality_rules.keep_good(documents(spark, rows + bad)).collect()}
+    assert not any(2 * plain_features(t)[4] > plain_features(t)[0] for _, t, *_ in bad)  # none fails by the fixed rules
+    assert kept == {i for i, *_ in rows}
+
+
 def plain_targets(sizes, weights, epochs):
     total, clamped = sum(sizes), set()
     while True:
