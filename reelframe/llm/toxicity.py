@@ -1,8 +1,11 @@
 """Toxicity of texts from labels of whole texts: multiple-instance learning over sentences.
 
-A sentence's score is a logistic function of its hashed words; a text's score is the noisy-or of its
-sentences, 1 - prod(1 - p). The model is fitted to text labels through that noisy-or, so it learns which
-sentences must be toxic for the labels to hold, and then locates them in every text.
+A sentence's score is a logistic function of its hashed words; a text's score is a noisy-or of its
+sentences over one background of the whole text, 1 - (1 - p0) * prod((1 - p) / (1 - p0)). Only sentences that
+hold a word the model uses and score above the background take part, and sentences with the same such words
+count once, so sentences that tell nothing and repeated ones don't add to a long text's score. The model is
+fitted to text labels through that noisy-or, so it learns which sentences must be toxic for the labels to
+hold, and then locates them in every text.
 
 Training reads a bounded sample of labelled texts (``Settings.per_class`` texts of either label, chosen
 by a hash of their ids, and ``Settings.max_pairs`` word-in-sentence pairs at most); class weights restore
@@ -11,8 +14,8 @@ the share of either label among all labelled rows. Scoring reads every whole tex
 Sentences end at ``.``, ``!``, ``?`` or a line break; words are runs of ASCII letters, digits and
 non-ASCII characters, in lower case for A-Z. Null and empty text has no sentence and scores 0. Labels that
 are null or whose doc_id is null are ignored; where a doc_id has several labels the largest counts.
-Without labels of both classes the share of toxic labels (0 without labels) is the score of every
-sentence. Repeated rows are scored alike. Extra columns pass through.
+Without labels of both classes the share of toxic labels (0 without labels) is the score of every text
+with words. Repeated rows are scored alike. Extra columns pass through.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from reelframe.llm import words as W
 from reelframe.session import written_table
 
-FEATURE_BITS = 18
+FEATURE_BITS = 38  # words of a long text hardly ever meet a used word's feature by chance; 25 bits number sentences
 _U = np.uint64
 
 
@@ -53,9 +56,20 @@ class Settings:
 
 @dataclass(frozen=True)
 class Model:
+    """``features``: the used words, ascending, each with its weight; all others weigh nothing."""
+
     bias: float
+    features: np.ndarray
     weights: np.ndarray
 
+    def find(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of ``features``, and which of them are used."""
+        if not len(self.features):
+            return np.zeros(len(features), np.float32), np.zeros(len(features), bool)
+        at = np.minimum(np.searchsorted(self.features, features), len(self.features) - 1)
+        used = self.features[at] == features
+        return np.where(used, self.weights[at], np.float32(0)), used
+
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     separators = np.ones(256, bool)
@@ -98,8 +112,9 @@ def _softplus(z: np.ndarray) -> np.ndarray:
 
 
 def _telling(feature: np.ndarray, instance: np.ndarray, toxic: np.ndarray, s: Settings) -> np.ndarray:
-    """Which words to use. Equal sentences count once, so copies of one text don't make its words telling."""
-    width = 1 << FEATURE_BITS
+    """Which rows hold a word to use. Equal sentences count once, so copies of one text don't make its words telling."""
+    _, word = np.unique(feature, return_inverse=True)
+    width = int(word.max()) + 1 if len(word) else 0
     content = np.zeros(len(toxic), np.uint64)
     np.add.at(content, instance, W.mix(feature.astype(np.uint64) + _U(1)))
     content = content * _U(2) + toxic
@@ -107,46 +122,61 @@ def _telling(feature: np.ndarray, instance: np.ndarray, toxic: np.ndarray, s: Se
     first_of = np.zeros(len(toxic), bool)
     first_of[once] = True
     kept = first_of[instance]
-    a = np.bincount(feature[kept & toxic[instance]], minlength=width)
-    b = np.bincount(feature[kept & ~toxic[instance]], minlength=width)
+    a = np.bincount(word[kept & toxic[instance]], minlength=width)
+    b = np.bincount(word[kept & ~toxic[instance]], minlength=width)
     n1, n0 = max(1, int((first_of & toxic).sum())), max(1, int((first_of & ~toxic).sum()))
     rate = (a + b) / (n1 + n0)
     z = (a / n1 - b / n0) / np.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0) + 1e-12)
-    return (a >= s.min_sentences) & (z >= s.min_z)
+    return ((a >= s.min_sentences) & (z >= s.min_z))[word]
+
+
+def _once(owner: np.ndarray, instance: np.ndarray, feature: np.ndarray) -> np.ndarray:
+    """Which (instance, feature) rows to keep so that equal feature sets of one owner count once; sorted by instance."""
+    if not len(instance):
+        return np.zeros(0, bool)
+    starts = np.flatnonzero(np.append(True, instance[1:] != instance[:-1]))
+    content = np.add.reduceat(W.mix(feature.astype(np.uint64) + _U(1)), starts)
+    content = W.mix(content) + W.mix(owner[starts].astype(np.uint64) + _U(3))
+    kept = np.zeros(len(starts), bool)
+    kept[np.unique(content, return_index=True)[1]] = True
+    return np.repeat(kept, np.diff(np.append(starts, len(instance))))
 
 
-def fit(labels: np.ndarray, pairs: list[np.ndarray], positive_share: float, s: Settings) -> tuple[float, np.ndarray]:
+def fit(labels: np.ndarray, pairs: list[np.ndarray], positive_share: float, s: Settings) -> Model:
     """Bias and weights by full-batch Adam on the log loss of the noisy-or."""
-    width = 1 << FEATURE_BITS
     doc_of = np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
     flat = np.concatenate(pairs) if len(pairs) else np.zeros(0, np.int64)
-    feature, sentence = flat & (width - 1), flat >> FEATURE_BITS
+    feature, sentence = flat & ((1 << FEATURE_BITS) - 1), flat >> FEATURE_BITS
     # Sentences keep an instance even when none of their words is used.
     key = (doc_of.astype(np.int64) << 40) | sentence
     _, first, instance = np.unique(key, return_index=True, return_inverse=True)
     owner = doc_of[first]
-    used = _telling(feature, instance, labels.astype(bool)[owner], s)[feature]
-    columns, compact = np.unique(feature[used], return_inverse=True)
-    rows = instance[used]
+    used = _telling(feature, instance, labels.astype(bool)[owner], s)
+    # Only sentences with used words, equal ones of a text once; the rest of a text is its background.
+    order = np.flatnonzero(used)[np.argsort(instance[used], kind="stable")]
+    order = order[_once(owner[instance[order]], instance[order], feature[order])]
+    columns, compact = np.unique(feature[order], return_inverse=True)
+    kept, rows = np.unique(instance[order], return_inverse=True)
+    owner = owner[kept]
     y = labels.astype(bool)
     share = np.where(y, positive_share / max(1, y.sum()), (1 - positive_share) / max(1, (~y).sum()))
     w, b = np.zeros(len(columns)), s.start
     m, v = np.zeros(len(columns) + 1), np.zeros(len(columns) + 1)
     for t in range(1, s.rounds + 1):
         z = b + np.bincount(rows, weights=w[compact], minlength=len(owner))
-        p = 1.0 / (1.0 + np.exp(-z))
-        total = np.bincount(owner, weights=_softplus(z), minlength=len(labels))
+        p, p0 = 1.0 / (1.0 + np.exp(-z)), 1.0 / (1.0 + np.exp(-b))
+        above = z >= b
+        total = _softplus(b) + np.bincount(owner, weights=np.where(above, _softplus(z) - _softplus(b), 0.0), minlength=len(labels))
         pull = np.where(y, -1.0 / np.expm1(np.clip(total, 1e-9, 500)), 1.0) * share
-        g = pull[owner] * p
-        grad = np.append(np.bincount(compact, weights=g[rows], minlength=len(columns)) + s.ridge * w, g.sum())
+        g = pull[owner] * np.where(above, p, 0.0)
+        by_bias = p0 * pull.sum() + (g - pull[owner] * np.where(above, p0, 0.0)).sum()
+        grad = np.append(np.bincount(compact, weights=g[rows], minlength=len(columns)) + s.ridge * w, by_bias)
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
         step = s.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w -= step[:-1]
         b -= step[-1]
-    weights = np.zeros(width, np.float32)
-    weights[columns] = w
-    return float(b), weights
+    return Model(float(b), columns, w.astype(np.float32))
 
 
 def _fit_rows(batches: Iterator[pa.RecordBatch], positive_share: float, s: Settings) -> Iterator[pa.RecordBatch]:
@@ -156,8 +186,8 @@ def _fit_rows(batches: Iterator[pa.RecordBatch], positive_share: float, s: Setti
         labels += batch.column("toxic").to_pylist()
         pairs += [np.asarray(x.values) for x in batch.column("pairs")]
     order = np.lexsort((np.array([len(p) for p in pairs], int), np.array(ranks, np.int64), np.array(labels, int)))
-    b, w = fit(np.array(labels)[order], [pairs[i] for i in order], positive_share, s)
-    yield pa.RecordBatch.from_pydict({"bias": pa.array([b]), "weights": pa.array([w.tobytes()], pa.binary())})
+    m = fit(np.array(labels)[order], [pairs[i] for i in order], positive_share, s)
+    yield pa.RecordBatch.from_pydict({"bias": pa.array([m.bias]), "features": pa.array([m.features.astype(np.int64).tobytes()], pa.binary()), "weights": pa.array([m.weights.tobytes()], pa.binary())})
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
@@ -177,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
     share = counts.get(1, 0) / total if total else 0.0
     if not counts.get(1) or not counts.get(0):
         p = min(max(share, 0.0), 1.0)
-        return Model(float(np.log(p / (1 - p))) if 0 < p < 1 else (50.0 if p else -50.0), np.zeros(1 << FEATURE_BITS, np.float32))
+        return Model(float(np.log(p / (1 - p))) if 0 < p < 1 else (50.0 if p else -50.0), np.zeros(0, np.int64), np.zeros(0, np.float32))
     chosen = None
     for label in (0, 1):
         part = present.where(F.col("t_toxic") == label).orderBy("t_rank", "t_doc").limit(s.per_class)
@@ -193,8 +223,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
     within = lengths[np.cumsum(lengths[:, 1]) <= s.max_pairs, 0]
     if len(within):
         pairs = pairs.where(F.col("rank") <= int(within.max()))
-    row = pairs.coalesce(1).mapInArrow(partial(_fit_rows, positive_share=share, s=s), "bias double, weights binary").first()
-    return Model(row.bias, np.frombuffer(row.weights, np.float32))
+    row = pairs.coalesce(1).mapInArrow(partial(_fit_rows, positive_share=share, s=s), "bias double, features binary, weights binary").first()
+    return Model(row.bias, np.frombuffer(row.features, np.int64), np.frombuffer(row.weights, np.float32))
 
 
 def _text_scores(texts: pa.Array, model: Model) -> Iterator[tuple[int, float, np.ndarray, np.ndarray, np.ndarray]]:
@@ -206,9 +236,15 @@ def _text_scores(texts: pa.Array, model: Model) -> Iterator[tuple[int, float, np
         # A word counts once a sentence.
         pairs = np.unique((sentences << FEATURE_BITS) | features)
         s = pairs >> FEATURE_BITS
-        z = np.bincount(s, weights=model.weights[pairs & ((1 << FEATURE_BITS) - 1)], minlength=len(stops) + 1) + model.bias
+        f = pairs & ((1 << FEATURE_BITS) - 1)
+        weights, used = model.find(f)
+        z = np.bincount(s, weights=weights, minlength=len(stops) + 1) + model.bias
         z[np.bincount(s, minlength=len(z)) == 0] = -np.inf
-        yield row, float(-np.expm1(-_softplus(z).sum())), data, stops, 1.0 / (1.0 + np.exp(-z))
+        s, f = s[used], f[used]
+        once = np.unique(s[_once(np.zeros(len(s), np.int64), s, f)])
+        ground = _softplus(model.bias)
+        total = ground + np.maximum(_softplus(z[once]) - ground, 0).sum()
+        yield row, float(-np.expm1(-total)), data, stops, 1.0 / (1.0 + np.exp(-z))
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:

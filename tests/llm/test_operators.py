@@ -222,6 +222,27 @@ def test_toxicity_finds_sentences_from_text_labels(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted([i for i in range(700) if i % 3] + [9001, 9002])
 
 
+def test_toxicity_of_clean_texts_does_not_grow_with_length(spark):
+    rng = random.Random(8)
+    plain = [f"w{i}" for i in range(400)]
+    sentence = lambda: " ".join(rng.choices(plain, k=8))
+    rows = [(i, ". ".join([sentence() for _ in range(6)] + [sentence() + " vile"] * (i % 3 == 0)), "en", "a") for i in range(600)]
+    labels = [(i, int(i % 3 == 0)) for i in range(600)]
+    rows += [(5000, ". ".join(sentence() for _ in range(12_000)), "en", "a")]
+    rows += [(5001, rows[-1][1] + ". ok vile", "en", "a")]
+    rows += [(5002, ". ".join(f"{i}x{2 * i} y{i}" for i in range(200_000)), "en", "a")]  # words that no other text has
+    docs = documents(spark, rows)
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    assert got[5000].score < 0.1 and got[5002].score < 0.1 and got[5001].score >= 0.5
+    assert sum((got[i].score >= 0.5) != (i % 3 == 0) for i in range(600)) == 0
+    # A weak word in very many equal sentences is weak evidence still.
+    weak = toxicity.Model(-8.0, model.features, np.full(len(model.features), 4.0, np.float32))
+    many = documents(spark, [(1, "vile. " * 20_000, "en", "a"), (2, "vile", "en", "a")])
+    one, other = (r.score for r in toxicity.score(many, weak).collect())
+    assert one == pytest.approx(other) and one < 0.5
+
+
 def test_toxicity_without_labels_or_texts(spark):
     docs = documents(spark, ODD)
     none = spark.createDataFrame([], "doc_id long, toxic int")
