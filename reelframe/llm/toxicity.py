@@ -8,7 +8,8 @@ fitted to text labels through that noisy-or, so it learns which sentences must b
 hold, and then locates them in every text.
 
 Training reads a bounded sample of labelled texts (``Settings.per_class`` texts of either label, chosen
-by a hash of their ids, and ``Settings.max_pairs`` word-in-sentence pairs at most); class weights restore
+by a hash of their ids, one text an id, and ``Settings.max_pairs`` word-in-sentence pairs at most, half of
+them a label; a text that doesn't fit is passed over, not those behind it); class weights restore
 the share of either label among all labelled rows. Scoring reads every whole text, map-side.
 
 Sentences end at ``.``, ``!``, ``?`` or a line break; words are runs of ASCII letters, digits and
@@ -190,6 +191,20 @@ def _fit_rows(batches: Iterator[pa.RecordBatch], positive_share: float, s: Setti
     yield pa.RecordBatch.from_pydict({"bias": pa.array([m.bias]), "features": pa.array([m.features.astype(np.int64).tobytes()], pa.binary()), "weights": pa.array([m.weights.tobytes()], pa.binary())})
 
 
+def _fitting(rank: np.ndarray, toxic: np.ndarray, n: np.ndarray, max_pairs: int) -> np.ndarray:
+    """Ranks of the texts to train on: per label in order of rank what still fits half of the bound, the shortest at least."""
+    chosen = []
+    for label in (0, 1):
+        mine = np.flatnonzero(toxic == label)
+        mine, left, taken = mine[np.lexsort((n[mine], rank[mine]))], max_pairs // 2, []
+        for i in mine:
+            if n[i] <= left:
+                left -= int(n[i])
+                taken.append(rank[i])
+        chosen += taken or [rank[mine[np.argmin(n[mine])]]] if len(mine) else []
+    return np.array(chosen, np.int64)
+
+
 def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
     """Fit on ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic); held-out ids are left out here."""
     s = settings or Settings()
@@ -214,15 +229,16 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = written_table(chosen, "toxic-sample")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("t_doc"))  # 2 * per_class rows
+    rows = rows.groupBy(F.col("t_rank").alias("rank"), F.col("t_doc"), F.col("t_toxic").alias("toxic")).agg(F.min("text").alias("text"))
     pairs = written_table(
-        rows.select(F.col("t_rank").alias("rank"), F.col("t_toxic").alias("toxic"), "text").mapInArrow(_training_pairs, "rank long, toxic int, n long, pairs array<long>"),
+        rows.select("rank", "toxic", "text").mapInArrow(_training_pairs, "rank long, toxic int, n long, pairs array<long>"),
         "toxic-pairs",
     )
-    # 2 * per_class lengths: how far the bound on pairs reaches in the order of the hash.
-    lengths = np.array(sorted((r["rank"], r.n) for r in pairs.select("rank", "n").collect()), np.int64).reshape(-1, 2)
-    within = lengths[np.cumsum(lengths[:, 1]) <= s.max_pairs, 0]
-    if len(within):
-        pairs = pairs.where(F.col("rank") <= int(within.max()))
+    # 2 * per_class lengths.
+    rank, toxic, n = np.array([tuple(r) for r in pairs.select("rank", "toxic", "n").collect()], np.int64).reshape(-1, 3).T
+    if n.sum() > s.max_pairs:
+        within = docs.sparkSession.createDataFrame([(int(x),) for x in _fitting(rank, toxic, n, s.max_pairs)], "rank long")
+        pairs = pairs.join(F.broadcast(within), "rank")
     row = pairs.coalesce(1).mapInArrow(partial(_fit_rows, positive_share=share, s=s), "bias double, features binary, weights binary").first()
     return Model(row.bias, np.frombuffer(row.features, np.int64), np.frombuffer(row.weights, np.float32))
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from reelframe.llm import licenses, lm_scores, mixing, ngram_join, nndescent, quality_rules, toxicity
@@ -243,6 +244,24 @@ def test_toxicity_of_clean_texts_does_not_grow_with_length(spark):
     assert one == pytest.approx(other) and one < 0.5
 
 
+def test_toxicity_training_bound_leaves_both_labels_and_passes_over_long_texts(spark, monkeypatch):
+    rank, toxic = np.arange(6), np.array([0, 1, 0, 1, 0, 1])
+    assert toxicity._fitting(rank, toxic, np.array([90, 5, 5, 90, 5, 5]), 20).tolist() == [2, 4, 1, 5]
+    assert toxicity._fitting(rank, toxic, np.array([90, 5, 80, 90, 95, 5]), 20).tolist() == [2, 1, 5]
+
+    def spy(batches, positive_share, s):
+        rows = [r for b in batches for r in b.select(["rank", "toxic", "n"]).to_pylist()]
+        yield pa.RecordBatch.from_pydict({"bias": pa.array([float(len(rows))]), "features": pa.array([b""], pa.binary()), "weights": pa.array([np.array([sum(r["n"] for r in rows), len({r["rank"] for r in rows}), len({r["toxic"] for r in rows})], np.float32).tobytes()], pa.binary())})
+
+    monkeypatch.setattr(toxicity, "_fit_rows", spy)
+    rows = [(i, f"some words {i}. more words {i}", "en", "a") for i in range(1, 60)] * 3
+    rows += [(i, " ".join(f"w{j}" for j in range(3000)), "en", "a") for i in range(60, 80)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 80)], "doc_id long, toxic int")
+    model = toxicity.train(documents(spark, rows), labels, toxicity.Settings(max_pairs=1000))
+    pairs, ids, classes = model.weights.tolist()
+    assert model.bias == ids and classes == 2 and 0 < pairs <= 1000
+
+
 def test_toxicity_without_labels_or_texts(spark):
     docs = documents(spark, ODD)
     none = spark.createDataFrame([], "doc_id long, toxic int")
