@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: NN-descent builds a neighbour graph, queries walk it greedily.
 
 Building. Vectors are centred and cut to 8 bits with a scale each. A start comes from exact neighbours
-inside random groups of ``group_size``. Each round compares, for every node, a sample of its neighbours and
+inside random groups of ``group_size`` at most, a quarter of a small table; only ``k`` vectors or fewer are
+compared all with all instead. Each round compares, for every node, a sample of its neighbours and
 of the nodes that name it, where at least one is new (a join of neighbours of neighbours), and keeps the
 ``k`` nearest. Samples per node are bounded by a ranked window, which Spark limits before the shuffle, so a
 node that very many others name costs no more than the rest. Rounds end when few lists change.
@@ -233,7 +234,8 @@ def build(vectors: DataFrame, g: Graph) -> tuple[DataFrame, DataFrame]:
     forms = written_table(
         vectors.mapInArrow(partial(_small_form, centre=np.array(list(means))), "vec_id long, full binary, small binary, scale double, square double"), "ann-forms"
     )
-    groups = max(1, -(-n // g.group_size))
+    # A small table is dealt as well, so its rounds run like those of a large one.
+    groups = 1 if n <= g.k else max(2, -(-n // min(g.group_size, max(2 * g.k, n // 4))))
     seeds = F.explode(F.array(*(F.lit(i) for i in range(g.groupings if groups > 1 else 1))))
     dealt = forms.select("vec_id", "small", "scale", "square", seeds.alias("deal")).withColumn("group", F.pmod(F.xxhash64("vec_id", "deal"), F.lit(groups)))
     k0 = g.k if groups == 1 else g.k // g.groupings + 6

@@ -269,6 +269,23 @@ def test_toxicity_without_labels_or_texts(spark):
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), none)).collect() == []
 
 
+@pytest.mark.parametrize("n", [10, 30, 600])
+def test_neighbour_rounds_run_on_small_tables(spark, monkeypatch, n):
+    written = []
+    keep = nndescent.written_table
+    monkeypatch.setattr(nndescent, "written_table", lambda df, name: written.append(name) or keep(df, name))
+    x = np.random.default_rng(n).normal(size=(n, 16)).astype(np.float32)
+    g = nndescent.Graph()
+    lists, _ = nndescent.build(nndescent.clean_vectors(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])), g)
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    got = {r.node: set(r.ids) for r in lists.collect()}
+    k = min(g.k, n - 1)
+    want = {i: set(np.argsort(d[i])[:k].tolist()) for i in range(n)}
+    assert sum(len(got[i] & want[i]) for i in range(n)) >= 0.97 * n * k
+    assert (written.count("ann-lists") > 1) == (n > g.k)
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, query string")
 
