@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from reelframe.llm import licenses, lm_scores, mixing, ngram_join, nndescent, pieces, quality_rules, separators, token_files, toxicity
+from reelframe.llm import licenses, lm_scores, merkle, mixing, ngram_join, nndescent, pieces, quality_rules, separators, token_files, toxicity
 from reelframe.llm.registry import QUERIES, query, table  # noqa: F401
 
 # Words of a text as DuckDB lists, and the counts of the quality rules.
@@ -187,3 +187,68 @@ FROM (SELECT DISTINCT doc_id FROM d) d LEFT JOIN s ON s.doc_id IS NOT DISTINCT F
 def op1(spark, sf_dir):
     scored = lm_scores.score(table(spark, sf_dir, "documents"))
     return scored.withColumn("score", F.round("score", 4) + F.lit(0.0))
+
+
+# CRC-32 of a list of bytes; ``crc`` holds its table.
+CRC_TABLE_SQL = """crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
+
+def crc32_sql(bytes_sql: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295, {bytes_sql}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+MERKLE_LEVELS = 9  # 8 ** 9 rows a tree
+
+
+def _merkle_sql() -> str:
+    """Levels are unrolled: ``k``-th nodes of each tree, then the proof and the folded digest of each leaf."""
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    row = lambda text: " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    decimal = "list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ord(ch)::BIGINT)"
+    parts = [
+        CRC_TABLE_SQL,
+        f"""d AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256({row("text")}) AS leaf,
+             CASE WHEN {crc32_sql(decimal)} % 3 = 0 THEN sha256({row(lower)}) END AS changed FROM documents, crc)""",
+        "l0 AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d)",
+    ]
+    step = lambda src, k: [
+        f"""{src}{k + 1} AS (SELECT tree, CASE WHEN n = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h, pos // 8 AS pos
+            FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {src}{k}) GROUP BY tree, n, pos // 8)"""
+    ]
+    parts.append("n0 AS (SELECT tree, leaf AS h, pos FROM l0)")
+    for k in range(MERKLE_LEVELS):
+        parts += step("n", k)
+    parts.append(f"t0 AS (SELECT '' AS tree, h, row_number() OVER (ORDER BY tree) - 1 AS pos FROM n{MERKLE_LEVELS})")
+    parts.append(f"names AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS pos FROM n{MERKLE_LEVELS})")
+    for k in range(MERKLE_LEVELS):
+        parts += step("t", k)
+    fold = "SELECT p.doc_id, p.tree, p.leaf, p.start, p.at // 8 AS at, p.{keep} AS {keep}, coalesce(p.proof, '') || coalesce(s.l, '') || coalesce(s.r, '') AS proof, CASE WHEN s.n = 1 THEN p.fold ELSE sha256(coalesce(s.l, '') || p.fold || coalesce(s.r, '')) END AS fold, p.id FROM {p} p JOIN {s} s ON {on}"
+    sides = """{out} AS (SELECT a.tree, a.pos, any_value(a.n) AS n, string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos) AS l,
+            string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos) AS r
+        FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {src}) a JOIN {src} b ON a.tree = b.tree AND a.pos // 8 = b.pos // 8 GROUP BY a.tree, a.pos)"""
+    parts.append("p0 AS (SELECT doc_id, tree, leaf, leaf AS start, pos AS at, tree AS grp, '' AS proof, coalesce(changed, leaf) AS fold, row_number() OVER () AS id FROM l0)")
+    for k in range(MERKLE_LEVELS):
+        parts.append(sides.format(out=f"s{k}", src=f"n{k}"))
+        parts.append(f"p{k + 1} AS ({fold.format(keep='grp', p=f'p{k}', s=f's{k}', on='p.grp = s.tree AND p.at = s.pos')})")
+    parts.append(f"q0 AS (SELECT p.doc_id, p.tree, p.leaf, p.start, names.pos AS at, p.grp, p.proof, p.fold, p.id FROM p{MERKLE_LEVELS} p JOIN names USING (tree))")
+    for k in range(MERKLE_LEVELS):
+        parts.append(sides.format(out=f"u{k}", src=f"t{k}"))
+        parts.append(f"q{k + 1} AS ({fold.format(keep='grp', p=f'q{k}', s=f'u{k}', on='p.at = s.pos')})")
+    last = MERKLE_LEVELS
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT q.doc_id, q.leaf, names.h AS subroot, t{last}.h AS root, sha256(q.proof) AS proof_sha256, q.fold AS folded_root, q.fold = t{last}.h AS verified
+FROM q{last} q JOIN names USING (tree), t{last}"""
+
+
+@query("op13_merkle_manifest", _merkle_sql())
+def op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    upper = "".join(map(chr, range(65, 91)))
+    proven = merkle.manifest(
+        docs,
+        changed={"text": F.translate("text", upper, upper.lower())},
+        when=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0,
+    )
+    return proven.drop("pos")
