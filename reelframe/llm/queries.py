@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from reelframe.llm import licenses, lm_scores, merkle, mixing, ngram_join, nndescent, pieces, quality_rules, separators, token_files, toxicity
+from reelframe.llm import licenses, lm_scores, merkle, mixing, ngram_join, nndescent, personal, pieces, quality_rules, separators, spelling, token_files, toxicity
 from reelframe.llm.registry import QUERIES, query, table  # noqa: F401
 
 # Words of a text as DuckDB lists, and the counts of the quality rules.
@@ -252,3 +252,38 @@ def op13(spark, sf_dir):
         when=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0,
     )
     return proven.drop("pos")
+
+
+SPELLING_SQL = rf"""
+WITH RECURSIVE {CRC_TABLE_SQL},
+runs AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, sum(k)::BIGINT AS k
+         FROM (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{{7,}}')) AS run FROM documents) GROUP BY ALL)
+         GROUP BY ALL),
+codes AS (SELECT *, list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda ch: ord(ch)::BIGINT) AS c FROM runs),
+h AS (SELECT run, k, {crc32_sql("flatten(list_transform(c, lambda o: CASE WHEN o < 128 THEN [o] ELSE [192 + (o >> 6), 128 + (o & 63)] END))")} AS h FROM codes, crc),
+s AS (SELECT CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, k FROM h),
+w AS (SELECT word, sum(k)::BIGINT AS n, length(word) AS len FROM s WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cut AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT *, unnest(range(1, len + 1)) AS i FROM w)),
+near AS (SELECT a.word AS x, b.word AS y, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+         UNION SELECT a.word, b.word, b.n FROM cut a JOIN w b ON a.rest = b.word
+         UNION SELECT b.word, a.word, a.n FROM cut a JOIN w b ON a.rest = b.word),
+best AS (SELECT x, count(*) AS n_near, max(n) AS top FROM near GROUP BY x),
+pick AS (SELECT x, n_near, top, min(y) AS form FROM best JOIN near USING (x) WHERE near.n = top GROUP BY ALL),
+j AS (SELECT word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 10 * w.n THEN form END AS form,
+             CASE WHEN top >= 10 * w.n THEN top END AS form_n FROM w LEFT JOIN pick ON x = word),
+r AS (SELECT word, word AS root, form AS ahead FROM j UNION ALL SELECT r.word, j.word, j.form FROM r JOIN j ON j.word = r.ahead)
+SELECT j.word, j.form, r.root, j.n, j.n_near, j.form_n FROM j JOIN r ON r.word = j.word AND r.ahead IS NULL
+"""
+
+
+@query("op11_spelling_variants", SPELLING_SQL)
+def op11(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_personal_data")
+def op12(spark, sf_dir):
+    rows, _ = personal.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(personal.of_kind(base, k)).cast("long").alias(f"n_{k}") for k in personal.KINDS]
+    return rows.select("kept.doc_id", *counts, F.sha2(personal.span_text(base), 256).alias("base_sha256"), personal.span_text(F.col("spans")).alias("spans"))
