@@ -180,7 +180,8 @@ def _numbered(docs: DataFrame, fields: Sequence[str], group: str, order: str, ch
         other = F.when(when, leaf_digest([changed.get(f, F.col(f)) for f in fields]))
     tree = F.when(F.col(group).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(group).cast("string")))
     slim = docs.select(F.col(order).alias("key"), F.col(group).alias("group"), tree.alias("tree"), leaf.alias("digest"), other.alias("changed"))
-    slim = slim.withColumn("row", F.monotonically_increasing_id())  # spreads equal rows over ranges
+    # Hashed once, before ranges are sampled; the row number spreads equal rows over ranges.
+    slim = written_table(slim.withColumn("row", F.monotonically_increasing_id()), "merkle-hashed")
     return written_table(assign_index(slim, ["tree"], ["key", "digest", "row"], "pos").drop("row"), "merkle-leaves")
 
 
