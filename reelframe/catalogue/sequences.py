@@ -15,6 +15,7 @@ from reelframe.operators import quality as O
 from reelframe.operators import selection as K
 from reelframe.operators import stationary as St
 from reelframe.operators import trajectory as T
+from reelframe.operators.chain_scan import ChainRules, keyframe_scan
 from reelframe.session import written_table
 
 KEYS = ["video_id"]
@@ -384,15 +385,16 @@ def _min_interval_select(spark, sf):
     return K.min_interval_select(V.frames(spark, sf).filter("laplacian_var >= 25"), KEYS, 4, span=48)
 
 
-def _pair_similarity(frames):
-    """Scores pairs by brightness; stands in for an image comparison."""
+def _similar(ref, rows):
+    """Compares frames by brightness; stands in for an image comparison."""
+    return {"ssim": 1 - (rows["brightness"] - ref["brightness"]).abs()}
 
-    def score(pairs):
-        ref = frames.select(*KEYS, F.col("frame_index").alias("ref_index"), F.col("brightness").alias("_rb"))
-        out = pairs.join(ref, [*KEYS, "ref_index"])
-        return out.withColumn("ssim", 1 - F.abs(F.col("brightness") - F.col("_rb"))).drop("_rb")
 
-    return score
+def _matched(ref, rows):
+    """The same, with match counts and failed and degenerate estimations."""
+    total = rows["orb_keypoints"] + ref["orb_keypoints"]
+    status = total.mod(7).map({0.0: "failed", 1.0: "degenerate"}).fillna("ok")
+    return {**_similar(ref, rows), "match_count": rows["orb_keypoints"].clip(upper=ref["orb_keypoints"]), "status": status.tolist()}
 
 
 @query(
@@ -411,10 +413,34 @@ def _pair_similarity(frames):
     ),
 )
 def _keyframe_chain(spark, sf):
-    df = written_table(V.frames(spark, sf).filter("laplacian_var >= 10").select(*KEYS, "frame_index", "brightness"), "frames")
-    return K.keyframe_chain(
-        df, _pair_similarity(df), KEYS, min_interval=3, horizon=24, ssim_threshold=0.4, exposure_threshold=0.7, span=48
-    )
+    rules = ChainRules(min_interval=3, ssim_threshold=0.4, exposure_threshold=0.7)
+    return keyframe_scan(V.frames(spark, sf).filter("laplacian_var >= 10"), _similar, KEYS, columns=["brightness"], rules=rules, span=48)
+
+
+@query(
+    "keyframe_chain_rescue",
+    "video_id:l frame_index:l ref_index:l ssim:d is_rescue_mode:b is_forced:b",
+    with_views(
+        """, pass AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY frame_index) AS r, frame_index AS f, brightness AS b,
+          orb_keypoints AS k FROM frames_v),
+        fold AS (SELECT video_id, r, f, f AS kf, b AS kb, k AS kk, b AS pb, []::DOUBLE[] AS h, false AS rescue, true AS keep,
+            NULL::BIGINT AS ref, NULL::DOUBLE AS ssim, false AS forced FROM pass WHERE r = 1
+          UNION ALL SELECT video_id, r, f, CASE WHEN keep THEN f ELSE kf END, CASE WHEN keep THEN b ELSE kb END, CASE WHEN keep THEN k ELSE kk END,
+            CASE WHEN tested THEN b ELSE pb END, h2, rescue2, keep, kf, s, failed OR jumped
+          FROM (SELECT *, tested AND CASE WHEN failed THEN rescue2 ELSE s <= 0.4 OR jumped END AS keep
+            FROM (SELECT *, CASE WHEN counted THEN len(h2) = 3 AND list_avg(h2) < 30 ELSE rescue END AS rescue2
+              FROM (SELECT *, CASE WHEN counted THEN list_append(h, CASE WHEN failed THEN 0 ELSE least(k, kk) END)[-3:] ELSE h END AS h2
+                FROM (SELECT *, tested AND sum <> 1 AS counted, sum = 0 AS failed
+                  FROM (SELECT n.*, o.kf, o.kb, o.kk, o.pb, o.h, o.rescue, n.f - o.kf >= 3 AS tested, 1 - abs(n.b - o.kb) AS s,
+                      abs(n.b - o.pb) > 0.7 AS jumped, (n.k + o.kk)::BIGINT % 7 AS sum
+                    FROM fold o JOIN pass n ON n.video_id = o.video_id AND n.r = o.r + 1) q1) q2) q3) q4) q5)
+        SELECT video_id, f AS frame_index, ref AS ref_index, ssim, rescue AS is_rescue_mode, forced AS is_forced FROM fold WHERE keep""",
+        recursive=True,
+    ),
+)
+def _keyframe_chain_rescue(spark, sf):
+    rules = ChainRules(min_interval=3, ssim_threshold=0.4, exposure_threshold=0.7, rescue_window=3, rescue_threshold=30.0)
+    return keyframe_scan(V.frames(spark, sf), _matched, KEYS, columns=["brightness", "orb_keypoints"], rules=rules, span=48)
 
 
 @query(
