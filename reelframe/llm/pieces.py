@@ -3,12 +3,12 @@
 Texts are cut where a new word begins (at a run of spaces), distinct words are grouped by length, and all
 words of a length advance together: hashes of their substrings probe the sorted piece keys, and a
 vectorised maximum per position stores the length of the best last piece. A piece scores what the model
-file says. A character that is no piece costs ``UNKNOWN_PENALTY`` less than the worst piece and becomes its
+file says. A character that is no piece costs ``UNKNOWN_PENALTY`` less than the worst piece in use and becomes its
 UTF-8 bytes. On equal scores the longer last piece wins. No piece holds a space inside, so the best
 segmentation of a text is that of its words, one after the other.
 
-The result is the best segmentation under the scores of the file: what the library returns for a model
-of kind unigram with these pieces. Decoding is exact for either kind of model.
+The result is the best segmentation under the scores of the file, added in double precision: for known characters
+what the library returns for a model of kind unigram with these pieces. Decoding is exact for either kind of model.
 
 Null text counts as empty and gives no ids. Any other text decodes to itself, NUL and line breaks
 included. Repeated rows give equal ids. Extra columns aren't read.
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from reelframe.llm.words import mix, row_slices
 
 SPACE = "▁"
-UNKNOWN_PENALTY = np.float32(10.0)
+UNKNOWN_PENALTY = 10.0
+UNUSED = -1e8  # pieces below are in the file but not meant to be chosen
 CACHE_WORDS = 400_000
 CELLS = 1 << 21
 _U = np.uint64
@@ -100,9 +101,9 @@ class Encoder:
             keys[at] = _substring_keys(_codes(pieces.texts[ids[i]] for i in at).reshape(len(at), n), int(n))[:, 0]
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], ids[order].astype(np.int32)
-        self.scores = pieces.scores[self.ids]
+        self.scores = pieces.scores[self.ids].astype(np.float64)  # sums of large penalties must not swallow small scores
         self.sizes = [int(n) for n in np.unique(lengths)]
-        self.worst = np.float32(self.scores.min() - UNKNOWN_PENALTY)
+        self.worst = float(self.scores[self.scores > UNUSED].min()) - UNKNOWN_PENALTY
         self.pieces = pieces
         self.cache: dict[str, bytes] = {}
 
@@ -124,12 +125,12 @@ class Encoder:
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
             hit = self.keys[at] == keys
             found[size] = np.where(hit, self.ids[at], -1)
-            gain[size] = np.where(hit, self.scores[at], np.float32(-np.inf))
+            gain[size] = np.where(hit, self.scores[at], -np.inf)
         if 1 in gain:
             gain[1] = np.where(found[1] < 0, self.worst, gain[1])
         else:
-            found[1], gain[1] = np.full((rows, n), -1, np.int32), np.full((rows, n), self.worst, np.float32)
-        best = np.zeros((rows, n + 1), np.float32)
+            found[1], gain[1] = np.full((rows, n), -1, np.int32), np.full((rows, n), self.worst)
+        best = np.zeros((rows, n + 1))
         back, last = np.zeros((rows, n + 1), np.int32), np.full((rows, n + 1), -1, np.int32)
         everyone = np.arange(rows)
         for end in range(1, n + 1):

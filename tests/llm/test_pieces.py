@@ -56,7 +56,7 @@ def tools():
 
 
 def plain_viterbi(word, pieces, scores):
-    worst = min(scores.values()) - 10
+    worst = min(v for v in scores.values() if v > -1e8) - 10
     best = [(0.0, [])] + [None] * len(word)
     for end in range(1, len(word) + 1):
         for start in range(end):
@@ -81,21 +81,26 @@ def test_ids_of_the_library_for_a_unigram_model(library, tools):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet="abcdethonrsÄß漢\n.,", min_size=1, max_size=12), min_size=1, max_size=6))
+@given(st.lists(st.text(alphabet="abcdethonrsÄß.,", min_size=1, max_size=12), min_size=1, max_size=6))
 def test_ids_of_the_library_on_random_words(library, tools, words):
+    """Words of known characters; with others the library adds up penalties of 10^9 in single precision."""
     text = " ".join(words)
     assert tools[0].encode([text])[0].tolist() == lattice_best(library, text)
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.text(alphabet="abthe ▁é", max_size=14))
+@given(st.text(alphabet="abthenio ▁é\n漢", max_size=18))
 def test_a_plain_viterbi_finds_the_same_score(tools, text):
     encoder, _, pieces = tools
     scores = {pieces.texts[i]: float(pieces.scores[i]) for i in range(len(pieces.texts)) if pieces.ordinary[i]}
+    places = {pieces.texts[i]: i for i in range(len(pieces.texts)) if pieces.ordinary[i]}
     for word in P._split(text) if text else []:
         encoder.encode([text])
-        got = [pieces.texts[i] for i in __import__("numpy").frombuffer(encoder.cache[word], "<i4")]
-        assert got == plain_viterbi(word, pieces, scores)
+        got = __import__("numpy").frombuffer(encoder.cache[word], "<i4").tolist()
+        want = []
+        for piece in plain_viterbi(word, pieces, scores):
+            want += [places[piece]] if piece in scores else [pieces.byte_ids[b] for b in piece.encode()]
+        assert got == want
 
 
 @settings(max_examples=200, deadline=None)
@@ -106,6 +111,19 @@ def test_round_trip(tools, texts):
         assert decoder.decode(ids) == P.plain_text(text)
 
 
+def test_unknown_characters_leave_the_rest_as_it_is(tools):
+    encoder, _, pieces = tools
+    scores = {pieces.texts[i]: float(pieces.scores[i]) for i in range(len(pieces.texts)) if pieces.ordinary[i]}
+    for word in ("and\nrepresentation", "漢" * 50 + "representation", "\n\nnation", "漢station漢station"):
+        encoder.encode([word])
+        for w in P._split(word):
+            got = [i for i in __import__("numpy").frombuffer(encoder.cache[w], "<i4").tolist()]
+            want = []
+            for piece in plain_viterbi(w, pieces, scores):
+                want += [pieces.texts.index(piece)] if piece in scores else [pieces.byte_ids[b] for b in piece.encode()]
+            assert got == want
+
+
 def test_long_word(tools):
     text = "ab" * 20_000
     ids = tools[0].encode([text])[0]
