@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.plans.blocks import BLOCK_ROWS, index_block, with_tasks
+from reelframe.plans.blocks import BLOCK_ROWS, assign_index, index_block, join_same, with_tasks
 from reelframe.session import written_table
 
 FOLD_ROWS = 1 << 20
@@ -116,11 +116,15 @@ def follow_chain(nodes: DataFrame, keys: Sequence[str], span: int = BLOCK_ROWS)
 
 
 def _suppress_block(pdf: pd.DataFrame, window: float) -> pd.DataFrame:
-    """Decide every own row whose outcome does not hang on rows outside the block."""
+    """Decide every own row whose outcome does not hang on rows outside the block.
+
+    Rows with ``kept`` set were decided earlier; they only remove rows near them. Returns newly kept and open rows.
+    """
     pdf = pdf.sort_values(["t", "idx"], ignore_index=True)
     t = pdf["t"].to_numpy(float)
     own = (pdf["_home"] == pdf["_block"]).to_numpy(bool)
-    kept = pdf["kept"].to_numpy(bool).copy()
+    before = pdf["kept"].to_numpy(bool)
+    kept = before.copy()
     gone = np.zeros(len(t), dtype=bool)
     doubt = np.zeros(len(t), dtype=bool)
     first = np.searchsorted(t, t - window - 1e-9)
@@ -142,48 +146,166 @@ def _suppress_block(pdf: pd.DataFrame, window: float) -> pd.DataFrame:
         else:
             doubt[near(i)] = True
     pdf["kept"] = kept
-    return pdf[own & ~gone]
+    return pdf[own & ~gone & ~before]
+
+
+def _highest(rank: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Row of the highest rank in each range [first, last); -1 for empty ranges."""
+    n = len(rank)
+    table = [np.arange(n)]
+    width = 1
+    while 2 * width <= n:
+        low = table[-1]
+        a, b = low[: n - 2 * width + 1], low[width : n - width + 1]
+        table.append(np.where(rank[a] > rank[b], a, b))
+        width *= 2
+    out = np.full(len(first), -1)
+    size = last - first
+    for k, rows in enumerate(table):
+        mine = (size >= 1 << k) & (size < 2 << k)
+        a, b = rows[first[mine]], rows[last[mine] - (1 << k)]
+        out[mine] = np.where(rank[a] > rank[b], a, b)
+    return out
+
+
+def _pointers_block(pdf: pd.DataFrame, window: float) -> pd.DataFrame:
+    """For each own open row: whether no row near it is higher, and which row is kept if it is kept.
+
+    To either side, the row that follows a kept one is found by a climb: from the highest row of the first window
+    beyond its reach to the highest row of the next window, while that is higher. ``climb`` and ``begin`` are these steps.
+    """
+    pdf = pdf.sort_values(["t", "idx"], ignore_index=True)
+    t, kept = pdf["t"].to_numpy(float), pdf["kept"].to_numpy(bool)
+    apart = lambda a, b: np.abs(a - b) >= window
+    # Rows near a kept one are gone; the kept ones themselves stay as starts.
+    k = np.flatnonzero(kept)
+    at = np.searchsorted(t[k], t)
+    gone = np.zeros(len(t), bool)
+    if len(k):
+        gone = ~apart(t, t[k[np.minimum(at, len(k) - 1)]]) | ~apart(t, t[k[np.maximum(at - 1, 0)]])
+    pdf = pdf[~gone | kept].reset_index(drop=True)
+    t, kept, pos = pdf["t"].to_numpy(float), pdf["kept"].to_numpy(bool), pdf["pos"].to_numpy(np.int64)
+    order = np.lexsort((pdf["idx"].to_numpy(), -pdf["score"].to_numpy(float)))
+    rank = np.empty(len(t), np.int64)
+    rank[order] = np.arange(len(t))[::-1]
+    rank[kept] = -1  # their neighbours are gone, so they hold nobody back
+    n = np.arange(len(t))
+
+    def moved(e: np.ndarray, wrong, step: int) -> np.ndarray:
+        """Correct rounding at the border of a range, row by row."""
+        while (bad := wrong(e)).any():
+            e = e + step * bad
+        return e
+
+    inside = lambda e: np.clip(e, 0, len(t) - 1)
+    low = np.searchsorted(t, t - window)
+    low = moved(low, lambda e: (e < n) & (t - t[inside(e)] >= window), 1)
+    low = moved(low, lambda e: (e > 0) & (t - t[inside(e - 1)] < window), -1)
+    high = np.searchsorted(t, t + window, side="right")
+    high = moved(high, lambda e: (e > n + 1) & (t[inside(e - 1)] - t >= window), -1)
+    high = moved(high, lambda e: (e < len(t)) & (t[inside(e)] - t < window), 1)
+    # Rows in [low, high) are near.
+    left_best, right_best = _highest(rank, low, n), _highest(rank, n + 1, high)
+    higher = lambda best: np.where((best >= 0) & (rank[np.maximum(best, 0)] > rank), best, -1)
+    left_up, right_up = higher(left_best), higher(right_best)
+    left_begin = _highest(rank, np.minimum(np.searchsorted(t, t - 2 * window), low), low)
+    right_begin = _highest(rank, high, np.maximum(np.searchsorted(t, t + 2 * window, side="right"), high))
+    named = lambda rows: np.where(rows >= 0, pos[np.maximum(rows, 0)], -1)
+    out = pdf.assign(
+        is_start=kept | ((left_up < 0) & (right_up < 0)),
+        climb_left=named(left_up), begin_left=named(left_begin), climb_right=named(right_up), begin_right=named(right_begin),
+    )
+    return out[(pdf["_home"] == pdf["_block"]).to_numpy(bool)]
+
 
+def _chained(pointers: DataFrame, keys: Sequence[str], starts: DataFrame, side: str, span: int) -> DataFrame:
+    """Rows that are kept because ``starts`` are, following climbs to one side. Two nodes a row: climbing at it, kept."""
+    last = pointers.agg(F.max("pos")).first()[0] or 0  # to the left, positions count from the end
+    flip = (lambda c: F.lit(last) - c) if side == "left" else (lambda c: c)
+    node = lambda c, kind: flip(F.col(c)) * 2 + kind
+    to = lambda c: F.when(F.col(c) >= 0, node(c, 0))
+    rows = join_same(pointers.select(*keys, "pos", f"climb_{side}", f"begin_{side}"), starts.withColumn("_start", F.lit(True)), [*keys, "pos"], "left")
+    climbing = rows.select(*keys, node("pos", 0).alias("idx"), F.coalesce(to(f"climb_{side}"), node("pos", 1)).alias("next_idx"), F.lit(False).alias("is_start"))
+    kept = rows.select(*keys, node("pos", 1).alias("idx"), to(f"begin_{side}").alias("next_idx"), F.col("_start").isNotNull().alias("is_start"))
+    reached = follow_chain(climbing.unionByName(kept), keys, span).where("idx % 2 = 1")
+    return reached.select(*keys, flip(F.expr("(idx - 1) div 2")).alias("pos"))
 
-def greedy_suppress(df: DataFrame, keys: Sequence[str], window: float, block_seconds: float | None = None) -> DataFrame:
+
+def _spread(rows: DataFrame, length: float, halo: float, shift: float) -> DataFrame:
+    """Time blocks with copies of the rows near their borders."""
+    at = F.col("t") + F.lit(shift)
+    home = F.floor(at / F.lit(length))
+    inner = at - home * F.lit(length)
+    blocks = F.array(home, F.when(inner <= halo, home - 1), F.when(inner >= length - halo, home + 1))
+    return rows.withColumn("_home", home).withColumn("_block", F.explode(F.array_compact(blocks)))
+
+
+def greedy_suppress(
+    df: DataFrame, keys: Sequence[str], window: float, block_seconds: float | None = None, *, span: int = BLOCK_ROWS, rounds: list[int] | None = None
+) -> DataFrame:
     """Non-maximum suppression in time: best score first, earlier ``idx`` on ties.
 
-    ``df`` has the keys, ``idx``, ``t`` and ``score``; a row stays if it is at least
+    ``df`` has the keys, ``idx`` (unique), ``t`` and ``score``; a row stays if it is at least
     ``window`` away from every row kept before it. Returns keys and ``idx``.
+
+    Blocks of time decide what hangs on their own rows, twice, with moved borders. What is open then hangs on
+    far rows, as in scores that rise for hours. From there on, rows that no near row exceeds are kept, and a kept row
+    settles its neighbour to either side: the one that a climb from the edge of its reach ends at. These are pointers
+    that depend on a row alone, so they are followed as chains from all such rows at once; between two rows of a
+    chain at most two windows stay open, which the next round decides. Each round writes open rows and new ones only.
+    ``rounds`` receives the number of open rows of each round.
     """
     keys = list(keys)
-    length = max(block_seconds or 512.0 * window, 4.0 * window, 1e-6)
+    length = max(block_seconds or 512.0 * window, 8.0 * window, 1e-6)
     key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
     cols = [*keys, "idx", "t", "score", "kept"]
     ddl = f"{key_ddl}, idx bigint, t double, score double, kept boolean"
-    active = df.select(
+    live = df.select(
         *keys,
         F.col("idx").cast("bigint"),
         F.col("t").cast("double"),
         F.col("score").cast("double"),
         F.lit(False).alias("kept"),
     )
-    unit, shift = [*keys, "_block"], 0.0
-    while True:
-        at = F.col("t") + F.lit(shift)
-        home = F.floor(at / F.lit(length))
-        inner = at - home * F.lit(length)
-        edge = window + 1e-6
-        placed = active.withColumn("_home", home).withColumn(
-            "_block",
-            F.explode(
-                F.array_compact(
-                    F.array(home, F.when(inner <= edge, home - 1), F.when(inner >= length - edge, home + 1))
-                )
-            ),
-        )
-        placed = written_table(placed, "suppress-placed")
+    unit = [*keys, "_block"]
 
-        def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-            parts = [_suppress_block(part, window) for _, part in pdf.groupby(unit, sort=False)]
-            return pd.concat(parts)[cols]
+    def in_blocks(rows: DataFrame, halo: float, shift: float, work, out: list[str], out_ddl: str, name: str) -> DataFrame:
+        placed = written_table(_spread(rows, length, halo, shift), f"{name}-placed")
 
-        active = written_table(with_tasks(placed, unit).groupBy("_task").applyInPandas(decide, ddl), "suppress")
-        if active.filter(~F.col("kept")).isEmpty():
-            return active.select(*keys, "idx")
-        shift = length / 2 if shift == 0.0 else 0.0
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.concat([work(part, window) for _, part in pdf.groupby(unit, sort=False, dropna=False)])[out]
+
+        return written_table(with_tasks(placed, unit).groupBy("_task").applyInPandas(run, out_ddl), name)
+
+    results: list[DataFrame] = []
+    pointed = ["pos", "is_start", "climb_left", "begin_left", "climb_right", "begin_right"]
+    pointed_ddl = f"{ddl}, pos bigint, is_start boolean, climb_left bigint, begin_left bigint, climb_right bigint, begin_right bigint"
+    turn = 0
+    while True:
+        decided = in_blocks(live, window + 1e-6, length / 2 if turn % 2 else 0.0, _suppress_block, cols, ddl, "suppress")
+        fresh, still = decided.where("kept"), decided.where("NOT kept")
+        results.append(fresh.select(*keys, "idx"))
+        turn += 1
+        left = still.count()
+        if rounds is not None:
+            rounds.append(left)
+        if left == 0:
+            break
+        live = decided
+        if turn < 2:
+            continue
+        numbered = assign_index(decided, keys, ["t", "idx"], "pos")
+        pointers = in_blocks(numbered, 3 * window + 1e-6, 0.0, _pointers_block, [*cols, *pointed], pointed_ddl, "suppress-pointers")
+        begun = pointers.where("is_start").select(*keys, "pos")
+        to_left = written_table(_chained(pointers, keys, begun, "left", span), "suppress-left")
+        chain = written_table(begun.unionByName(to_left).distinct(), "suppress-chain")
+        to_right = _chained(pointers, keys, chain, "right", span)
+        chain = written_table(chain.unionByName(to_right).distinct().withColumn("_hit", F.lit(True)), "suppress-chain")
+        marked = join_same(pointers.select(*cols, "pos"), chain, [*keys, "pos"], "left")
+        live = written_table(marked.withColumn("_new", ~F.col("kept") & F.col("_hit").isNotNull()).drop("_hit", "pos"), "suppress-live")
+        results.append(live.where("_new").select(*keys, "idx"))
+        live = live.withColumn("kept", F.col("kept") | F.col("_new")).drop("_new")
+    out = results[0]
+    for more in results[1:]:
+        out = out.unionByName(more)
+    return out

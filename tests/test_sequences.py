@@ -126,18 +126,44 @@ def sequential_nms(g, window):
     return sorted(i for i, _ in kept)
 
 
-@pytest.mark.parametrize("rising", [False, True])
-def test_nms_equals_greedy_loop(spark, rising):
-    pdf, _ = make(spark, 11)
-    if rising:
-        pdf["score"] = pdf.frame_index / 1000.0
+SHAPES = {
+    "random": lambda g, rng: rng.random(len(g)).round(2),
+    "rising": lambda g, rng: g.frame_index / 1000.0,
+    "falling": lambda g, rng: -g.frame_index / 1000.0,
+    "rising with noise": lambda g, rng: g.frame_index / 100.0 + rng.random(len(g)) * 0.09,
+    "waves": lambda g, rng: np.sin(g.frame_index / 40.0) + rng.random(len(g)) * 0.01,
+    "equal": lambda g, rng: g.frame_index * 0.0,
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_nms_equals_greedy_loop(spark, shape):
+    pdf, _ = make(spark, 11, hot=600)
+    pdf["score"] = SHAPES[shape](pdf, np.random.default_rng(3)).astype(float)
     df = spark.createDataFrame(pdf)
     from reelframe.plans.chains import greedy_suppress
 
     slim = df.select("video_id", F.col("frame_index").alias("idx"), F.col("timestamp_s").alias("t"), "score")
-    out = greedy_suppress(slim, KEYS, 0.7, block_seconds=5.0)
+    rounds = []
+    out = greedy_suppress(slim, KEYS, 0.7, block_seconds=5.6, span=64, rounds=rounds)
     want = [(v, i) for v, g in videos(pdf) for i in sequential_nms(g, 0.7)]
     assert got(out, "idx") == sorted(want)
+    assert len(rounds) <= 5
+
+
+@pytest.mark.parametrize("noise", [0.0, 0.5])
+def test_nms_of_rising_scores_takes_few_rounds(spark, noise):
+    """256 blocks of which each hangs on the next one; rounds and written rows stay few."""
+    from reelframe.plans.chains import greedy_suppress
+
+    n = 256 * 16
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame({"video_id": 1, "idx": np.arange(n), "t": np.arange(n) / 2.0, "score": np.arange(n) + noise * rng.random(n)})
+    rounds = []
+    out = greedy_suppress(spark.createDataFrame(pdf), KEYS, 1.0, block_seconds=8.0, rounds=rounds)
+    want = sequential_nms(pdf.rename(columns={"idx": "frame_index", "t": "timestamp_s"}), 1.0)
+    assert [i for _, i in got(out, "idx")] == want
+    assert len(rounds) <= 5 and sum(rounds) <= 3 * n
 
 
 def test_min_interval_equals_loop(spark):
