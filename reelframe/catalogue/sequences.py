@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from reelframe.catalogue import views as V
@@ -387,14 +388,14 @@ def _min_interval_select(spark, sf):
 
 def _similar(ref, rows):
     """Compares frames by brightness; stands in for an image comparison."""
-    return {"ssim": 1 - (rows["brightness"] - ref["brightness"]).abs()}
+    return {"ssim": 1 - np.abs(rows["brightness"] - ref["brightness"])}
 
 
 def _matched(ref, rows):
     """The same, with match counts and failed and degenerate estimations."""
-    total = rows["orb_keypoints"] + ref["orb_keypoints"]
-    status = total.mod(7).map({0.0: "failed", 1.0: "degenerate"}).fillna("ok")
-    return {**_similar(ref, rows), "match_count": rows["orb_keypoints"].clip(upper=ref["orb_keypoints"]), "status": status.tolist()}
+    rest = (rows["orb_keypoints"] + ref["orb_keypoints"]) % 7
+    status = np.where(rest == 0, "failed", np.where(rest == 1, "degenerate", "ok"))
+    return {**_similar(ref, rows), "match_count": np.minimum(rows["orb_keypoints"], ref["orb_keypoints"]), "status": status}
 
 
 @query(

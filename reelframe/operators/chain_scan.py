@@ -41,7 +41,7 @@ class ChainRules:
     rescue_threshold: float = 15.0
 
 
-Scorer = Callable[[Mapping[str, object], pd.DataFrame], Mapping[str, Sequence]]
+Scorer = Callable[[Mapping[str, object], Mapping[str, np.ndarray]], Mapping[str, Sequence]]
 
 
 @dataclass
@@ -78,8 +78,9 @@ class _Block:
     """Frames of one block in order, and the scans made over it so far."""
 
     def __init__(self, rows: pd.DataFrame, columns: Sequence[str], rules: ChainRules, score: Scorer, lookahead: int):
-        self.rows, self.columns, self.rules, self.score, self.lookahead = rows, list(columns), rules, score, lookahead
+        self.rules, self.score, self.lookahead = rules, score, lookahead
         self.idx = rows["idx"].to_numpy(np.int64)
+        self.columns = {c: rows[c].to_numpy() for c in columns}
         self.bright = rows["brightness"].to_numpy(float) if rules.exposure_threshold is not None else None
         self.seen: dict[str, tuple[_Path, int]] = {}
 
@@ -92,7 +93,8 @@ class _Block:
         return list(range(int(np.searchsorted(self.idx, self.idx[0] + self.rules.min_interval))))
 
     def _compared(self, at: _State, a: int, z: int) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-        found = self.score({"idx": at.idx, **at.values}, self.rows.iloc[a:z])
+        rows = {"idx": self.idx[a:z]} | {c: v[a:z] for c, v in self.columns.items()}
+        found = self.score({"idx": at.idx, **at.values}, rows)
         more = lambda name: np.asarray(found[name]) if name in found else None
         return np.asarray(found["ssim"], float), more("match_count"), more("status")
 
@@ -144,8 +146,7 @@ class _Block:
             path.ssim.append(value)
             path.rescue.append(at.rescue)
             path.forced.append(forced)
-            row = self.rows.iloc[picked]
-            at.idx, at.values = int(self.idx[picked]), {c: row[c] for c in self.columns}
+            at.idx, at.values = int(self.idx[picked]), {c: v[picked] for c, v in self.columns.items()}
             name = at.name()
             path.state.append(name)
             if name in self.seen:
@@ -193,7 +194,7 @@ def keyframe_scan(
     """Keyframes with the frame each was compared with: keys, ``index``, ``ref_index``, ``ssim``, ``is_rescue_mode``, ``is_forced``.
 
     ``score(ref, rows)`` compares the keyframe ``ref`` (``idx`` and ``columns`` of it) with some later frames
-    (``rows``, the same fields) and returns ``ssim`` and, for the rescue rule, ``match_count`` and ``status``: "ok",
+    (``rows``, an array for each of these) and returns ``ssim`` and, for the rescue rule, ``match_count`` and ``status``: "ok",
     "failed" (counts as no match; taken only in rescue mode) or "degenerate" (not counted, judged by ssim). It is called
     for ``lookahead`` frames and doubles that while none is taken. The first frame of a video is a keyframe without
     comparison (``ref_index`` and ``ssim`` null). ``index`` is an integer, unique per video; a block is ``span``
@@ -219,9 +220,10 @@ def keyframe_scan(
         groups = dict(list(frames.groupby("unit", sort=False)))
         for unit, wanted in asked.groupby("unit", sort=False):
             block = _Block(groups[unit].sort_values("idx", ignore_index=True), columns, rules, score, lookahead)
-            for row in wanted[wanted["scored"].notna()].itertuples(index=False):
-                block.learn(_known_path(row, columns))
-            for row in wanted[wanted["scored"].isna()].itertuples(index=False):
+            for row in sorted(wanted.itertuples(index=False), key=lambda r: pd.isna(r.scored)):
+                if not pd.isna(row.scored):
+                    block.learn(_known_path(row, columns))
+                    continue
                 if row.entry == "starts":
                     scans = [(f"start {p}", _State(), p) for p in block.starts()]
                 else:

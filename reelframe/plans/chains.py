@@ -286,10 +286,9 @@ def greedy_suppress(
         fresh, still = decided.where("kept"), decided.where("NOT kept")
         results.append(fresh.select(*keys, "idx"))
         turn += 1
-        left = still.count()
         if rounds is not None:
-            rounds.append(left)
-        if left == 0:
+            rounds.append(still.count())
+        if still.isEmpty():
             break
         live = decided
         if turn < 2:

@@ -33,9 +33,9 @@ def make(seed, hot=400, videos=4, distinct=0):
 
 def compared(ref, rows):
     """Similarity, match count and outcome of pairs, any function of the two frames."""
-    same = rows["content"].to_numpy() == ref["content"]
-    sum_ = rows["noise"].to_numpy() + ref["noise"]
-    kind = (rows["noise"].to_numpy() * 7 + ref["noise"] * 3) % 11
+    same = rows["content"] == ref["content"]
+    sum_ = rows["noise"] + ref["noise"]
+    kind = (rows["noise"] * 7 + ref["noise"] * 3) % 11
     status = np.where(kind < 3, "failed", np.where(kind == 3, "degenerate", "ok"))
     return {"ssim": np.where(same, 0.9, 0.2), "match_count": sum_, "status": status}
 
@@ -56,7 +56,7 @@ def loop(pdf, rules, with_matches):
             ssim, forced = None, False
             if key is not None:
                 met += 1
-                pair = compared(key, pd.DataFrame([r]))
+                pair = compared(key, {c: np.array([v]) for c, v in r.items()})
                 ssim = pair["ssim"][0]
                 if with_matches:
                     status = pair["status"][0]
@@ -112,7 +112,7 @@ def test_pairs_scored_are_few(spark, span, most):
     count = spark.sparkContext.accumulator(0)
 
     def counted(ref, rows):
-        count.add(len(rows))
+        count.add(len(rows["idx"]))
         return similar_only(ref, rows)
 
     rules = ChainRules(min_interval=3)
