@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from reelframe.catalogue import views as V
 from reelframe.catalogue.base import query
 from reelframe.catalogue.quality import gate_cte
-from reelframe.catalogue.sequences import DAY, KEYS, _T_DIR
+from reelframe.catalogue.sequences import _ISLANDS, DAY, KEYS, _T_DIR, _flagged
 from reelframe.catalogue.views import with_views
 from reelframe.functions import scores as S
 from reelframe.operators import keyframes as E
-from reelframe.session import written_table
+from reelframe.operators.selection_run import selection_stages
+from reelframe.session import scratch_root, written_table
 from reelframe.sources.frames import sample_frames
+from reelframe.sources.runs import Input, RunStore, files_fingerprint, run_stages
 
 PARAMS = E.SelectionParams(
     quality_threshold=0.5,
@@ -100,3 +106,66 @@ def _select_with_trajectory(spark, sf):
     )
     motion = sample_frames(df, step=5).select(*KEYS, "frame_index", S.motion_risk("laplacian_var", "flow_mag", "ssim").alias("motion_risk"))
     return E.stage3_keyframes(candidates, keyframes, steps, motion, KEYS, PARAMS)
+
+
+_HEAD, _TAIL = _STAGE2_SQL.split("ranked AS", 1)
+# The same selection with damped stationary candidates; two runs of at most so many keyframes a video.
+_RUN_SQL = (
+    _HEAD.replace("cand AS (", "cand0 AS (")
+    + _ISLANDS.removeprefix(", ")
+    + """, long AS (SELECT * FROM runs WHERE b - a + 1 >= 3),
+    cand AS (SELECT video_id, f, t, CASE WHEN still AND NOT edge THEN score * 0.3 ELSE score END AS score, still
+      FROM (SELECT *, EXISTS (SELECT 1 FROM long r WHERE r.video_id = cand0.video_id AND f BETWEEN a AND b) AS still,
+        EXISTS (SELECT 1 FROM long r WHERE r.video_id = cand0.video_id AND (abs(f - a) <= 1 OR abs(f - b) <= 1)) AS edge FROM cand0) q),
+    ranked AS"""
+    + _TAIL
+    + """, final AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, frame_index) AS place
+      FROM (SELECT DISTINCT c.video_id, c.f AS frame_index, c.score, c.still AS is_stationary FROM fill JOIN cand c ON c.video_id = fill.video_id AND c.f = fill.last))"""
+)
+
+
+def _compared(ref, rows):
+    return {"ssim": 1 - np.abs(rows["brightness"] - ref["brightness"])}
+
+
+def _selection_run(spark, sf, store, top_k):
+    df = _inputs(spark, sf)
+    motion = _flagged(spark, sf).select(*KEYS, "frame_index", "is_stationary")
+    made_from = files_fingerprint(spark, f"{sf}/events.parquet")
+    params = replace(PARAMS, exposure_threshold=None)
+    stages = selection_stages(_compared, _scorer(df), ["brightness"], KEYS, params, min_still_rows=3, grace=1, top_k=top_k)
+    return run_stages(store, stages, {"frames": Input(df, made_from), "motion": Input(motion, made_from)})
+
+
+def _new_store(spark):
+    return RunStore(spark, f"{scratch_root(spark)}/reelframe-{spark.sparkContext.applicationId}/runs-{uuid.uuid4().hex}", "a run")
+
+
+@query(
+    "selection_run",
+    "video_id:l frame_index:l score:d is_stationary:b",
+    with_views(_RUN_SQL + " SELECT video_id, frame_index, score, is_stationary FROM final WHERE place <= 6", recursive=True),
+)
+def _selection(spark, sf):
+    return _selection_run(spark, sf, _new_store(spark), 6).tables["3"]
+
+
+@query(
+    "resumed_run",
+    "run:l stage:s computed:b rows:l",
+    with_views(
+        _RUN_SQL
+        + """, n AS (SELECT unnest([1, 2, 3]) AS run, unnest([6, 6, 4]) AS k),
+        counts AS (SELECT '1' AS stage, count(*) AS rows FROM pass UNION ALL SELECT '0', count(*) FROM frames_v UNION ALL SELECT '2', count(*) FROM cand)
+        SELECT run, stage, run = 1 AS computed, rows FROM n, counts
+        UNION ALL SELECT run, '3', run <> 2, (SELECT count(*) FROM final WHERE place <= k) FROM n""",
+        recursive=True,
+    ),
+)
+def _resumed(spark, sf):
+    """A run, the same again, and one with another number of keyframes, over the same stored stages."""
+    store, out = _new_store(spark), []
+    for run, top_k in ((1, 6), (2, 6), (3, 4)):
+        result = _selection_run(spark, sf, store, top_k)
+        out += [(run, stage, stage in result.computed, rows) for stage, rows in result.rows.items()]
+    return spark.createDataFrame(out, "run int, stage string, computed boolean, rows bigint")
