@@ -13,6 +13,7 @@ from reelframe.catalogue.views import with_views
 from reelframe.functions import kernels as N
 from reelframe.functions.projections import CUBE_FACES, cross5_views
 from reelframe.operators import masks as M
+from reelframe.operators import packed_masks as PM
 from reelframe.operators import pixel_tables as T
 from reelframe.operators import pixels as P
 from reelframe.operators import reproject as R
@@ -397,3 +398,68 @@ def _detections_to_mask(spark, sf):
         (F.col("y") + 2).alias("y2"),
     )
     return M.detections_to_mask(px, boxes, FRAME, 8, 8)
+
+
+# ---- packed masks of 64 x 64 frames -----------------------------------------
+
+
+@query(
+    "packed_region_masks",
+    "video_id:l frame_index:l fisheye:d polar:d nadir:d zenith:d total_pixels:l masked_pixels:l mask_ratio:d",
+    with_views(
+        """SELECT video_id, frame_index,
+        sum(CASE WHEN (x - 32) * (x - 32) + (y - 32) * (y - 32) <= 900 THEN v ELSE 7 END) AS fisheye,
+        sum(CASE WHEN y < 6 OR y >= 58 THEN 7 ELSE v END) AS polar,
+        sum(CASE WHEN (x - 32) * (x - 32) + (y - 55) * (y - 55) <= 81 THEN 7 ELSE v END) AS nadir,
+        sum(CASE WHEN (x - 32) * (x - 32) + (y - 3) * (y - 3) <= 9 THEN 7 ELSE v END) AS zenith,
+        count(*) AS total_pixels, count(*) FILTER (v > 128) AS masked_pixels, count(*) FILTER (v > 128) / count(*) AS mask_ratio
+        FROM large_v GROUP BY ALL"""
+    ),
+)
+def _packed_region_masks(spark, sf):
+    img = V.large_images(spark, sf)
+    total = lambda df, name: P.frame_job(df, FRAME, lambda a: {name: float(a.sum())}, [name])
+    out = PM.mask_stats(PM.mask_where(img, FRAME, lambda a: a > 128), FRAME)
+    for kind in ("polar", "nadir", "zenith"):
+        out = out.join(total(PM.fill_region(img, FRAME, kind, fill=7), kind), FRAME)
+    lens = PM.region_masks(img, FRAME, "fisheye")
+    return out.join(total(PM.fill_masked(img, lens, FRAME, fill=7), "fisheye"), FRAME)
+
+
+@query(
+    "packed_mask_sets",
+    "video_id:l frame_index:l n_both:l n_either:l n_first:l sum_y:l sum_x:l",
+    with_views(
+        """SELECT video_id, frame_index, count(*) FILTER (v > 100 AND x > y) AS n_both, count(*) FILTER (v > 100 OR x > y) AS n_either,
+        count(*) FILTER (v > 100 AND x <= y) AS n_first, coalesce(sum(y) FILTER (v > 100 AND x <= y), 0) AS sum_y,
+        coalesce(sum(x) FILTER (v > 100 AND x <= y), 0) AS sum_x FROM large_v GROUP BY ALL"""
+    ),
+)
+def _packed_mask_sets(spark, sf):
+    img = V.large_images(spark, sf)
+    a = PM.mask_where(img, FRAME, lambda v: v > 100)
+    b = PM.mask_where(img, FRAME, lambda v: np.arange(v.shape[1]) > np.arange(v.shape[0])[:, None])
+    n = lambda how, name: PM.mask_stats(PM.combine(a, b, FRAME, how), FRAME).withColumnRenamed("masked_pixels", name)
+    both, either = n("and", "n_both").select(*FRAME, "n_both"), n("or", "n_either").select(*FRAME, "n_either")
+    return n("minus", "n_first").join(both, FRAME).join(either, FRAME)
+
+
+@query(
+    "packed_box_masks",
+    "video_id:l frame_index:l masked_pixels:l sum_y:l sum_x:l",
+    with_views(
+        """, box AS (SELECT video_id, frame_index, greatest(0, least(63, CAST(trunc(v / 4 - 3) AS INT))) AS x1,
+          greatest(0, least(64, CAST(trunc(v / 4 + 9.5) AS INT))) AS x2, y * 8 AS y1, greatest(0, least(64, CAST(trunc(y * 8 + v / 20) AS INT))) AS y2
+          FROM pixels_v WHERE x = 0 AND v > 120),
+        hit AS (SELECT p.*, EXISTS (SELECT 1 FROM box b WHERE b.video_id = p.video_id AND b.frame_index = p.frame_index
+          AND p.x >= x1 AND p.x < x2 AND p.y >= y1 AND p.y < y2) AS m FROM large_v p)
+        SELECT video_id, frame_index, count(*) FILTER (m) AS masked_pixels, coalesce(sum(y) FILTER (m), 0) AS sum_y,
+          coalesce(sum(x) FILTER (m), 0) AS sum_x FROM hit GROUP BY ALL"""
+    ),
+)
+def _packed_box_masks(spark, sf):
+    v, y = F.col("v"), F.col("y") * 8
+    boxes = V.pixels(spark, sf).filter("x = 0 AND v > 120").select(
+        *FRAME, (v / 4 - 3).alias("x1"), (v / 4 + 9.5).alias("x2"), y.alias("y1"), (y + v / 20).alias("y2")
+    )
+    return PM.mask_stats(PM.box_masks(boxes, V.large_images(spark, sf).select(*FRAME, "height", "width"), FRAME), FRAME)

@@ -55,11 +55,17 @@ PIXELS_SQL = """pixels_v AS (
     least(greatest(round((CAST(embedding[i] AS DOUBLE) + 1) * 127.5), 0), 255) AS v
   FROM embeddings, (SELECT unnest(range(1, 65)) AS i) AS idx)"""
 
+LARGE = 64
+LARGE_SQL = f"""large_v AS (
+  SELECT label AS video_id, vec_id AS frame_index, i // {LARGE} AS y, i % {LARGE} AS x,
+    least(greatest(round((CAST(embedding[(i % {LARGE} + 5 * (i // {LARGE})) % 64 + 1] AS DOUBLE) + 1) * 127.5), 0), 255) AS v
+  FROM embeddings, (SELECT unnest(range({LARGE * LARGE})) AS i) AS idx)"""
+
 SEQUENCE_SQL = """sequence_v AS (
   SELECT label AS video_id, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_index
   FROM embeddings)"""
 
-VIEWS = {"rows_v": ROWS_SQL, "frames_v": FRAMES_SQL, "scan_v": SCAN_SQL, "pixels_v": PIXELS_SQL, "sequence_v": SEQUENCE_SQL}
+VIEWS = {"rows_v": ROWS_SQL, "frames_v": FRAMES_SQL, "scan_v": SCAN_SQL, "pixels_v": PIXELS_SQL, "large_v": LARGE_SQL, "sequence_v": SEQUENCE_SQL}
 
 
 def with_views(body: str, *, recursive: bool = False) -> str:
@@ -146,6 +152,22 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def large_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 64 x 64 as binary payloads: row y is the first row moved by 5 y values."""
+    level = lambda x: F.least(F.greatest(F.round((x.cast("double") + 1) * 127.5), F.lit(0.0)), F.lit(255.0)).cast("bigint")
+    e = table(spark, sf_dir, "embeddings").select(
+        F.col("label").alias("video_id"),
+        F.col("vec_id").alias("frame_index"),
+        F.transform("embedding", lambda x: F.lpad(F.hex(level(x)), 2, "0")).alias("first"),
+    )
+    turned = lambda y: F.concat(F.slice("first", y * 5 % 64 + 1, F.lit(64)), F.slice("first", F.lit(1), y * 5 % 64))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(LARGE - 1)), lambda y: F.array_join(turned(y), ""))
+    size = F.lit(LARGE)
+    return e.select(
+        "video_id", "frame_index", F.unhex(F.array_join(rows, "")).alias("data"), size.alias("height"), size.alias("width"), F.lit(1).alias("channels")
+    )
+
+
 def sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frame numbers of the grey frames within their video; no pixels travel."""
     e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("video_id"), "vec_id")
