@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelframe.functions import kernels as N
@@ -166,22 +166,57 @@ def combine(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str) -> DataFr
     return joined.mapInPandas(run, f"{_ddl(a, keys)}, {_MASK_DDL}")
 
 
-def merged(masks: DataFrame, keys: Sequence[str], spread: Column | str = "bits") -> DataFrame:
-    """One mask a frame, masked where any of its masks is; masks of a frame have one size.
+def _united(rows: DataFrame, keys: Sequence[str], paint: Callable[[np.ndarray, pd.DataFrame], None]) -> DataFrame:
+    """One mask a frame, painted by all of its rows (with ``height`` and ``width``).
 
-    ``spread`` tells a frame's masks apart: they are merged in ``SALT`` groups first, so a frame with very many spreads.
+    Rows stream past sorted by frame, so a task holds one mask, however many rows a frame has. They are dealt by frame
+    and ``_salt`` first and the parts united, so a frame with very many rows is painted by ``SALT`` tasks.
     """
     keys = list(keys)
-    ddl = f"{_ddl(masks, keys)}, {_MASK_DDL}"
+    ddl = f"{_ddl(rows, keys)}, {_MASK_DDL}"
 
-    def union(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.frombuffer(pdf["bits"].iat[0], np.uint8).copy()
-        for bits in pdf["bits"].iloc[1:]:
-            out |= np.frombuffer(bits, np.uint8)
-        return pdf[[*keys, *_MASK]].iloc[:1].assign(bits=[out.tobytes()])
+    def stream(work):
+        def run(batches):
+            held, name = None, None
+            for pdf in batches:
+                unit = pdf["_unit"].to_numpy()
+                edges = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1).tolist(), len(pdf)]
+                done = []
+                for a, z in zip(edges, edges[1:]):
+                    part = pdf.iloc[a:z]
+                    if unit[a] != name:
+                        done += [held] if held is not None else []
+                        h, w = int(part["height"].iat[0]), int(part["width"].iat[0])
+                        held, name = (part[keys].iloc[:1], np.zeros((h, w), bool)), unit[a]
+                    work(held[1], part)
+                if done:
+                    yield _rows(done)
+            if held is not None:
+                yield _rows([held])
 
-    slim = masks.select(*keys, *_MASK, F.pmod(F.xxhash64(spread), F.lit(SALT)).alias("_salt"))
-    return slim.groupBy(*keys, "_salt").applyInPandas(union, ddl).groupBy(*keys).applyInPandas(union, ddl)
+        return run
+
+    def _rows(done) -> pd.DataFrame:
+        out = pd.concat([k for k, _ in done], ignore_index=True)
+        return out.assign(bits=[packed(m) for _, m in done], height=[m.shape[0] for _, m in done], width=[m.shape[1] for _, m in done])
+
+    def unite(mask: np.ndarray, part: pd.DataFrame) -> None:
+        for bits in part["bits"]:
+            mask |= unpacked(bits, *mask.shape)
+
+    unit = F.to_json(F.struct(*keys))
+    parts = rows.withColumn("_unit", unit).repartition(*keys, "_salt").sortWithinPartitions("_unit").mapInPandas(stream(paint), ddl)
+    return parts.withColumn("_unit", unit).repartition(*keys).sortWithinPartitions("_unit").mapInPandas(stream(unite), ddl)
+
+
+def merged(masks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One mask a frame, masked where any of its masks is; masks of a frame have one size."""
+
+    def unite(mask: np.ndarray, part: pd.DataFrame) -> None:
+        for bits in part["bits"]:
+            mask |= unpacked(bits, *mask.shape)
+
+    return _united(masks.select(*keys, *_MASK, F.pmod(F.xxhash64("bits"), F.lit(SALT)).alias("_salt")), keys, unite)
 
 
 def box_masks(boxes: DataFrame, sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -192,25 +227,24 @@ def box_masks(boxes: DataFrame, sizes: DataFrame, keys: Sequence[str]) -> DataFr
     cut = cut.select(
         *keys, "height", "width", whole("x1", F.col("width") - 1).alias("a"), whole("x2", F.col("width")).alias("b"),
         whole("y1", F.col("height") - 1).alias("c"), whole("y2", F.col("height")).alias("d"),
-    ).where("b > a AND d > c").distinct()
+    ).where("b > a AND d > c").withColumn("_salt", F.pmod(F.xxhash64("a", "b", "c", "d"), F.lit(SALT)))
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(pdf["height"].iat[0]), int(pdf["width"].iat[0])
-        mask = np.zeros((h, w), bool)
-        for a, b, c, d in zip(pdf["a"], pdf["b"], pdf["c"], pdf["d"], strict=True):
+    def draw(mask: np.ndarray, part: pd.DataFrame) -> None:
+        for a, b, c, d in zip(part["a"], part["b"], part["c"], part["d"], strict=True):
             mask[c:d, a:b] = True
-        return pdf[[*keys, "height", "width"]].iloc[:1].assign(bits=[packed(mask)])[[*keys, *_MASK]]
 
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("a", "b", "c", "d"), F.lit(SALT)))
-    drawn = merged(salted.groupBy(*keys, "_salt").applyInPandas(draw, f"{_ddl(sizes, keys)}, {_MASK_DDL}"), keys)
-    none = F.expr("cast(unhex(repeat('00', (height * width + 7) div 8)) as binary)")
-    return sizes.select(*keys, "height", "width").join(drawn.select(*keys, "bits"), keys, "left").select(*keys, F.coalesce("bits", none).alias("bits"), "height", "width")
+    return _every_frame(sizes, _united(cut, keys, draw), keys)
+
+
+def _every_frame(sizes: DataFrame, masks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The masks, and empty ones for the other frames."""
+    none = F.expr("unhex(repeat('00', cast((height * width + 7) div 8 as int)))")
+    out = sizes.select(*keys, "height", "width").join(masks.select(*keys, "bits"), list(keys), "left")
+    return out.select(*keys, F.coalesce("bits", none).alias("bits"), "height", "width")
 
 
 def instance_masks(instances: DataFrame, sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Packed mask of each frame in ``sizes``: pixels in any of its instances' masks; those of another size are left out."""
     keys = list(keys)
     right = instances.select(*keys, *_MASK).join(sizes.select(*keys, "height", "width"), [*keys, "height", "width"])
-    none = F.expr("cast(unhex(repeat('00', (height * width + 7) div 8)) as binary)")
-    out = sizes.select(*keys, "height", "width").join(merged(right, keys).select(*keys, "bits"), keys, "left")
-    return out.select(*keys, F.coalesce("bits", none).alias("bits"), "height", "width")
+    return _every_frame(sizes, merged(right, keys), keys)
