@@ -10,6 +10,7 @@ from reelframe.catalogue.views import with_views
 from reelframe.functions import quality as Q
 from reelframe.functions import scores as S
 from reelframe.operators import quality as O
+from reelframe.plans.percentiles import exact_percentiles
 from reelframe.session import written_table
 
 _BOUNDS = """bounds AS (SELECT video_id,
@@ -445,3 +446,21 @@ def _scan_summary(spark, sf):
 )
 def _unreliable_switch(spark, sf):
     return O.unreliable_switch(V.rows(spark, sf), min_ratio=0.75)
+
+
+@query(
+    "percentiles_of_large_groups",
+    "flag:s price_n:l price_p0:d price_p1:d price_p2:d quantity_n:l quantity_p0:d quantity_p1:d quantity_p2:d",
+    """SELECT l_returnflag || l_linestatus AS flag, count(p) AS price_n, quantile_cont(p, 0.013) AS price_p0, quantile_cont(p, 0.5) AS price_p1,
+      quantile_cont(p, 0.99) AS price_p2, count(q) AS quantity_n, quantile_cont(q, 0.013) AS quantity_p0, quantile_cont(q, 0.5) AS quantity_p1,
+      quantile_cont(q, 0.99) AS quantity_p2
+    FROM (SELECT *, CASE WHEN l_partkey % 7 > 0 THEN l_extendedprice END::DOUBLE AS p, l_quantity::DOUBLE AS q FROM lineitem) AS l GROUP BY 1""",
+)
+def _percentiles_of_large_groups(spark, sf):
+    """Some groups hold a hundred times as many rows as are aggregated at once."""
+    li = V.table(spark, sf, "lineitem").select(
+        F.concat("l_returnflag", "l_linestatus").alias("flag"),
+        F.when(F.col("l_partkey") % 7 > 0, F.col("l_extendedprice")).alias("price"),
+        F.col("l_quantity").alias("quantity"),
+    )
+    return exact_percentiles(li, ["flag"], ["price", "quantity"], [0.013, 0.5, 0.99], small=300)

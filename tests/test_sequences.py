@@ -101,7 +101,7 @@ def test_assign_index_with_ties_in_time(spark):
 def test_percentiles_match_numpy(spark, small):
     pdf, df = make(spark, 5)
     df = df.withColumn("score", F.when(F.col("frame_index") == 7, float("nan")).otherwise(F.col("score")))
-    out = exact_percentiles(df, KEYS, ["score", "value"], [0.0, 0.1, 0.5, 0.95, 1.0], small=small, accuracy=50).collect()
+    out = exact_percentiles(df, KEYS, ["score", "value"], [0.0, 0.1, 0.5, 0.95, 1.0], small=small).collect()
     for row in out:
         g = pdf[pdf.video_id == row.video_id]
         score = g.score[g.frame_index != 7]
@@ -113,11 +113,39 @@ def test_percentiles_match_numpy(spark, small):
 def test_percentiles_of_a_large_group(spark):
     df = spark.range(60_000).select(F.lit(1).alias("k"), (F.pmod(F.xxhash64("id"), F.lit(9973)) / 7.0).alias("x"))
     x = df.toPandas().x.to_numpy()
-    row = exact_percentiles(df, ["k"], ["x"], [0.1, 0.5, 0.9], small=1000, accuracy=200).first()
+    row = exact_percentiles(df, ["k"], ["x"], [0.1, 0.5, 0.9], small=1000).first()
     for i, p in enumerate([0.1, 0.5, 0.9]):
         assert row[f"x_p{i}"] == pytest.approx(np.quantile(x, p), abs=1e-9)
 
 
+@pytest.mark.parametrize("shape", ["normal", "powers", "two values", "equal", "extremes", "few finite"])
+def test_narrowing_finds_every_rank(spark, shape):
+    rng = np.random.default_rng(5)
+    n = 5000
+    x = {
+        "normal": rng.normal(size=n),
+        "powers": np.exp(rng.uniform(-600, 600, n)) * rng.choice([-1, 1], n),
+        "two values": rng.choice([0.1, np.nextafter(0.1, 1)], n),
+        "equal": np.full(n, 7.5),
+        "extremes": rng.choice([-1.7e308, 1.7e308, 5e-324, 0.0, -5e-324], n),
+        "few finite": np.where(rng.random(n) < 0.01, rng.random(n), np.nan),
+    }[shape]
+    pdf = pd.DataFrame({"k": np.where(np.arange(n) % 5 == 0, 2, 1), "x": x, "y": rng.random(n)})
+    pdf = pd.concat([pdf, pd.DataFrame({"k": 3, "x": [1.0, 2.0], "y": [np.nan, 4.0]})])
+    probs = [0.0, 0.013, 0.5, 0.77, 1.0]
+    rows = exact_percentiles(spark.createDataFrame(pdf), ["k"], ["x", "y"], probs, small=40).collect()
+    assert sorted(r.k for r in rows) == [1, 2, 3]
+    for r in rows:
+        for c in "xy":
+            v = pdf[pdf.k == r.k][c].dropna().to_numpy()
+            assert r[f"{c}_n"] == len(v)
+            for i, p in enumerate(probs):
+                h = p * (len(v) - 1)
+                v.sort()
+                a, b = v[int(np.floor(h))], v[int(np.ceil(h))]
+                assert r[f"{c}_p{i}"] == pytest.approx(a + (b - a) * (h - np.floor(h)), rel=1e-12)
+
+
 def sequential_nms(g, window):
     kept = []
     for _, r in g.sort_values(["score", "frame_index"], ascending=[False, True]).iterrows():
@@ -391,7 +419,7 @@ def test_rows_without_key_are_a_sequence_of_their_own(spark):
     numbered = assign_index(df.drop("i"), ["k"], ["v"])
     assert sorted(r.frame_index for r in numbered.where("k IS NULL").collect()) == list(range(1000))
     few = exact_percentiles(df, ["k"], ["v"], [0.1, 0.5], small=100_000)
-    many = exact_percentiles(df, ["k"], ["v"], [0.1, 0.5], small=100, accuracy=100)
+    many = exact_percentiles(df, ["k"], ["v"], [0.1, 0.5], small=100)
     key = lambda r: (r[0] is not None, r[0] or 0)
     assert sorted(map(tuple, few.collect()), key=key) == sorted(map(tuple, many.collect()), key=key)
     assert few.count() == 4
