@@ -19,60 +19,76 @@ CUBE_FACES = {
 }
 
 
-def _equirect_coords(d: np.ndarray, width: int, height: int) -> tuple[np.ndarray, np.ndarray]:
-    """Source position of unit directions on an equirectangular image."""
-    theta = np.arctan2(d[..., 2], d[..., 0])
-    phi = np.arcsin(np.clip(d[..., 1], -1.0, 1.0))
-    x = np.fmod((theta + math.pi) / (2.0 * math.pi) * width + width, width)
-    y = (math.pi / 2.0 - phi) / math.pi * height
-    return np.clip(x, 0, width - 1.001), np.clip(y, 0, height - 1.001)
+# What is added to the length of a ray, and how far source positions stay from the last pixel.
+GUARD, MARGIN = 1e-8, 1.001
 
 
-def _unit(d: np.ndarray) -> np.ndarray:
-    return d / (np.linalg.norm(d, axis=-1, keepdims=True) + 1e-8)
+def _on_equirect(rays: np.ndarray, width: int, height: int) -> tuple[np.ndarray, np.ndarray]:
+    """Source position of rays on an equirectangular image: share of a turn across, share of the way from the pole down."""
+    turn = (np.arctan2(rays[..., 2], rays[..., 0]) / (2.0 * math.pi) + 0.5) % 1.0
+    fall = np.arccos(np.clip(rays[..., 1] / (np.sqrt((rays * rays).sum(-1)) + GUARD), -1.0, 1.0)) / math.pi
+    return np.minimum(turn * width, width - MARGIN), np.minimum(fall * height, height - MARGIN)
+
+
+def _view(axes: np.ndarray, focal: float, out_width: int, out_height: int) -> np.ndarray:
+    """Rays of a view whose image axes and viewing direction are the rows of ``axes``; the image spans -1 to 1."""
+    y, x = np.ix_(np.linspace(-1, 1, out_height), np.linspace(-1, 1, out_width))
+    plane = np.stack(np.broadcast_arrays(x, y, focal), axis=-1)
+    return plane @ axes
+
+
+def _rotation(axis: int, angle: float) -> np.ndarray:
+    """Rotation of row vectors around a coordinate axis."""
+    c, s = math.cos(angle), math.sin(angle)
+    i, j = (axis + 1) % 3, (axis + 2) % 3
+    out = np.eye(3)
+    out[i, i] = out[j, j] = c
+    out[i, j], out[j, i] = s, -s
+    return out
 
 
 @lru_cache(maxsize=64)
 def cube_face(width: int, height: int, size: int, face: str) -> tuple[np.ndarray, np.ndarray]:
-    across, centre, down = (np.array(v, float) for v in CUBE_FACES[face])
-    x, y = np.meshgrid(np.linspace(-1, 1, size), np.linspace(-1, 1, size))
-    return _equirect_coords(_unit(x[..., None] * across + centre + y[..., None] * down), width, height)
+    """A face is a view of 90 degrees, so its focal length is 1."""
+    across, centre, down = CUBE_FACES[face]
+    return _on_equirect(_view(np.array([across, down, centre], float), 1.0, size, size), width, height)
 
 
 @lru_cache(maxsize=64)
 def perspective(
     width: int, height: int, out_width: int, out_height: int, yaw: float, pitch: float, fov: float
 ) -> tuple[np.ndarray, np.ndarray]:
-    a, b = math.radians(yaw), math.radians(pitch)
-    x, y = np.meshgrid(np.linspace(-1, 1, out_width), np.linspace(-1, 1, out_height))
-    focal = 1.0 / math.tan(math.radians(fov) / 2.0)
-    rx, rz = x * math.cos(a) + focal * math.sin(a), focal * math.cos(a) - x * math.sin(a)
-    ry, rz = y * math.cos(b) - rz * math.sin(b), y * math.sin(b) + rz * math.cos(b)
-    return _equirect_coords(_unit(np.stack([rx, ry, rz], axis=-1)), width, height)
+    """A view turned by yaw around the vertical axis and then by pitch around the horizontal one."""
+    axes = _rotation(1, -math.radians(yaw)).T @ _rotation(0, math.radians(pitch))
+    return _on_equirect(_view(axes, 1.0 / math.tan(math.radians(fov) / 2.0), out_width, out_height), width, height)
+
+
+def _sphere(out_width: int, out_height: int) -> np.ndarray:
+    """Unit rays of an equirectangular image: ahead, up, right."""
+    up, turn = np.ix_(np.linspace(math.pi / 2, -math.pi / 2, out_height), np.linspace(-math.pi, math.pi, out_width))
+    return np.stack(np.broadcast_arrays(np.cos(up) * np.cos(turn), np.sin(up), np.cos(up) * np.sin(turn)), axis=-1)
 
 
 @lru_cache(maxsize=32)
 def fisheye_equirect(
     width: int, height: int, out_width: int, out_height: int, fx: float, fy: float, cx: float, cy: float
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Equidistant fisheye unrolled onto the sphere; the front half is valid."""
-    theta, phi = np.meshgrid(np.linspace(-math.pi, math.pi, out_width), np.linspace(math.pi / 2, -math.pi / 2, out_height))
-    d = np.stack([np.cos(phi) * np.cos(theta), np.sin(phi), np.cos(phi) * np.sin(theta)], axis=-1)
-    ahead = np.maximum(d[..., 0], 1e-8)
-    u, v = d[..., 2] / ahead, d[..., 1] / ahead
-    r = np.hypot(u, v)
-    bend = np.where(r > 1e-8, np.arctan(r) / np.where(r > 1e-8, r, 1.0), 0.0)
-    x = np.clip(fx * u * bend + cx, 0, width - 1)
-    y = np.clip(fy * v * bend + cy, 0, height - 1)
-    return x, y, d[..., 0] > 0
+    """Equidistant fisheye unrolled onto the sphere; the front half is valid.
+
+    A ray lands as far from the centre as its angle to the axis, in the direction in which it leaves the axis.
+    """
+    rays = _sphere(out_width, out_height)
+    aside = rays[..., 2] + 1j * rays[..., 1]
+    landing = np.arctan2(np.abs(aside), rays[..., 0]) * np.exp(1j * np.angle(aside))
+    place = lambda part, f, c, size: np.clip(f * part + c, 0, size - 1)
+    return place(landing.real, fx, cx, width), place(landing.imag, fy, cy, height), rays[..., 0] > 0
 
 
 @lru_cache(maxsize=32)
 def cube_lookup(size: int, out_width: int, out_height: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of the face, x, y inside it) per output pixel: the face whose axis its ray follows most."""
-    theta, phi = np.meshgrid(np.linspace(-math.pi, math.pi, out_width), np.linspace(math.pi / 2, -math.pi / 2, out_height))
-    ray = np.stack([np.cos(phi) * np.cos(theta), np.sin(phi), np.cos(phi) * np.sin(theta)], axis=-1)
-    right, up, ahead = np.moveaxis(np.einsum("hwi,fij->fhwj", ray, np.array(list(CUBE_FACES.values()), float)), -1, 0)
+    axes = np.array(list(CUBE_FACES.values()), float)
+    right, up, ahead = np.moveaxis(np.einsum("hwi,fij->fhwj", _sphere(out_width, out_height), axes), -1, 0)
     face = np.argmax(ahead, axis=0)
     own = lambda a: np.take_along_axis(a, face[None], 0)[0]
     x, y = (0.5 * (size - 1) * (1.0 + s * own(a) / own(ahead)) for s, a in ((1, right), (-1, up)))
@@ -152,15 +168,14 @@ def sample(img: np.ndarray, x: np.ndarray, y: np.ndarray, wrap: bool = False) ->
     return out
 
 
-def lookup_rows(view: str, x: np.ndarray, y: np.ndarray, w: int, h: int, wrap: bool = False) -> list[tuple]:
-    """(view, y, x, source y, source x, weight) rows of a coordinate map; zero weights left out."""
-    rows = []
+def lookup_taps(x: np.ndarray, y: np.ndarray, w: int, h: int, wrap: bool = False) -> dict[str, np.ndarray]:
+    """Output pixel (y, x), source pixel (sy, sx) and weight of each tap of a coordinate map; zero weights left out."""
     iy, ix = np.indices(x.shape)
+    found = []
     for ty, tx, wt in _taps(x, y):
         keep = (wt > 0) & ((tx >= 0) & (tx < w) & (ty >= 0) & (ty < h) | wrap)
-        cols = (iy[keep], ix[keep], (ty % h)[keep], (tx % w)[keep], wt[keep])
-        rows += [(view, int(a), int(b), int(c), int(d), float(e)) for a, b, c, d, e in zip(*cols)]
-    return rows
+        found.append((iy[keep], ix[keep], (ty % h)[keep], (tx % w)[keep], wt[keep]))
+    return dict(zip(("y", "x", "sy", "sx", "w"), map(np.concatenate, zip(*found))))
 
 
 def to_bytes(values: np.ndarray) -> np.ndarray:

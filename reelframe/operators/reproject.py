@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -171,17 +172,26 @@ def stitch_lenses(
 
 
 def feather(a: np.ndarray, b: np.ndarray, mode: str = "horizontal", overlap: float = 0.15) -> np.ndarray:
-    """Two images side by side with a linear transition over the overlap."""
-    if mode == "vertical":
-        return np.swapaxes(feather(np.swapaxes(a, 0, 1), np.swapaxes(b, 0, 1)), 0, 1)
-    n = int(a.shape[1] * overlap)
-    rows = min(a.shape[0], b.shape[0])
-    out = np.zeros((a.shape[0], a.shape[1] + b.shape[1] - n, *a.shape[2:]))
-    out[:, : a.shape[1]] = a
-    t = np.linspace(0, 1, n).reshape(1, n, *[1] * (a.ndim - 2))
-    start = a.shape[1] - n
-    out[:rows, start : a.shape[1]] = (1 - t) * out[:rows, start : a.shape[1]] + t * b[:rows, :n]
-    out[:rows, a.shape[1] :] = b[:rows, n:]
+    """Two images side by side, or one below the other, with a linear transition over the overlap.
+
+    Each place along the joined side has the second image's share: 0, rising over the overlap, then 1. Lines that the
+    second image doesn't have keep the first.
+    """
+    along = 0 if mode == "vertical" else 1
+    both = int(a.shape[along] * overlap)
+    share = np.concatenate([np.zeros(a.shape[along] - both), np.linspace(0, 1, both), np.ones(b.shape[along] - both)])
+    lines = np.arange(a.shape[1 - along]) < b.shape[1 - along]
+    share = np.outer(share, lines) if along == 0 else np.outer(lines, share)
+    share = share.reshape(share.shape + (1,) * (a.ndim - 2))
+
+    def padded(img: np.ndarray, before: int) -> np.ndarray:
+        out = np.zeros(share.shape[:2] + a.shape[2:])
+        part = img[:, : share.shape[1]] if along == 0 else img[: share.shape[0]]
+        y, x = (before, 0) if along == 0 else (0, before)
+        out[y : y + part.shape[0], x : x + part.shape[1]] = part
+        return out
+
+    out = (1 - share) * padded(a, 0) + share * padded(b, a.shape[along] - both)
     return np.clip(out, 0, 255).astype(np.uint8)
 
 
@@ -227,39 +237,51 @@ def split_cross5(
     return _image_rows(frames, keys, views)
 
 
-def lookup_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    """Lookup for the pixel-table form; its size is that of the output views, not of the data."""
-    return spark.createDataFrame(rows, "view string, y int, x int, sy int, sx int, w double")
+LINES_A_TASK = 256
+
+
+def _lookup(spark: SparkSession, maps: Sequence[tuple[str, Callable[[], tuple]]], out_height: int, width: int, height: int, wrap: bool = False) -> DataFrame:
+    """Lookup (view, y, x, sy, sx, w) for the pixel-table form, made in tasks: one row of the range is a line of a view.
+
+    A map gives the source x and y of each pixel of its view and, if not all count, which do.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            lines = pdf["id"].to_numpy()
+            for number in np.unique(lines // out_height):
+                name, coordinates = maps[number]
+                own = lines[lines // out_height == number] % out_height
+                x, y, *valid = (part[own] for part in coordinates())
+                if valid:
+                    x = np.where(valid[0], x, -9.0)  # outside, so it has no taps
+                taps = R.lookup_taps(x, y, width, height, wrap)
+                yield pd.DataFrame({"view": name, **taps, "y": own[taps["y"]]})
+
+    lines = len(maps) * out_height
+    return spark.range(0, lines, 1, max(1, -(-lines // LINES_A_TASK))).mapInPandas(run, "view string, y int, x int, sy int, sx int, w double")
 
 
 def cubemap_lookup(spark: SparkSession, width: int, height: int, size: int) -> DataFrame:
-    rows = [r for f in R.CUBE_FACES for r in R.lookup_rows(f, *R.cube_face(width, height, size, f), width, height, wrap=True)]
-    return lookup_table(spark, rows)
+    return _lookup(spark, [(f, partial(R.cube_face, width, height, size, f)) for f in R.CUBE_FACES], size, width, height, wrap=True)
 
 
 def perspective_lookup(
     spark: SparkSession, width: int, height: int, views: Sequence[tuple[str, float, float, float]], out_width: int, out_height: int
 ) -> DataFrame:
-    rows = []
-    for name, yaw, pitch, fov in views:
-        x, y = R.perspective(width, height, out_width, out_height, yaw, pitch, fov)
-        rows += R.lookup_rows(name, x, y, width, height, wrap=True)
-    return lookup_table(spark, rows)
+    maps = [(name, partial(R.perspective, width, height, out_width, out_height, *view)) for name, *view in views]
+    return _lookup(spark, maps, out_height, width, height, wrap=True)
 
 
 def fisheye_lookup(spark: SparkSession, width: int, height: int, out_width: int, out_height: int) -> DataFrame:
     half = min(width, height) * 0.5
-    x, y, valid = R.fisheye_equirect(width, height, out_width, out_height, half, half, width * 0.5, height * 0.5)
-    rows = [r for r in R.lookup_rows("equirect", x, y, width, height) if valid[r[1], r[2]]]
-    return lookup_table(spark, rows)
+    unrolled = partial(R.fisheye_equirect, width, height, out_width, out_height, half, half, width * 0.5, height * 0.5)
+    return _lookup(spark, [("equirect", unrolled)], out_height, width, height)
 
 
 def cross5_lookup(spark: SparkSession, width: int, height: int, k: Sequence[float], dist: Sequence[float], size: int) -> DataFrame:
-    rows = []
-    for name, yaw, pitch in R.cross5_views():
-        x, y = R.lens_view(tuple(k), tuple(dist), yaw, pitch, size)
-        rows += R.lookup_rows(name, x, y, width, height)
-    return lookup_table(spark, rows)
+    maps = [(name, partial(R.lens_view, tuple(k), tuple(dist), yaw, pitch, size)) for name, yaw, pitch in R.cross5_views()]
+    return _lookup(spark, maps, size, width, height)
 
 
 def paired_payloads(frames: DataFrame, keys: Sequence[str], lens: str = "lens") -> DataFrame:
