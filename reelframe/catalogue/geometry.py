@@ -197,12 +197,12 @@ _BOXES = "SELECT s_suppkey AS frame, n * 200.0 AS x1, n * 200.0 + s_acctbal / 10
         _POINT_SQL
         + f""", box AS ({_BOXES}, (SELECT unnest(range(3)) AS n) k),
         f AS (SELECT *, EXISTS (SELECT 1 FROM box b WHERE b.frame = pts.frame AND x >= x1 AND x < x2 AND y >= y1 AND y < y2) AS hit,
-          floor(x) < 8 OR (floor(x) >= 312 AND floor(x) < 328) OR floor(x) >= 631 AS seam FROM pts WHERE x < 640)
+          floor(x) < 8 OR (floor(x) >= 312 AND floor(x) < 328) OR (floor(x) >= 631 AND floor(x) < 640) AS seam FROM pts)
         SELECT frame, count(*) FILTER (NOT hit) AS kept, count(*) FILTER (hit) AS removed, count(*) FILTER (seam) AS seam_points FROM f GROUP BY frame"""
     ),
 )
 def _points_in_boxes(spark, sf):
-    p = written_table(_points(spark, sf).filter("x < 640"), "points")
+    p = written_table(_points(spark, sf), "points")
     boxes = V.table(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("frame"), "s_acctbal", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("n")
     )

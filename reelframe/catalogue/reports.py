@@ -121,14 +121,13 @@ def _legacy_pair_gate(spark, sf):
 @query(
     "pair_consistency_report",
     "video_id:l fps_differs:b count_differs:b size_differs:b frame_count:l",
-    """WITH v AS (SELECT o_custkey AS video_id, o_orderstatus AS s, count(*) AS n, 24 + max(o_orderkey % 3) * 0.0007 AS fps, 100 * (1 + min(o_orderkey) % 2) AS w
-        FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY ALL)
+    """WITH v AS (SELECT o_custkey AS video_id, CASE o_orderstatus WHEN 'F' THEN 'a' ELSE 'b' END AS s, count(*) AS n, 24 + max(o_orderkey % 3) * 0.0007 AS fps, 100 * (1 + min(o_orderkey) % 2) AS w
+        FROM orders GROUP BY ALL)
     SELECT a.video_id, abs(a.fps - b.fps) > 1e-3 AS fps_differs, a.n <> b.n AS count_differs, a.w <> b.w AS size_differs, least(a.n, b.n) AS frame_count
-    FROM v a JOIN v b USING (video_id) WHERE a.s = 'F' AND b.s = 'O'""",
+    FROM v a JOIN v b USING (video_id) WHERE a.s = 'a' AND b.s = 'b'""",
 )
 def _pair_consistency(spark, sf):
-    o = V.table(spark, sf, "orders").filter("o_orderstatus IN ('F', 'O')")
-    v = o.groupBy(F.col("o_custkey").alias("video_id"), F.when(F.col("o_orderstatus") == "F", "a").otherwise("b").alias("lens")).agg(
+    v = V.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("video_id"), F.when(F.col("o_orderstatus") == "F", "a").otherwise("b").alias("lens")).agg(
         F.count(F.lit(1)).alias("frame_count"),
         (24 + F.max(F.col("o_orderkey") % 3) * 0.0007).alias("fps"),
         (100 * (1 + F.min("o_orderkey") % 2)).alias("width"),
@@ -503,7 +502,7 @@ def _stages_to_run(spark, sf):
     "video_id:l weight_sharpness:d min_keyframe_interval:d quality_threshold:d violations:s",
     """WITH v AS (SELECT c_custkey AS video_id, c_custkey % 3 AS preset FROM customer),
       p AS (SELECT v.*, CASE preset WHEN 0 THEN 0.3 WHEN 1 THEN 0.5 END AS ws, CASE preset WHEN 1 THEN 70 END AS mi FROM v),
-      o AS (SELECT o_custkey AS video_id, min(o_orderkey) % 90 AS mi, max(o_orderkey) % 10 / 10.0 AS q FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
+      o AS (SELECT o_custkey AS video_id, min(o_orderkey) % 90 AS mi, max(o_orderkey) % 10 / 10.0 AS q FROM orders GROUP BY 1)
     SELECT p.video_id, coalesce(ws, 0.3) AS weight_sharpness, coalesce(o.mi, p.mi, 5) AS min_keyframe_interval, coalesce(o.q, 0.5) AS quality_threshold,
       concat_ws(',', CASE WHEN coalesce(ws, 0.3) + 0.7 > 1.01 THEN 'weight_sum' END, CASE WHEN coalesce(o.mi, p.mi, 5) >= 60 THEN 'interval_order' END) AS violations
     FROM p LEFT JOIN o USING (video_id)""",
@@ -516,7 +515,7 @@ def _params_overlay(spark, sf):
         "CASE preset WHEN 1 THEN 70D END AS min_keyframe_interval",
     )
     own = (
-        V.table(spark, sf, "orders").filter("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("video_id"))
+        V.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("video_id"))
         .agg((F.min("o_orderkey") % 90).cast("double").alias("min_keyframe_interval"), (F.max("o_orderkey") % 10 / 10.0).alias("quality_threshold"))
     )
     defaults = {

@@ -467,11 +467,11 @@ def _gap_suggestions(spark, sf):
     "video_id:l frame_index:l by_frame:l by_score:l",
     with_views(
         """SELECT video_id, frame_index, row_number() OVER (PARTITION BY video_id ORDER BY frame_index) - 1 AS by_frame,
-        row_number() OVER (PARTITION BY video_id ORDER BY score DESC, frame_index) - 1 AS by_score FROM rows_v WHERE score > 0.4"""
+        row_number() OVER (PARTITION BY video_id ORDER BY score DESC, frame_index) - 1 AS by_score FROM rows_v"""
     ),
 )
 def _keyframe_order(spark, sf):
-    df = V.rows(spark, sf).filter("score > 0.4").select("video_id", "frame_index", "score")
+    df = V.rows(spark, sf).select("video_id", "frame_index", "score")
     out = K.keyframe_order(df, KEYS).withColumnRenamed("position", "by_frame")
     return K.keyframe_order(out, KEYS, by="score").withColumnRenamed("position", "by_score")
 
