@@ -78,7 +78,7 @@ def descriptor_match(
     ``descriptors``: ``frame``, ``point_id`` (bigint, unique per frame), ``bits`` (bigint).
     ``pairs``: ``frame_a``, ``frame_b``. A point of ``frame_a`` matches its nearest point
     of ``frame_b`` if that is closer than ``ratio`` times the second nearest.
-    Points travel in chunks of bounded size and a task compares two chunks, so
+    Points travel in chunks of bounded size, pairs of chunks are dealt over all tasks, and
     only the two best candidates per point and chunk are ever emitted.
     """
     chunks = descriptors.groupBy("frame", index_block("point_id", chunk).alias("part")).agg(
@@ -91,6 +91,8 @@ def descriptor_match(
         F.col("points.bits").alias(f"bits_{s}"),
     )
     joined = pairs.join(sided("a"), "frame_a").join(sided("b"), "frame_b")
+    # The chunk pairs of one frame meet in one task of the join; they are dealt out before the work starts.
+    joined = joined.repartition("frame_a", "frame_b", "part_a", "part_b")
     types = {f.name: f.dataType.simpleString() for f in joined.schema}
     ddl = f"frame_a {types['frame_a']}, frame_b {types['frame_b']}, point_a bigint, point_b bigint, d1 int, d2 int"
 
