@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a DataFrame, which
 is written as Parquet and read again. All stages but the last return the columns of ``documents``.
+
+Null and empty texts have no words, so the quality rules reject them. A repeated id keeps all its rows through the
+near-duplicate stage if its component keeps that id; mixing may repeat or leave out each of them. Further columns
+of ``documents`` stay as they are up to the last stage; the operators' docstrings state ties, nulls in other columns and
+empty tables.
 """
 
 from __future__ import annotations
