@@ -356,13 +356,23 @@ def plain_scores(rows, min_count=2, backoff=0.4):
     return out
 
 
-def test_backoff_scores(spark):
+@pytest.mark.parametrize(("hot", "dense"), [(lm_scores.HOT, lm_scores.DENSE), (5, 2), (8, 1), (1, 1)])
+def test_backoff_scores(spark, hot, dense):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choices("abcdefgh", k=rng.randrange(0, 60)))) for i in range(30)]
     rows += [(100, None), (101, ""), (None, "a b z"), (3, "a b"), (102, "q " * 20000)]
-    got = {r.doc_id: (r.n_words, r.score) for r in lm_scores.score(documents(spark, [(i, t, None, None) for i, t in rows])).collect()}
+    got = {r.doc_id: (r.n_words, r.score) for r in lm_scores.score(documents(spark, [(i, t, None, None) for i, t in rows]), hot=hot, dense=dense).collect()}
     want = plain_scores(rows)
     assert set(got) == set(want)
     for i, s in want.items():
         assert got[i][1] == pytest.approx(s, rel=1e-9, abs=1e-9)
+        assert got[i][0] == sum(len(words(t)) for j, t in rows if j == i)
     assert lm_scores.score(documents(spark, []).limit(0)).collect() == []
+
+
+def test_pairs_over_block_borders():
+    h = np.arange(10, dtype=np.uint64)
+    whole = lm_scores._joined([(0, np.append(h[:1], h[:-1]), h, True)])
+    cut = lm_scores._joined([(0, np.append(h[:1], h[:3]), h[:4], True), (0, h[3:9], h[4:], False)])
+    assert all((a == b).all() for a, b in zip(whole, cut, strict=True))
+    assert whole.head.tolist() == [True] + [False] * 9
