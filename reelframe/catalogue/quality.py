@@ -9,6 +9,7 @@ from reelframe.catalogue.base import query
 from reelframe.catalogue.views import with_views
 from reelframe.functions import quality as Q
 from reelframe.functions import scores as S
+from reelframe.operators import calibrations
 from reelframe.operators import quality as O
 from reelframe.plans.percentiles import exact_percentiles
 from reelframe.session import written_table
@@ -235,6 +236,50 @@ def _vo_runtime_status(spark, sf):
     )
 
 
+@query(
+    "vo_runtime_calibrations",
+    "supplier:l mono:s front:s rear:s enabled:b reason:s loaded:b",
+    """WITH c AS (SELECT 'n' || n_nationkey AS xml FROM nation WHERE n_regionkey <> 3),
+    r AS (SELECT s_suppkey AS supplier, s_suppkey % 3 AS kind, s_suppkey % 11 <> 0 AS vo, s_suppkey % 5 = 0 AS pano,
+        CASE WHEN s_suppkey % 4 <> 0 THEN 'n' || s_nationkey END AS m,
+        CASE WHEN s_suppkey % 2 = 0 THEN 'n' || s_suppkey % 30 END AS f,
+        CASE WHEN s_suppkey % 7 <> 0 THEN 'n' || (s_suppkey + s_nationkey) % 30 END AS b FROM supplier),
+    l AS (SELECT r.*, cm.xml AS own, cf.xml AS front_own, cb.xml AS rear_own FROM r
+        LEFT JOIN c cm ON cm.xml = r.m AND kind <> 1
+        LEFT JOIN c cf ON cf.xml = coalesce(r.f, r.m) AND kind <> 0
+        LEFT JOIN c cb ON cb.xml = coalesce(r.b, r.m) AND kind <> 0),
+    u AS (SELECT *, CASE WHEN kind = 2 THEN coalesce(front_own, own) ELSE front_own END AS fr,
+        CASE WHEN kind = 2 THEN coalesce(rear_own, own) ELSE rear_own END AS re FROM l),
+    s AS (SELECT *, CASE WHEN kind = 0 THEN own ELSE coalesce(fr, own) END IS NOT NULL AS has FROM u)
+    SELECT supplier, own AS mono, fr AS front, re AS rear, vo AND has AND NOT (kind = 0 AND pano) AS enabled,
+      CASE WHEN NOT vo THEN 'vo_disabled_by_config' WHEN NOT has THEN 'calibration_unavailable'
+        WHEN kind = 0 AND pano THEN 'projection_mode_unsupported' ELSE 'enabled' END AS reason, vo AND has AS loaded FROM s""",
+)
+def _vo_runtime_calibrations(spark, sf):
+    key, home = F.col("s_suppkey"), F.col("s_nationkey")
+    runs = V.table(spark, sf, "supplier").select(
+        key.alias("supplier"),
+        F.element_at(F.array(F.lit("single"), F.lit(" Front_Rear"), F.lit("stereo")), (key % 3 + 1).cast("int")).alias("layout"),
+        (key % 11 != 0).alias("vo_enabled"),
+        F.when(key % 5 == 0, "cubemap").otherwise("fisheye").alias("projection"),
+        F.when(key % 4 != 0, F.concat(F.lit("n"), home)).alias("mono_xml"),
+        F.when(key % 2 == 0, F.concat(F.lit("n"), key % 30)).otherwise(" ").alias("front_xml"),
+        F.when(key % 7 != 0, F.concat(F.lit("n"), (key + home) % 30)).alias("rear_xml"),
+    )
+    terms = F.when(F.col("n_regionkey") == 3, 8).otherwise(9)  # a matrix of eight numbers can't be used
+    files = V.table(spark, sf, "nation").select(
+        F.concat(F.lit("n"), "n_nationkey").alias("xml_path"),
+        F.transform(F.sequence(F.lit(1), terms), lambda x: x.cast("double")).alias("camera_matrix"),
+        F.array(F.lit(0.1), F.lit(0.2)).alias("dist"),
+        F.lit(640).alias("width"),
+        F.lit(480).alias("height"),
+        F.lit("opencv").alias("model"),
+    )
+    out = calibrations.vo_runtime_status(runs, files, ["supplier"])
+    names = [F.col(f"{lens}.xml_path").alias(lens) for lens in calibrations.LENSES]
+    return out.select("supplier", *names, "enabled", "reason", F.col("calibration_loaded").alias("loaded"))
+
+
 @query(
     "vo_confidence",
     "video_id:l frame_index:l confidence:d band:s r:l g:l b:l",
