@@ -550,14 +550,17 @@ def _run_compare(spark, sf):
 # ---- streams ---------------------------------------------------------------
 
 
-def _stream(spark, df, index: str = "frame_index"):
-    """Write a frame table in three arrivals and read it back as a stream."""
+def _streamed(spark, df, job, index: str = "frame_index"):
+    """Rows of ``job`` over a frame table that arrives in three parts of many files each.
+
+    Every arrival starts the job anew, so it goes on from the state that the run before it left.
+    """
     path = f"{scratch_root(spark)}/reelframe-{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
     df = written_table(df, "arrivals")
     for keep in (f"{index} < 20", f"{index} >= 20 AND {index} < 45", f"{index} >= 45"):
-        df.filter(keep).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    return stream, f"{path}/out"
+        df.filter(keep).write.mode("append").parquet(f"{path}/in")
+        out = J.run_available(job(spark.readStream.schema(df.schema).parquet(f"{path}/in")), f"{path}/out")
+    return out
 
 
 @query(
@@ -568,8 +571,7 @@ def _stream(spark, df, index: str = "frame_index"):
 def _stream_scores(spark, sf):
     df = written_table(V.frames(spark, sf), "frames")
     bounds = written_table(O.percentile_bounds(df, KEYS), "bounds")
-    stream, out = _stream(spark, df)
-    return J.run_available(J.stream_scores(stream, bounds), out)
+    return _streamed(spark, df, lambda stream: J.stream_scores(stream, bounds))
 
 
 @query(
@@ -582,8 +584,8 @@ def _stream_scores(spark, sf):
     ),
 )
 def _stream_events(spark, sf):
-    stream, out = _stream(spark, V.frames(spark, sf).select("video_id", "frame_index", "brightness", "match_count"))
-    return J.run_available(J.stream_events(stream, threshold=45.0), out)
+    df = V.frames(spark, sf).select("video_id", "frame_index", "brightness", "match_count")
+    return _streamed(spark, df, lambda stream: J.stream_events(stream, threshold=45.0))
 
 
 @query(
@@ -595,8 +597,7 @@ def _stream_events(spark, sf):
 def _stream_trajectory(spark, sf):
     df = _steps(spark, sf)
     df = attach(df, median_step(df, KEYS), KEYS, F.col("frame_index"))
-    stream, out = _stream(spark, df)
-    return J.run_available(J.stream_trajectory(stream), out)
+    return _streamed(spark, df, J.stream_trajectory)
 
 
 @query(
@@ -613,6 +614,5 @@ def _stream_trajectory(spark, sf):
 )
 def _stream_chain(spark, sf):
     df = V.frames(spark, sf).select("video_id", "frame_index", F.array("flow_mag").alias("features"))
-    stream, out = _stream(spark, df)
     near = lambda a, b: 1 - abs(float(b[0]) - float(a[0])) / 60
-    return J.run_available(J.stream_chain(stream, similarity=near, min_interval=3), out)
+    return _streamed(spark, df, lambda stream: J.stream_chain(stream, similarity=near, min_interval=3))
