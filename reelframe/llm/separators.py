@@ -9,6 +9,10 @@ a file of any length is scanned by many tasks.
 A file that doesn't end with a separator has a last document that isn't complete. Two separators in a row
 are a document without ids. Blocks without separators, and documents over many blocks, are ordinary cases.
 An empty file has no documents. The scan keeps file, ordinal and place of every document.
+
+Blocks with a null payload are left out, blocks with an empty one add nothing. A row that repeats a block counts as the same
+ids once more at its place. An empty table has no documents. Extra columns aren't read. In the query a null text is
+a document without ids, as an empty one is.
 """
 
 from __future__ import annotations

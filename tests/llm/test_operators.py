@@ -262,6 +262,41 @@ def test_toxicity_training_bound_leaves_both_labels_and_passes_over_long_texts(s
     assert model.bias == ids and classes == 2 and 0 < pairs <= 1000
 
 
+def plain_toxicity(text, bias, weights):
+    """Score and offending sentences by loops: each sentence's probability, then noisy-or over one background."""
+    soft = lambda z: math.log1p(math.exp(z))
+    seen, bad, total = set(), [], soft(bias)
+    for part in re.findall(r"[^.!?\n]*[.!?\n]|[^.!?\n]+", text or ""):
+        found = set(re.findall(r"[a-z0-9\x80-\U0010ffff]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in part)))
+        used = frozenset(found & set(weights))
+        z = bias + sum(weights[w] for w in used)
+        if used and used not in seen:
+            seen.add(used)
+            total += max(soft(z) - soft(bias), 0.0)
+        if found and z >= 0:
+            bad.append(part)
+    any_word = re.search(r"[A-Za-z0-9\x80-\U0010ffff]", text or "")
+    return (1 - math.exp(-total) if any_word else 0.0), bad
+
+
+def test_toxicity_scores_of_random_models(spark):
+    rng = random.Random(11)
+    vocabulary = ["vile", "Foul", "ok", "été", "x1", "calm", "day", "naïve"]
+    texts = ["".join(rng.choice(vocabulary) + rng.choice([" ", " ", ". ", "! ", "\n", ", "]) for _ in range(rng.randrange(0, 40))) for _ in range(40)]
+    texts += [None, "", "...", "vile " * 5000, "calm. " * 5000 + "vile foul"]
+    docs = documents(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    feature = lambda w: next(toxicity.sentence_words(pa.array([w])))[3][0]
+    for bias in (-6.0, -1.5):
+        weights = {w.lower(): float(np.float32(rng.uniform(-2, 7))) for w in vocabulary[:6]}
+        order = sorted(weights, key=feature)
+        model = toxicity.Model(bias, np.array([feature(w) for w in order]), np.array([weights[w] for w in order], np.float32))
+        for r in toxicity.score(docs, model).collect():
+            want, bad = plain_toxicity(texts[r.doc_id], bias, weights)
+            assert r.score == pytest.approx(want, rel=1e-5, abs=1e-6)
+            if bad:
+                assert [texts[r.doc_id][f.start : f.end] for f in r.sentences] == bad
+
+
 def test_toxicity_without_labels_or_texts(spark):
     docs = documents(spark, ODD)
     none = spark.createDataFrame([], "doc_id long, toxic int")

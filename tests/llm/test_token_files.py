@@ -135,3 +135,13 @@ def test_flat_files_of_documents(spark):
     got = S.named(S.count_tokens(files), files).select("doc_id", "n_tokens").collect()
     key = lambda r: (r[0] is not None, r[0] or 0, r[1])
     assert sorted(map(tuple, got), key=key) == sorted([(i, len((t or "").encode())) for i, t, _ in rows], key=key)
+
+
+def test_odd_blocks(spark):
+    ids = lambda *v: np.array(v, "<u2").tobytes()
+    once = [(0, 0, ids(1, S.BYTE_END, 2), "x"), (0, 1, None, "x"), (0, 2, b"", "x"), (1, 0, b"", "x")]
+    schema = "file int, block long, payload binary, ids string"
+    count = lambda rows: sorted(tuple(r) for r in S.count_tokens(spark.createDataFrame(rows, schema)).collect())
+    assert count(once) == [(0, 0, 0, 1, True), (0, 1, 2, 1, False)]
+    assert count([once[0], *once]) == [(0, 0, 0, 1, True), (0, 1, 2, 2, True), (0, 2, 5, 1, False)]
+    assert count([]) == []
