@@ -83,8 +83,13 @@ _STILL_OPTIONS = dict(translation="step_proxy", rotation="rotation_delta", flow=
     "stationary_hysteresis",
     "video_id:l frame_index:l is_stationary:b",
     with_views(
-        """, th AS (SELECT video_id, quantile_cont(step_proxy, 0.6) AS tt, quantile_cont(rotation_delta, 0.6) AS tr,
-          quantile_cont(flow_mag, 0.6) AS tf FROM frames_v GROUP BY video_id),
+        """, o AS (SELECT video_id, 0.6::DOUBLE * (count(*) - 1) AS h, list_sort(list(step_proxy)) AS lt, list_sort(list(rotation_delta)) AS lr,
+          list_sort(list(flow_mag)) AS lf FROM frames_v GROUP BY video_id),
+        ends AS (SELECT *, lt[CAST(floor(h) AS BIGINT) + 1] AS t0, lt[CAST(ceil(h) AS BIGINT) + 1] AS t1, lr[CAST(floor(h) AS BIGINT) + 1] AS r0,
+          lr[CAST(ceil(h) AS BIGINT) + 1] AS r1, lf[CAST(floor(h) AS BIGINT) + 1] AS f0, lf[CAST(ceil(h) AS BIGINT) + 1] AS f1 FROM o),
+        th AS (SELECT video_id, CASE WHEN floor(h) = ceil(h) OR t0 = t1 THEN t0 ELSE (ceil(h) - h) * t0 + (h - floor(h)) * t1 END AS tt,
+          CASE WHEN floor(h) = ceil(h) OR r0 = r1 THEN r0 ELSE (ceil(h) - h) * r0 + (h - floor(h)) * r1 END AS tr,
+          CASE WHEN floor(h) = ceil(h) OR f0 = f1 THEN f0 ELSE (ceil(h) - h) * f0 + (h - floor(h)) * f1 END AS tf FROM ends),
         m AS (SELECT f.video_id, frame_index,
           match_count >= 10 AND step_proxy <= tt AND rotation_delta <= tr AND flow_mag <= tf AS go_in,
           match_count >= 10 AND step_proxy <= tt * 1.25 AND rotation_delta <= tr * 1.25 AND flow_mag <= tf * 1.25 AS stay

@@ -26,7 +26,8 @@ def exact_percentiles(
     """One row per key: ``<column>_n`` and ``<column>_p<i>`` for the i-th probability.
 
     Percentiles interpolate linearly between order statistics and see finite values only; they are null where a key
-    has none. Groups of up to ``small`` rows are aggregated at once, larger ones are narrowed.
+    has none. At a position h between the whole positions a and b they are (b - h) * v[a] + (h - a) * v[b], or v[a] if the two
+    are equal. Groups of up to ``small`` rows are aggregated at once, larger ones are narrowed.
     """
     keys, columns, probs = list(keys), list(columns), [float(p) for p in probs]
     values = df.select(*keys, *[finite(F.col(c).cast("double")).alias(c) for c in columns])
@@ -98,8 +99,10 @@ def _narrowed(values: DataFrame, keys: list[str], columns: list[str], probs: lis
         inside = F.when(F.col("lo") < F.col("hi"), F.get("list", place.cast("int"))).otherwise(F.col("lo"))
         return F.when(place < F.col("held"), inside).otherwise(F.col("beyond"))
 
+    # The terms of the built-in aggregate, so that the size of a group decides nothing, not even the last bit.
     low, high = at(F.floor("h")), at(F.ceil("h"))
-    value = settled.withColumn("value", low + (high - low) * (F.col("h") - F.floor("h")))
+    between = (F.ceil("h") - F.col("h")) * low + (F.col("h") - F.floor("h")) * high
+    value = settled.withColumn("value", F.when((F.floor("h") == F.ceil("h")) | (low == high), low).otherwise(between))
     here = lambda c, i: (F.col("column") == c) & (F.col("prob") == i)
     got = value.groupBy(*keys).agg(
         *[F.max(F.when(F.col("column") == c, F.col("n"))).alias(f"_{c}_n") for c in columns],

@@ -423,3 +423,11 @@ def test_rows_without_key_are_a_sequence_of_their_own(spark):
     key = lambda r: (r[0] is not None, r[0] or 0)
     assert sorted(map(tuple, few.collect()), key=key) == sorted(map(tuple, many.collect()), key=key)
     assert few.count() == 4
+
+
+def test_percentiles_are_the_same_bits_for_small_and_large_groups(spark):
+    values = np.round(np.random.default_rng(3).uniform(0, 40, 3000), 1)
+    df = spark.createDataFrame(pd.DataFrame({"k": np.arange(3000) % 40, "v": values}))
+    probs = [0.1, 0.37, 0.6, 0.95]
+    rows = lambda small: sorted(tuple(r) for r in exact_percentiles(df, ["k"], ["v"], probs, small=small).collect())
+    assert rows(10) == rows(100_000)
