@@ -1,6 +1,7 @@
 """Incremental forms of the batch operators.
 
-State is kept per video. Rows of a micro-batch are taken in frame order; a row at
+State is kept per video, in a fixed number of entries that videos share by hash, so a checkpoint of an entry per video
+can't be continued. Rows of a micro-batch are taken in frame order; a row at
 or before the last frame seen is late: it leaves the state alone and comes out
 with ``is_late`` set. State of a video without new rows is dropped after
 ``idle_ms`` of processing time.
@@ -9,6 +10,7 @@ with ``is_late`` set. State of a video without new rows is dropped after
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -20,6 +22,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from reelframe.operators.quality import quality_gate
 
 IDLE_MS = 3_600_000
+BUCKETS = 1024
 Fold = Callable[[dict, tuple], tuple]
 
 
@@ -41,40 +44,67 @@ def _fold(
 ) -> DataFrame:
     """Run ``step(state, row) -> output`` over the rows of each video, in frame order.
 
-    ``row`` is (index, *columns); the state is a small JSON object.
+    ``row`` is (index, *columns); the state is a small JSON object. Videos share ``BUCKETS`` state entries by hash, as an
+    entry costs more than the rows of a short video; each video keeps a state and a timeout of its own in there.
     """
     keys = list(keys)
     types = {f.name: f.dataType.simpleString() for f in frames.schema}
-    ddl = ", ".join(f"`{k}` {types[k]}" for k in [*keys, index]) + f", {fields}, is_late boolean"
-    names = [*keys, index, *[f.strip().split(" ")[0] for f in fields.split(", ")], "is_late"]
-    width = len(names) - len(keys) - 2
+    # Integers go as text, since pandas turns them into floating point where a null is among them.
+    sent = {k: "string" if types[k] in ("tinyint", "smallint", "int", "bigint") else types[k] for k in keys}
+    ddl = ", ".join(f"`{k}` {t}" for k, t in {**sent, index: types[index]}.items()) + f", {fields}, is_late boolean"
+    names = [index, *[f.strip().split(" ")[0] for f in fields.split(", ")], "is_late"]
+    width = len(names) - 2
     timeout = GroupStateTimeout.NoTimeout if event_time is None else GroupStateTimeout.EventTimeTimeout
-    taken = [*keys, index, *columns] + ([event_time] if event_time and event_time not in columns else [])
+    taken = [index, *columns] + ([event_time] if event_time and event_time not in columns else [])
+
+    def keep(videos: dict, state: GroupState) -> None:
+        """Drop the videos whose time is over and store the others."""
+        if event_time is not None:
+            now = state.getCurrentWatermarkMs()
+            videos = {name: memory for name, memory in videos.items() if memory["until"] > now}
+        if not videos:
+            state.remove()
+            return
+        state.update((json.dumps(videos),))
+        if event_time is not None:
+            state.setTimeoutTimestamp(min(memory["until"] for memory in videos.values()))
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        videos = json.loads(state.get[0]) if state.exists else {}
         if state.hasTimedOut:
-            state.remove()
+            keep(videos, state)
             return
-        memory = json.loads(state.get[0]) if state.exists else {"last": None, **start()}
-        rows = pd.concat(list(batches)).sort_values(index)
-        out = []
-        for row in rows[[index, *columns]].itertuples(index=False, name=None):
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(["_video", index], ignore_index=True, kind="stable")
+        # Videos are many and short, so a row costs plain Python values only.
+        out, name, memory = [], None, {}
+        for video, *row in zip(rows["_video"].tolist(), *[rows[c].tolist() for c in (index, *columns)], strict=True):
+            if video != name:
+                name, memory = video, videos.setdefault(video, None) or {"last": None, **start()}
+                videos[video] = memory
             if memory["last"] is not None and row[0] <= memory["last"]:
-                out.append([*key, row[0], *[None] * width, True])
+                out.append((*[None] * width, True))
                 continue
-            out.append([*key, row[0], *step(memory, row), False])
+            out.append((*step(memory, tuple(row)), False))
             memory["last"] = int(row[0])
-        state.update((json.dumps(memory),))
         if event_time is not None:
-            latest = int(rows[event_time].max().timestamp() * 1000)
-            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle_ms)
-        yield pd.DataFrame(out, columns=names)
-
-    return (
-        frames.select(*taken)
-        .groupBy(*keys)
+            now = state.getCurrentWatermarkMs()
+            for video, latest in rows.groupby("_video")[event_time].max().items():
+                videos[video]["until"] = max(int(latest.timestamp() * 1000), now) + idle_ms
+        keep(videos, state)
+        made = dict(zip(names, [rows[index], *map(list, zip(*out, strict=True))], strict=True))
+        yield pd.DataFrame({k: rows[k] for k in keys} | made)
+
+    done = (
+        frames.select(
+            *[F.col(k).cast(t).alias(k) for k, t in sent.items()],
+            *taken,
+            F.to_json(F.struct(*keys)).alias("_video"),
+            F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("_bucket"),
+        )
+        .groupBy("_bucket")
         .applyInPandasWithState(advance, ddl, "memory string", "append", timeout)
     )
+    return done.select(*[F.col(k).cast(types[k]).alias(k) for k in keys], *names)
 
 
 def stream_events(
@@ -112,9 +142,26 @@ def stream_events(
     )
 
 
-def _compose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    w, v, x, u = a[0], a[1:], b[0], b[1:]
-    return np.array([w * x - v @ u, *(w * u + x * v + np.cross(v, u))])
+Vector = Sequence[float]
+
+
+def _compose(a: Vector, b: Vector) -> list[float]:
+    w1, x1, y1, z1 = a
+    w2, x2, y2, z2 = b
+    return [
+        w1 * w2 - x1 * x2 - y1 * y2 - z1 * z2,
+        w1 * x2 + x1 * w2 + y1 * z2 - z1 * y2,
+        w1 * y2 - x1 * z2 + y1 * w2 + z1 * x2,
+        w1 * z2 + x1 * y2 - y1 * x2 + z1 * w2,
+    ]
+
+
+def _cross(a: Vector, b: Vector) -> list[float]:
+    return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+
+
+def _floats(v) -> list[float]:
+    return np.asarray(v, float).tolist()
 
 
 def stream_trajectory(
@@ -133,21 +180,24 @@ def stream_trajectory(
 
     def step(memory: dict, row: tuple) -> tuple:
         _, valid, q, t, size, median = row
-        turn, place = np.array(memory["turn"]), np.array(memory["place"])
+        turn, place = memory["turn"], memory["place"]
         if valid:
-            q, t = np.asarray(q, float), np.asarray(t, float)
-            n, length = np.linalg.norm(q), np.linalg.norm(t)
+            q, t = _floats(q), _floats(t)
+            n, length = math.hypot(*q), math.hypot(*t)
             if n > 1e-12:
-                turn = _compose(turn, q / n)
-                turn = turn / np.linalg.norm(turn)
+                turn = _compose(turn, [v / n for v in q])
+                n = math.hypot(*turn)
+                turn = [v / n for v in turn]
             if length > 1e-12:
-                d = t_sign * max(0.0, size) / median * t / length
-                axis = 2.0 * np.cross(turn[1:], d)
-                place = place + d + turn[0] * axis + np.cross(turn[1:], axis)
-        memory["turn"], memory["place"] = turn.tolist(), place.tolist()
+                far = t_sign * max(0.0, size) / median / length
+                d = [far * v for v in t]
+                axis = [2.0 * v for v in _cross(turn[1:], d)]
+                off = _cross(turn[1:], axis)
+                place = [p + v + turn[0] * a + o for p, v, a, o in zip(place, d, axis, off, strict=True)]
+        memory["turn"], memory["place"] = turn, place
         if memory["origin"] is None:
-            memory["origin"] = memory["place"]
-        return tuple(float(v) for v in place - np.array(memory["origin"]))
+            memory["origin"] = place
+        return tuple(p - o for p, o in zip(place, memory["origin"], strict=True))
 
     return _fold(
         frames,

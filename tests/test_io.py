@@ -177,3 +177,30 @@ def test_top_k_is_trimmed_before_the_shuffle(spark):
     out = limit_top_k(df, ["video_id"], 2)
     assert out.count() == 6
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_streamed_videos_share_state_entries(spark, tmp_path, monkeypatch):
+    from reelframe.streaming import jobs
+
+    monkeypatch.setattr(jobs, "BUCKETS", 3)
+    videos = [None, 2**60 + 1, 2**60 + 3, *range(20)]
+    frames = [(v, i, 0.1 * ((i * 7 + (v or 5)) % 10), float((i + (v or 1)) % 20)) for v in videos for i in range(12)]
+    schema = "video_id long, frame_index long, brightness double, match_count double"
+    entries, found = [], []
+    for part in (frames[::2], frames[1::2]):  # the odd frames of a video come late but for the last
+        spark.createDataFrame(part, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        out = jobs.stream_events(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), window=3, threshold=10.0)
+        query = out.writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).format("parquet").start(str(tmp_path / "rows"))
+        query.awaitTermination()
+        entries += [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    found = {(r.video_id, r.frame_index): r for r in spark.read.schema(out.schema).parquet(str(tmp_path / "rows")).collect()}
+    assert max(entries) <= 3 and len(found) == len(frames)
+    for v in videos:
+        known = {i: (b, m) for w, i, b, m in frames if w == v}
+        taken = [0, 2, 4, 6, 8, 10, 11]
+        for n, i in enumerate(taken):
+            jump = n > 0 and abs(known[i][0] - known[taken[n - 1]][0]) > 0.3
+            rescue = n >= 2 and sum(known[j][1] for j in taken[n - 2 : n + 1]) / 3 < 10.0
+            got = found[v, i]
+            assert (got.exposure_changed, got.is_rescue_mode, got.is_late) == (jump, rescue, False)
+        assert all(found[v, i].is_late for i in (1, 3, 5, 7, 9))
