@@ -190,6 +190,39 @@ def test_near_duplicates_of_repeated_and_missing_ids(spark):
     assert ngram_join.linked_components(docs.limit(0)).collect() == []
 
 
+def test_pairs_of_near_copies_are_made_about_once(spark, monkeypatch):
+    """30 near copies share some 20 of their rarest n-grams; a join on each of these made 20 rows a pair."""
+    base = [f"w{i}" for i in range(200)]
+    rows = [(k, " ".join(base[: 6 * k] + [f"only{k}"] + base[6 * k + 1 :]), None, None) for k in range(30)]
+    rows += [(100 + k, " ".join(f"other{k}x{i % 90}" for i in range(120)), None, None) for k in range(20)]
+    made, ordered = [], ngram_join._ordered
+    monkeypatch.setattr(ngram_join, "_ordered", lambda pairs: made.append(pairs.count()) or ordered(pairs))
+    monkeypatch.setattr(ngram_join, "MAX_HUB_ROUNDS", 0)
+    got = dict((r.doc_id, r.component_id) for r in ngram_join.linked_components(documents(spark, rows), 3, 90).collect())
+    assert got == {i: 0 if i < 30 else i for i, *_ in rows}
+    assert len(made) == 1 and 29 <= made[0] <= 3 * 435
+
+
+@pytest.mark.parametrize("rounds", [0, 8])
+def test_links_at_any_order_of_ngrams(spark, monkeypatch, rounds):
+    """Lists of the same members, short prefixes of preceding n-grams and repeated ids lose no link."""
+    rng = random.Random(31)
+    rows = []
+    for group in range(12):
+        text = [rng.choice(["a", "b", f"g{group}w{i}", f"w{rng.randrange(60)}"]) for i in range(rng.randrange(20, 90))]
+        for _ in range(9):
+            mine = list(text)
+            for _ in range(rng.randrange(4)):
+                mine[rng.randrange(len(mine))] = f"new{rng.randrange(40)}"
+            rows.append((len(rows), " ".join(mine)))
+    rows += [(3, rows[40][1]), (50, rows[70][1])]
+    monkeypatch.setattr(ngram_join, "MAX_HUB_ROUNDS", rounds)
+    monkeypatch.setattr(ngram_join, "PRECEDING", 2, raising=False)
+    for n, percent in ((3, 90), (2, 70)):
+        got = ngram_join.linked_components(documents(spark, [(i, t, None, None) for i, t in rows]), n, percent)
+        assert sorted(map(tuple, got.collect())) == plain_components(rows, n, percent)
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(300, 200), (200, 250)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
