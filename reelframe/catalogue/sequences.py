@@ -710,6 +710,5 @@ def _consecutive_pairs(spark, sf):
 )
 def _band_pairs(spark, sf):
     df = written_table(V.scan(spark, sf).select(*KEYS, "frame_index", "flow_mag"), "frames")
-    pairs = P.band_pairs(df, KEYS, nearest=2, furthest=6)
-    ref = df.select(*KEYS, F.col("frame_index").alias("ref_index"), F.col("flow_mag").alias("ref_flow"))
-    return pairs.join(ref, [*KEYS, "ref_index"]).withColumn("change", F.abs(F.col("flow_mag") - F.col("ref_flow")))
+    pairs = P.band_pairs(df, KEYS, nearest=2, furthest=6, ref_columns={"flow_mag": "ref_flow"})
+    return pairs.withColumn("change", F.abs(F.col("flow_mag") - F.col("ref_flow")))

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from reelframe.operators import pairs as P
 from reelframe.operators import motion, nearest, selection, stationary, trajectory
 from reelframe.operators.quality import percentile_bounds, quality_gate
 from reelframe.plans import blocks as B
@@ -431,3 +432,12 @@ def test_percentiles_are_the_same_bits_for_small_and_large_groups(spark):
     probs = [0.1, 0.37, 0.6, 0.95]
     rows = lambda small: sorted(tuple(r) for r in exact_percentiles(df, ["k"], ["v"], probs, small=small).collect())
     assert rows(10) == rows(100_000)
+
+
+def test_band_pairs_carry_columns_of_the_earlier_frame(spark):
+    rows = [(v, i, float(i * i + v)) for v in (1, 2) for i in range(25) if i % 4]
+    df = spark.createDataFrame(rows, "video_id long, frame_index long, x double")
+    pairs = P.band_pairs(df, ["video_id"], nearest=2, furthest=6, ref_columns={"x": "ref_x"})
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    want = {(v, a, b, y, x) for v, a, x in rows for u, b, y in rows if v == u and 2 <= b - a <= 6}
+    assert {(r.video_id, r.ref_index, r.frame_index, r.x, r.ref_x) for r in pairs.collect()} == want
