@@ -203,6 +203,22 @@ def test_pairs_of_near_copies_are_made_about_once(spark, monkeypatch):
     assert len(made) == 1 and 29 <= made[0] <= 3 * 435
 
 
+@pytest.mark.parametrize("n, percent, vocabulary", [(3, 90, 24), (5, 80, 6)])
+def test_long_unrelated_texts_are_not_verified(spark, monkeypatch, n, percent, vocabulary):
+    """All pairs of long texts that share a few n-grams were verified on whole texts."""
+    rng = random.Random(n)
+    rows = [(k, " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(6000))) for k in range(12)]
+    close = rows[3][1].split()
+    close[100:110] = ["new"] * 10
+    rows += [(20, " ".join(close)), (21, rows[5][1]), (21, rows[7][1])]
+    tested, verified = [], ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda pairs, *more: tested.append(pairs.count()) or verified(pairs, *more))
+    monkeypatch.setattr(ngram_join, "MAX_HUB_ROUNDS", 0)
+    got = ngram_join.linked_components(documents(spark, [(i, t, None, None) for i, t in rows]), n, percent)
+    assert sorted(map(tuple, got.collect())) == plain_components(rows, n, percent)
+    assert sum(tested) <= 30
+
+
 @pytest.mark.parametrize("rounds", [0, 8])
 def test_links_at_any_order_of_ngrams(spark, monkeypatch, rounds):
     """Lists of the same members, short prefixes of preceding n-grams and repeated ids lose no link."""
