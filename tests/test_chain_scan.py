@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark import AccumulatorParam, TaskContext
 
 from reelframe.operators.chain_scan import ChainRules, keyframe_scan
 
@@ -126,3 +127,48 @@ def test_empty_and_single(spark):
     df = spark.createDataFrame(pdf, "video_id long, frame_index long, brightness double, content double, noise double, other string")
     assert len(scanned(df, similar_only, RULES[0])) == 1
     assert scanned(df.limit(0), similar_only, RULES[0]) == []
+
+
+@pytest.mark.parametrize("k, task_rows", [(0, 64), (1, 256), (2, 64), (3, 512)])
+def test_equals_loop_over_several_stretches(spark, k, task_rows):
+    rules, with_matches = RULES[k], k >= 2
+    pdf = make(20 + k)
+    df = spark.createDataFrame(pdf.sample(frac=1, random_state=k), "video_id long, frame_index long, brightness double, content double, noise double, other string")
+    want, _ = loop(pdf, rules, with_matches)
+    assert scanned(df, compared if with_matches else similar_only, rules, span=16, task_rows=task_rows) == want
+
+
+def test_small_blocks_of_a_stretch_are_scanned_about_once(spark):
+    """Blocks behind the first of a stretch are entered with what leaves the one before, so most starts are not scanned."""
+    pdf = make(5, hot=3000, videos=1).assign(video_id=1)
+    df = spark.createDataFrame(pdf)
+    count = spark.sparkContext.accumulator(0)
+
+    def counted(ref, rows):
+        count.add(len(rows["idx"]))
+        return similar_only(ref, rows)
+
+    rules = ChainRules(min_interval=3)
+    want, met = loop(pdf, rules, False)
+    assert scanned(df, counted, rules, span=48, lookahead=1) == want and met <= count.value <= 2 * met
+
+
+class _Union(AccumulatorParam):
+    def zero(self, value):
+        return set()
+
+    def addInPlace(self, a, b):
+        return a | b
+
+
+def test_short_videos_spread_over_tasks(spark):
+    """Few bytes take long to scan, so partitions must not be merged by their size."""
+    pdf = pd.concat([make(v, hot=60, videos=1).assign(video_id=v) for v in range(40)])
+    places = spark.sparkContext.accumulator(set(), _Union())
+
+    def placed(ref, rows):
+        places.add({TaskContext.get().partitionId()})
+        return similar_only(ref, rows)
+
+    assert scanned(spark.createDataFrame(pdf), placed, RULES[0], span=48)
+    assert len(places.value) > 4
