@@ -15,6 +15,7 @@ from reelframe.plans.blocks import (
     BLOCK_ROWS,
     along,
     attach,
+    in_tasks,
     index_block,
     last_known,
     previous,
@@ -22,7 +23,6 @@ from reelframe.plans.blocks import (
     running_sum,
     total,
     total_first,
-    with_tasks,
 )
 from reelframe.plans.percentiles import exact_percentiles
 from reelframe.session import written_table
@@ -228,16 +228,11 @@ def integrate_trajectory(
         out["q_wxyz"] = list(_canonical(_unit_rows(_quat_mul(start, turn))))
         return out[[*keys, "_at", "t_xyz", "q_wxyz", "step_norm"]]
 
-    blocks = with_tasks(steps, piece).groupBy("_task").applyInPandas(reduce_block, f"{key_ddl}, _block bigint, {pose_ddl}")
+    blocks = in_tasks(steps, piece).applyInPandas(reduce_block, f"{key_ddl}, _block bigint, {pose_ddl}")
     blocks = written_table(blocks, "block-motions")
-    starts = with_tasks(blocks, keys).groupBy("_task").applyInPandas(chain_blocks, f"{key_ddl}, _block bigint, {pose_ddl}")
-    poses = (
-        with_tasks(steps, piece)
-        .join(starts, piece)
-        .groupBy("_task")
-        .applyInPandas(
-            finish_block, f"{key_ddl}, _at bigint, t_xyz array<double>, q_wxyz array<double>, step_norm double"
-        )
+    starts = in_tasks(blocks, keys).applyInPandas(chain_blocks, f"{key_ddl}, _block bigint, {pose_ddl}")
+    poses = in_tasks(steps.join(starts, piece), piece, size=steps.count()).applyInPandas(
+        finish_block, f"{key_ddl}, _at bigint, t_xyz array<double>, q_wxyz array<double>, step_norm double"
     )
     return poses.withColumnRenamed("_at", order)
 

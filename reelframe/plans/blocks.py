@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from reelframe.functions.common import col
@@ -271,16 +271,19 @@ def with_halo(
 TASK_ROWS = 1 << 18
 
 
-def with_tasks(df: DataFrame, unit: Sequence[str], rows: int = TASK_ROWS) -> DataFrame:
-    """Add ``_task``: units (such as key and block) hashed into groups of about ``rows`` rows.
+def in_tasks(df: DataFrame, unit: Sequence[str], *, size: int | None = None, rows: int = TASK_ROWS // 4) -> GroupedData:
+    """Group by ``_task``: units (such as key and block) hashed into groups of about ``rows`` rows.
 
     A Python call per unit would cost more than the work on short videos, so a
     call handles many of them. Units are never split, and each is bounded by its
-    block, which bounds the groups. Counts ``df`` first; pass a written table.
+    block, which bounds the groups. The number of partitions is given, as Spark would merge
+    them by their bytes, which say little about the work. ``size`` is the number of rows; without
+    it ``df`` is counted, so pass a written table.
     """
-    tasks = max(1, -(-df.count() // rows))
-    tasks = max(tasks, min(df.sparkSession.sparkContext.defaultParallelism, 64))
-    return df.withColumn("_task", F.pmod(F.xxhash64(*unit), F.lit(tasks)))
+    tasks = -(-(df.count() if size is None else size) // rows)
+    tasks = max(tasks, 2 * min(df.sparkSession.sparkContext.defaultParallelism, 64))
+    placed = df.withColumn("_task", F.pmod(F.xxhash64(*unit), F.lit(tasks)))
+    return placed.repartition(tasks, "_task").groupBy("_task")
 
 
 def halo_window(keys: Sequence[str], index: str) -> Window:

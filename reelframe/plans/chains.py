@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.plans.blocks import BLOCK_ROWS, assign_index, index_block, join_same, with_tasks
+from reelframe.plans.blocks import BLOCK_ROWS, assign_index, in_tasks, index_block, join_same
 from reelframe.session import written_table
 
 FOLD_ROWS = 1 << 20
@@ -86,8 +86,7 @@ def follow_chain(nodes: DataFrame, keys: Sequence[str], span: int = BLOCK_ROWS)
     cols = [*keys, "idx", "next_idx", "is_start", "is_entry"]
     block = [*keys, "_block"]
     links = (
-        with_tasks(written_table(flagged, "chain-flagged"), block)
-        .groupBy("_task")
+        in_tasks(written_table(flagged, "chain-flagged"), block)
         .applyInPandas(
             lambda pdf: _exits(pdf, block)[cols],
             f"{key_ddl}, idx bigint, next_idx bigint, is_start boolean, is_entry boolean",
@@ -99,54 +98,69 @@ def follow_chain(nodes: DataFrame, keys: Sequence[str], span: int = BLOCK_ROWS)
     out_cols = [*keys, "idx"]
     if widest <= FOLD_ROWS:
         reached = (
-            with_tasks(links, keys)
-            .groupBy("_task")
+            in_tasks(links, keys)
             .applyInPandas(lambda pdf: _walk(pdf, keys)[out_cols], f"{key_ddl}, idx bigint")
         )
     else:
         reached = follow_chain(links, keys, span * BLOCKS_PER_LEVEL)
-    started = with_tasks(nodes, block).join(reached.withColumn("_hit", F.lit(True)), [*keys, "idx"], "left").withColumn(
+    started = nodes.join(reached.withColumn("_hit", F.lit(True)), [*keys, "idx"], "left").withColumn(
         "is_start", F.col("is_start") | F.col("_hit").isNotNull()
     )
     return (
-        started.drop("_hit")
-        .groupBy("_task")
+        in_tasks(started.drop("_hit"), block, size=nodes.count())
         .applyInPandas(lambda pdf: _walk(pdf, block)[out_cols], f"{key_ddl}, idx bigint")
     )
 
 
-def _suppress_block(pdf: pd.DataFrame, window: float) -> pd.DataFrame:
-    """Decide every own row whose outcome does not hang on rows outside the block.
+def _near(t: np.ndarray, code: np.ndarray, window: float) -> tuple[np.ndarray, np.ndarray]:
+    """Range of the rows of the same unit less than ``window`` away; rows are in order of unit and time."""
+    low, high = np.empty(len(t), np.int64), np.empty(len(t), np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(t)]
+    for a, z in zip(edges, edges[1:]):
+        low[a:z] = a + np.searchsorted(t[a:z], t[a:z] - window - 1e-9)
+        high[a:z] = a + np.searchsorted(t[a:z], t[a:z] + window + 1e-9, side="right")
+    for border, step in ((low, 1), (high, -1)):
+        open_ = np.flatnonzero(low < high)
+        while open_.size:
+            row = border[open_] - (step < 0)
+            open_ = open_[~(np.abs(t[row] - t[open_]) < window)]
+            border[open_] += step
+            open_ = open_[low[open_] < high[open_]]
+    return low, high
+
+
+def _suppress_blocks(pdf: pd.DataFrame, unit: Sequence[str], window: float) -> pd.DataFrame:
+    """Decide in each unit every own row whose outcome does not hang on rows outside the unit.
 
     Rows with ``kept`` set were decided earlier; they only remove rows near them. Returns newly kept and open rows.
     """
-    pdf = pdf.sort_values(["t", "idx"], ignore_index=True)
-    t = pdf["t"].to_numpy(float)
+    code = pdf.groupby(list(unit), sort=False, dropna=False).ngroup().to_numpy(np.int64)
+    order = np.lexsort((pdf["idx"].to_numpy(), pdf["t"].to_numpy(float), code))
+    pdf, code = pdf.iloc[order].reset_index(drop=True), code[order]
     own = (pdf["_home"] == pdf["_block"]).to_numpy(bool)
     before = pdf["kept"].to_numpy(bool)
-    kept = before.copy()
-    gone = np.zeros(len(t), dtype=bool)
-    doubt = np.zeros(len(t), dtype=bool)
-    first = np.searchsorted(t, t - window - 1e-9)
-    last = np.searchsorted(t, t + window + 1e-9, side="right")
-
-    def near(i: int) -> np.ndarray:
-        rows = np.arange(first[i], last[i])
-        return rows[np.abs(t[rows] - t[i]) < window]
-
-    for i in np.flatnonzero(kept):
-        gone[near(i)] = True
-    gone[kept] = False
-    for i in np.lexsort((pdf["idx"].to_numpy(), -pdf["score"].to_numpy(float))):
+    low, high = (e.tolist() for e in _near(pdf["t"].to_numpy(float), code, window))
+    kept, gone, doubt = bytearray(before.tobytes()), bytearray(len(pdf)), bytearray(len(pdf))
+
+    def mark(flags: bytearray, i: int) -> None:
+        if high[i] > low[i]:
+            flags[low[i] : high[i]] = b"\x01" * (high[i] - low[i])
+
+    for i in np.flatnonzero(before).tolist():
+        mark(gone, i)
+    for i in np.flatnonzero(before).tolist():
+        gone[i] = 0
+    mine = own.tolist()
+    for i in np.lexsort((pdf["idx"].to_numpy(), -pdf["score"].to_numpy(float))).tolist():
         if kept[i] or gone[i]:
             continue
-        if own[i] and not doubt[i]:
-            gone[near(i)] = True
-            gone[i], kept[i] = False, True
+        if mine[i] and not doubt[i]:
+            mark(gone, i)
+            gone[i], kept[i] = 0, 1
         else:
-            doubt[near(i)] = True
-    pdf["kept"] = kept
-    return pdf[own & ~gone & ~before]
+            mark(doubt, i)
+    pdf["kept"] = np.frombuffer(bytes(kept), dtype=bool)
+    return pdf[own & ~np.frombuffer(bytes(gone), dtype=bool) & ~before]
 
 
 def _highest(rank: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -218,6 +232,10 @@ def _pointers_block(pdf: pd.DataFrame, window: float) -> pd.DataFrame:
     return out[(pdf["_home"] == pdf["_block"]).to_numpy(bool)]
 
 
+def _pointers_blocks(pdf: pd.DataFrame, unit: Sequence[str], window: float) -> pd.DataFrame:
+    return pd.concat([_pointers_block(part, window) for _, part in pdf.groupby(list(unit), sort=False, dropna=False)])
+
+
 def _chained(pointers: DataFrame, keys: Sequence[str], starts: DataFrame, side: str, span: int) -> DataFrame:
     """Rows that are kept because ``starts`` are, following climbs to one side. Two nodes a row: climbing at it, kept."""
     last = pointers.agg(F.max("pos")).first()[0] or 0  # to the left, positions count from the end
@@ -272,17 +290,14 @@ def greedy_suppress(
     def in_blocks(rows: DataFrame, halo: float, shift: float, work, out: list[str], out_ddl: str, name: str) -> DataFrame:
         placed = written_table(_spread(rows, length, halo, shift), f"{name}-placed")
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.concat([work(part, window) for _, part in pdf.groupby(unit, sort=False, dropna=False)])[out]
-
-        return written_table(with_tasks(placed, unit).groupBy("_task").applyInPandas(run, out_ddl), name)
+        return written_table(in_tasks(placed, unit).applyInPandas(lambda pdf: work(pdf, unit, window)[out], out_ddl), name)
 
     results: list[DataFrame] = []
     pointed = ["pos", "is_start", "climb_left", "begin_left", "climb_right", "begin_right"]
     pointed_ddl = f"{ddl}, pos bigint, is_start boolean, climb_left bigint, begin_left bigint, climb_right bigint, begin_right bigint"
     turn = 0
     while True:
-        decided = in_blocks(live, window + 1e-6, length / 2 if turn % 2 else 0.0, _suppress_block, cols, ddl, "suppress")
+        decided = in_blocks(live, window + 1e-6, length / 2 if turn % 2 else 0.0, _suppress_blocks, cols, ddl, "suppress")
         fresh, still = decided.where("kept"), decided.where("NOT kept")
         results.append(fresh.select(*keys, "idx"))
         turn += 1
@@ -294,7 +309,7 @@ def greedy_suppress(
         if turn < 2:
             continue
         numbered = assign_index(decided, keys, ["t", "idx"], "pos")
-        pointers = in_blocks(numbered, 3 * window + 1e-6, 0.0, _pointers_block, [*cols, *pointed], pointed_ddl, "suppress-pointers")
+        pointers = in_blocks(numbered, 3 * window + 1e-6, 0.0, _pointers_blocks, [*cols, *pointed], pointed_ddl, "suppress-pointers")
         begun = pointers.where("is_start").select(*keys, "pos")
         to_left = written_table(_chained(pointers, keys, begun, "left", span), "suppress-left")
         chain = written_table(begun.unionByName(to_left).distinct(), "suppress-chain")

@@ -441,3 +441,40 @@ def test_band_pairs_carry_columns_of_the_earlier_frame(spark):
     assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
     want = {(v, a, b, y, x) for v, a, x in rows for u, b, y in rows if v == u and 2 <= b - a <= 6}
     assert {(r.video_id, r.ref_index, r.frame_index, r.x, r.ref_x) for r in pairs.collect()} == want
+
+
+def test_task_groups_keep_their_partitions(spark):
+    """Groups of few bytes may be long work, so they are not merged into one partition by their size."""
+    from pyspark import TaskContext
+    from reelframe.plans.blocks import in_tasks
+
+    df = spark.range(4000).withColumn("video_id", F.col("id") % 500)
+
+    def place(pdf):
+        return pd.DataFrame({"place": [TaskContext.get().partitionId()], "rows": [len(pdf)]})
+
+    found = in_tasks(df, ["video_id"], rows=100).applyInPandas(place, "place int, rows long").collect()
+    assert sum(r["rows"] for r in found) == 4000 and len({r["place"] for r in found}) > 8
+    assert max(r["rows"] for r in found) < 400
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_suppression_of_many_units_in_one_call(seed):
+    """Units of a call don't touch one another, whatever their times; ties, null times and rows kept before included."""
+    from reelframe.plans.chains import _suppress_blocks
+
+    rng = np.random.default_rng(seed)
+    n, window = 200, 1.0
+    t = np.round(rng.random(n) * 20, 1)
+    t[:3] = np.nan
+    rows = pd.DataFrame({"video_id": rng.choice([1.0, 2.0, np.nan], n), "_block": 0, "_home": 0, "idx": rng.permutation(n), "t": t})
+    rows["score"], rows["kept"] = np.round(rng.random(n), 1), False
+    want = []
+    for _, part in rows.groupby("video_id", dropna=False):
+        taken = []
+        for r in part.sort_values(["score", "idx"], ascending=[False, True]).itertuples():
+            if all(not abs(r.t - k) < window for k in taken):
+                taken.append(r.t)
+                want.append(r.idx)
+    got = _suppress_blocks(rows, ["video_id", "_block"], window)
+    assert sorted(got["idx"]) == sorted(want) and got["kept"].all()
