@@ -144,7 +144,7 @@ def _grow(leaves: DataFrame, fan: int, height: int) -> tuple[list[DataFrame], Da
         )
         blocks = written_table(blocks, "merkle-blocks")
         last = blocks.groupBy("tree").agg(F.max("block").alias("last"))
-        blocks = attach(blocks, last, ["tree"], F.col("block"))
+        blocks = attach(blocks, last, ["tree"], F.col("block"), hot_rows=0)
         roots.append(blocks.where("last = 0").select("tree", F.col("ended").alias("digest"), F.lit(len(tiers) - 1).alias("tier")))
         nodes = written_table(blocks.where("last > 0").select("tree", F.col("block").alias("pos"), F.col("whole").alias("digest")), "merkle-nodes")
         if nodes.isEmpty():

@@ -291,7 +291,7 @@ def near_words(words: DataFrame, shortest: int = 1, tile: int = TILE) -> DataFra
         F.sequence(F.lit(0).cast("bigint"), F.col("last")),
         lambda other: F.struct(F.least(other, F.col("block")).alias("tile_a"), F.greatest(other, F.col("block")).alias("tile_b")),
     )
-    tiled = attach(numbered.withColumn("block", block), blocks, ["slot", "key"], F.col("pos"))
+    tiled = attach(numbered.withColumn("block", block), blocks, ["slot", "key"], F.col("pos"), hot_rows=0)
     tiled = tiled.withColumn("tile", F.explode(pairs)).select("slot", "key", "word", "n", "block", "tile.*")
     across = tiled.groupBy("slot", "key", "tile_a", "tile_b").applyInPandas(_tile, "word string, n_near bigint, form_n bigint, form string")
     inside = found.where("slot IS NULL").select("word", "n_near", "form_n", "form")

@@ -294,15 +294,33 @@ def own_rows(df: DataFrame) -> DataFrame:
     return df.filter(F.col("_home") == F.col("_block")).drop("_home", "_block")
 
 
+#: Rows from which on a key is spread over several copies of what is attached to it.
+HOT_ROWS = 1 << 16
+
+
 def attach(
-    df: DataFrame, per_key: DataFrame, keys: Sequence[str], spread: Column, *, how: str = "left", copies: int = 32
+    df: DataFrame, per_key: DataFrame, keys: Sequence[str], spread: Column, *, how: str = "left", copies: int = 32, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Join one row per key to many rows, spreading each key over ``copies`` tasks.
+    """Join one row per key to many rows, spreading each key of more than ``hot_rows`` rows over ``copies`` tasks.
 
-    ``spread`` is any column that varies inside a key, such as the frame index.
-    Spark still broadcasts ``per_key`` when its measured size is small enough.
+    ``spread`` is any column that varies inside a key, such as the frame index. Only such keys
+    are copied, of which there are few, as copies of all keys would outgrow the rows on short videos; their rows are
+    counted first (with ``hot_rows`` 0 every key is copied, uncounted). Spark still broadcasts ``per_key`` when its
+    measured size is small enough.
     """
-    salt = "_salt"
-    small = per_key.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    big = df.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(copies)).cast("int"))
+    salt, hot = "_salt", "_hot"
+    keys = list(keys)
+    if not hot_rows:
+        small = per_key.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        big = df.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(copies)).cast("int"))
+        return join_same(big, small, [*keys, salt], how).drop(salt)
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(hot)).where(F.col(hot) > hot_rows)
+    counted = written_table(counted.select(*keys, F.lit(True).alias(hot)), "hot-keys")
+    if counted.isEmpty():
+        return join_same(df, per_key, keys, how)
+    counted = F.broadcast(counted)
+    some = F.when(F.col(hot), F.sequence(F.lit(0), F.lit(copies - 1))).otherwise(F.array(F.lit(0)))
+    small = join_same(per_key, counted, keys, "left").withColumn(salt, F.explode(some)).drop(hot)
+    part = F.when(F.col(hot), F.pmod(F.xxhash64(spread), F.lit(copies)).cast("int")).otherwise(F.lit(0))
+    big = join_same(df, counted, keys, "left").withColumn(salt, part).drop(hot)
     return join_same(big, small, [*keys, salt], how).drop(salt)

@@ -478,3 +478,30 @@ def test_suppression_of_many_units_in_one_call(seed):
                 want.append(r.idx)
     got = _suppress_blocks(rows, ["video_id", "_block"], window)
     assert sorted(got["idx"]) == sorted(want) and got["kept"].all()
+
+
+@pytest.mark.parametrize("hot_rows", [0, 100, 1 << 16])
+def test_attach_copies_hot_keys_only(spark, hot_rows):
+    """Rows of long and short keys, null keys and keys without a value; only keys of many rows are copied."""
+    pdf = pd.DataFrame({"video_id": [1] * 400 + [None] * 300 + [2] * 5 + [3] * 2, "frame_index": range(707)})
+    df = spark.createDataFrame(pdf, "video_id double, frame_index long")
+    per_key = spark.createDataFrame([(1.0, "a"), (2.0, "b"), (None, "n"), (9.0, "z")], "video_id double, value string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for part in parts:
+            seen.add(part.num_rows)
+            yield part
+
+    out = B.attach(df, per_key, ["video_id"], F.col("frame_index"), hot_rows=hot_rows, copies=8)
+    got = {(r[0], r[2]) for r in out.collect()}
+    assert out.count() == 707 and got == {(1.0, "a"), (None, "n"), (2.0, "b"), (3.0, None)}
+    inner = B.attach(df, per_key.mapInArrow(counted, per_key.schema), ["video_id"], F.col("frame_index"), how="inner", hot_rows=hot_rows, copies=8)
+    assert inner.count() == 705 and seen.value == 4
+
+
+def test_attach_makes_no_copies_for_short_videos(spark):
+    df = spark.range(3000).withColumn("video_id", F.col("id") % 600)
+    per_key = df.groupBy("video_id").agg(F.max("id").alias("last"))
+    plan = B.attach(df, per_key, ["video_id"], F.col("id"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan
