@@ -305,8 +305,9 @@ def attach(
 
     ``spread`` is any column that varies inside a key, such as the frame index. Only such keys
     are copied, of which there are few, as copies of all keys would outgrow the rows on short videos; their rows are
-    counted first (with ``hot_rows`` 0 every key is copied, uncounted). Spark still broadcasts ``per_key`` when its
-    measured size is small enough.
+    counted first (with ``hot_rows`` 0 every key is copied, uncounted). A stream can't be counted beforehand, so it is joined
+    as it is; its micro-batches are bounded by the trigger. Spark still broadcasts ``per_key`` when its measured size is
+    small enough.
     """
     salt, hot = "_salt", "_hot"
     keys = list(keys)
@@ -314,6 +315,8 @@ def attach(
         small = per_key.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
         big = df.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(copies)).cast("int"))
         return join_same(big, small, [*keys, salt], how).drop(salt)
+    if df.isStreaming:
+        return join_same(df, per_key, keys, how)
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(hot)).where(F.col(hot) > hot_rows)
     counted = written_table(counted.select(*keys, F.lit(True).alias(hot)), "hot-keys")
     if counted.isEmpty():

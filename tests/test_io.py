@@ -143,6 +143,23 @@ def test_late_rows_leave_the_state_alone(spark, tmp_path):
     assert sum(seen) == 7
 
 
+def test_stream_scores_are_those_of_the_batch(spark, tmp_path):
+    """Videos with a null key, without bounds and without measures, over two arrivals."""
+    from reelframe.operators.quality import percentile_bounds, quality_gate
+
+    fields = ["laplacian_var", "tenengrad", "exposure", "orb_keypoints"]
+    schema = "video_id long, frame_index long, " + ", ".join(f"{f} double" for f in fields)
+    rows = [(v, i, *[None if v == 4 else float((i * k + (v or 5)) % 90) for k in (7, 11, 13, 17)]) for v in (None, 1, 2, 3, 4) for i in range(20)]
+    whole = spark.createDataFrame(rows, schema)
+    bounds = percentile_bounds(whole, ["video_id"]).where("video_id IS NULL OR video_id <> 3")
+    for part in (rows[::2], rows[1::2]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        out = jobs.run_available(jobs.stream_scores(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), bounds), str(tmp_path / "out"))
+    show = lambda df: sorted((str(r.video_id), r.frame_index, r.quality, r.drop_reason, r.is_pass) for r in df.collect())
+    got = show(out)
+    assert len(got) == 100 and got == show(quality_gate(whole, bounds=bounds))
+
+
 def test_stream_chain_rescue_forces_failed_pairs(spark, tmp_path):
     schema = "video_id long, frame_index long, features array<double>, match_count double"
     data = [(1, i, [0.0], None) for i in range(8)]
