@@ -137,6 +137,48 @@ def test_flat_files_of_documents(spark):
     assert sorted(map(tuple, got), key=key) == sorted([(i, len((t or "").encode())) for i, t, _ in rows], key=key)
 
 
+def test_row_groups_of_flat_files_are_bounded(spark):
+    """A reader holds a row group's blocks at once; texts end on, before and after the pieces they are cut into."""
+    from urllib.parse import urlparse
+
+    import pyarrow.parquet as pq
+
+    lengths = [0, W.PIECE, 0, 0, W.PIECE + 1, 3 * W.PIECE, *range(300), W.PIECE - 1, 5 * W.PIECE, 0]
+    rows = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n long").coalesce(1)
+    folder = T.new_folder(spark, "test-groups")
+    S.write_flat_files(rows.selectExpr("doc_id", "repeat('y', int(n)) AS text"), folder)
+    files = spark.read.parquet(folder)
+    got = S.named(S.count_tokens(files), files).where("complete").select("doc_id", "n_tokens").collect()
+    assert sorted(map(tuple, got)) == list(enumerate(lengths))
+    groups = []
+    for f in files.inputFiles():
+        meta = pq.ParquetFile(urlparse(f).path).metadata
+        groups += [meta.row_group(g).num_rows for g in range(meta.num_row_groups)]
+    assert sum(groups) > 40 and max(groups) * (1 << 20) <= 1 << 24
+
+
+def test_separators_leave_the_scan_of_a_block_as_rows(spark):
+    """Blocks full of separators: no window and no join holds a block's separators in one row."""
+    got = S.count_tokens(files_of(spark, [[9] * 5000, [9] * 3000 + [1] * 10], 2, 1000), 2, 9)
+    assert "posexplode" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == plain_counts([[9] * 5000, [9] * 3000 + [1] * 10], 9)
+
+
+def test_names_of_documents_are_not_broadcast(spark):
+    folder = T.new_folder(spark, "test-names")
+    S.write_flat_files(spark.range(50_000, numPartitions=1).selectExpr("id AS doc_id", "'' AS text"), folder)
+    files = spark.read.parquet(folder)
+    out = S.named(S.count_tokens(files), files)
+    assert out.count() == out.where("complete AND n_tokens = 0").count() == 50_000
+    joins = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+    assert "SortMergeJoin" in joins[0]
+
+
+def test_a_repeated_block_may_end_a_file_within_a_document(spark):
+    twice = files_of(spark, [[1, 2]], 2, 2)
+    assert list(map(tuple, S.count_tokens(twice.union(twice), 2, 9).collect())) == [(0, 0, 0, 4, False)]
+
+
 def test_odd_blocks(spark):
     ids = lambda *v: np.array(v, "<u2").tobytes()
     once = [(0, 0, ids(1, S.BYTE_END, 2), "x"), (0, 1, None, "x"), (0, 2, b"", "x"), (1, 0, b"", "x")]
